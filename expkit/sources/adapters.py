@@ -220,7 +220,7 @@ SELECT ts - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE_TIME,
             WHEN event_id % 101 = 0 THEN 'ID not found' ELSE CAST(user_id AS STRING) END AS POST_EVAR47,
        'A' || CAST(user_id AS STRING) || '.' || CAST({dev} AS STRING) AS POST_EVAR49,
        {_banner('user_id')} AS POST_EVAR4,
-       CASE WHEN user_id % 3 = 2 THEN 'web' ELSE 'app' END AS POST_EVAR90,
+       CASE WHEN user_id % 4 = 2 THEN 'web' ELSE 'app' END AS POST_EVAR90,
        CASE user_id % 3 WHEN 0 THEN 'ios' WHEN 1 THEN 'android' ELSE 'desktop' END AS POST_EVAR116,
        CASE event_type WHEN 'purchase' THEN 'order confirmation' WHEN 'view' THEN 'product detail' ELSE 'home' END AS POST_PAGENAME,
        CASE WHEN event_type = 'purchase' THEN 'checkout' ELSE NULL END AS POST_EVAR151,
@@ -281,7 +281,8 @@ FROM {d.t('events')}
 def session_events(d: Dialect) -> str:
     """Decision-engine session events: one per customer, a second variant for every 17th,
     a repeat of the same variant for every 5th, an invalid variant code for every 23rd."""
-    base_ts = "CAST(DATE '1997-01-01' + CAST(c_custkey % 180 AS INT) AS TIMESTAMP) + INTERVAL 7 HOUR"
+    base_ts = ("CAST(DATE '1997-01-01' + CAST(c_custkey % 180 AS INT) AS TIMESTAMP)"
+               " + INTERVAL 1 HOUR * CAST(c_custkey % 24 AS INT)")
     return f"""
 SELECT c_custkey AS HOUSEHOLD_ID, '{ENGINE_EXPERIMENT_ID}' AS DECISION_ENGINE_EXPERIMENT_ID,
        chr(CAST(65 + c_custkey % 3 AS INT)) AS DECISION_ENGINE_VARIANT_CD,
@@ -289,7 +290,7 @@ SELECT c_custkey AS HOUSEHOLD_ID, '{ENGINE_EXPERIMENT_ID}' AS DECISION_ENGINE_EX
        'pageLoaded' AS EVENT_TYPE_CD,
        CASE WHEN c_custkey % 4 = 0 THEN 'order confirmation' ELSE 'home' END AS EVENT_NM,
        {_banner('c_custkey')} AS BANNER_NM,
-       CASE c_custkey % 3 WHEN 0 THEN 'appios-12.1' WHEN 1 THEN 'appand-12.1' ELSE NULL END AS APP_VERSION_CD
+       CASE c_custkey % 4 WHEN 0 THEN 'appios-12.1' WHEN 1 THEN 'appand-12.1' ELSE NULL END AS APP_VERSION_CD
 FROM {d.t('customer')}
 UNION ALL
 SELECT c_custkey, '{ENGINE_EXPERIMENT_ID}', chr(CAST(65 + (c_custkey + 1) % 3 AS INT)),
@@ -308,7 +309,7 @@ FROM {d.t('customer')} WHERE c_custkey % 23 = 0
 
 def household_list(d: Dialect) -> str:
     """Pre-assigned household list: every 17th household listed twice with two variants."""
-    facts = "CASE c_custkey % 3 WHEN 0 THEN '1.Elite and Best' WHEN 1 THEN '2.Good' ELSE '3.Occasional' END"
+    facts = "CASE c_custkey % 7 WHEN 0 THEN '1.Elite and Best' WHEN 1 THEN '2.Good' ELSE '3.Occasional' END"
     myneeds = "CASE c_custkey % 6 WHEN 0 THEN '1.Easy Shoppers' WHEN 1 THEN '2.Easy Eaters' ELSE '5.Chasing Price' END"
     return f"""
 SELECT CAST(c_custkey AS STRING) AS HOUSEHOLD_ID, chr(CAST(65 + c_custkey % 3 AS INT)) AS VARIANT,
@@ -444,7 +445,7 @@ def digital_contact(d: Dialect) -> str:
 SELECT 'U' || CAST(c_custkey AS STRING) AS RETAIL_CUSTOMER_UUID,
        CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 9 = 1 THEN 'L/km'
             ELSE lower(replace(c_name, '#', '.')) || '@example.com' END AS EMAIL_ID,
-       (c_custkey % 3 <> 2) AS DW_CURRENT_VERSION_IND
+       (c_custkey % 7 <> 3) AS DW_CURRENT_VERSION_IND
 FROM {d.t('customer')}
 """
 
