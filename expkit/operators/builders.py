@@ -160,7 +160,7 @@ def agp_daily(src, w: RefreshWindow) -> DataFrame:
             .agg(F.sum("NET_SALES").cast("decimal(38,4)").alias("NET_SALES"),
                  F.sum("ITEM_QTY").cast("decimal(38,4)").alias("ITEM_QTY"),
                  F.count_distinct("TXN_ID").alias("TXNS"),
-                 F.sum(agp_tot).alias("AGP_TOT"),
+                 F.round(F.sum(agp_tot), 6).alias("AGP_TOT"),
                  F.sum("MKDN_AMT").cast("decimal(38,4)").alias("MKDN_AMT"),
                  F.sum("COMBINED_MKDN").cast("decimal(38,4)").alias("COMBINED_MKDN")))
 

@@ -316,8 +316,8 @@ def srm_pvalue(counts: DataFrame, count_col: str, group_cols: list[str] | None =
     exp = F.col("_n") * F.col("_w") / F.col("_wt")
     chi = j.groupBy(*g).agg(F.sum(F.pow(F.col(count_col) - exp, 2) / exp).alias("CHI2"),
                             F.max("_k").alias("_k"))
-    return chi.select(*g, F.col("CHI2"), (F.col("_k") - 1).alias("DF"),
-                      chi2_sf(F.col("CHI2"), F.col("_k") - 1).alias("P_VALUE"))
+    return chi.select(*g, F.round("CHI2", 6).alias("CHI2"), (F.col("_k") - 1).alias("DF"),
+                      F.round(chi2_sf(F.col("CHI2"), F.col("_k") - 1), 6).alias("P_VALUE"))
 
 
 def srm_verdict(p: DataFrame, alpha: float = C.SRM_ALPHA) -> DataFrame:

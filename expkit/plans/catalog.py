@@ -32,9 +32,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 class Run:
     """Lazily built frames of one analysis run over one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cfg=DEMO_CONFIG, w: RefreshWindow = WINDOW):
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg=DEMO_CONFIG, w: RefreshWindow = WINDOW,
+                 materialize: bool = True):
         self.d = Domain(spark, sf_dir)
         self.cfg, self.w = cfg, w
+        self.materialize = materialize
         self._cache: dict[str, DataFrame] = {}
 
     def _get(self, key: str, fn) -> DataFrame:
@@ -67,7 +69,18 @@ class Run:
         return self._get("xraw", lambda: X.exposure_list(self.d.household_list, self.d.third_party_households, self.cfg))
 
     def exposure(self) -> DataFrame:
-        return self._get("x", lambda: X.analysis_exposure(self.raw_exposure(), self.cfg))
+        """Analysis exposure (one row per unit).  With ``materialize`` it is checkpointed to the shared
+        checkpoint folder once per run, like the original's persisted exposure table: every metric
+        family then starts from the written table instead of re-deriving exposures from raw events."""
+        def build() -> DataFrame:
+            e = X.analysis_exposure(self.raw_exposure(), self.cfg)
+            if self.materialize:
+                from expkit.sources.session import ensure_checkpoint_dir
+
+                ensure_checkpoint_dir(e.sparkSession)
+                e = e.checkpoint(eager=True)
+            return e
+        return self._get("x", build)
 
 
 def engine_run(spark: SparkSession, sf_dir: str) -> Run:

@@ -181,7 +181,32 @@ def moments_sql_row(t: Test) -> str:
             f"CAST({t.n} AS BIGINT) AS N, {d(m1)} AS M1, {d(s1)} AS S1, {d(m2)} AS M2, {d(s2)} AS S2, {d(t.cov)} AS COV")
 
 
-def moments(run, tests: list[Test] | None = None) -> DataFrame:
+def _stack_args(t: Test) -> list[str]:
+    m1, m2 = _split(t.mean)
+    s1, s2 = _split(t.sd)
+
+    def d(x: str | None) -> str:
+        return f"CAST({x} AS DOUBLE)" if x else "CAST(NULL AS DOUBLE)"
+
+    return [f"'{t.id}'", f"'{t.type}'", str(t.pooled).upper(), f"CAST({t.n} AS BIGINT)", d(m1), d(s1), d(m2), d(s2), d(t.cov)]
+
+
+def family_moments(agg: DataFrame, tests: list[Test]) -> DataFrame:
+    """All tests of one family as moments rows: a single ``stack`` over the (tiny) family aggregate."""
+    args = ", ".join(a for t in tests for a in _stack_args(t))
+    return agg.selectExpr(
+        "VARIANT_ID",
+        f"stack({len(tests)}, {args}) AS (TEST_ID, TEST_TYPE, POOLED, N, M1, S1, M2, S2, COV)")
+
+
+def moments(run, tests: list[Test] | None = None, materialize: bool = False) -> DataFrame:
+    """Long moments frame of all requested tests.
+
+    Family aggregates hold one row per variant.  With ``materialize`` each is
+    written once to the shared checkpoint folder (``DataFrame.checkpoint``):
+    the final union then plans over 13 small leaves instead of 13 full
+    lineages, and a lost executor never re-runs the fact joins of a family.
+    """
     tests = tests or TESTS
     frames = []
     for fam in FAMILIES:
@@ -189,30 +214,18 @@ def moments(run, tests: list[Test] | None = None) -> DataFrame:
         if not ts:
             continue
         agg = family_aggregate(run, fam)
-        for t in ts:
-            frames.append(agg.selectExpr(*[p.strip() for p in _select_parts(moments_sql_row(t))]))
+        if materialize:
+            from expkit.sources.session import ensure_checkpoint_dir
+
+            ensure_checkpoint_dir(agg.sparkSession)
+            agg = agg.checkpoint(eager=True)
+        frames.append(family_moments(agg, ts))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
-def _select_parts(sel: str) -> list[str]:
-    parts, depth, cur = [], 0, ""
-    for ch in sel:
-        if ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-        if ch == "," and depth == 0:
-            parts.append(cur)
-            cur = ""
-        else:
-            cur += ch
-    parts.append(cur)
-    return parts
-
-
 def run_tests(run, tests: list[Test] | None = None) -> DataFrame:
     return S.compare(moments(run, tests), run.cfg.alpha, run.cfg.control)
 

@@ -514,7 +514,7 @@ def attitudinal_segments(d: Dialect) -> str:
     return f"""
 SELECT CAST(o_custkey AS STRING) AS HOUSEHOLD_ID,
        CAST(1 + MAX(o_orderkey) % 6 AS INT) AS SEGMENT,
-       MIN({_week_id(d, 'CAST(o_orderdate AS DATE)')}) AS START_WEEK_ID
+       CAST(year(o_orderdate) AS INT) * 100 + 1 AS START_WEEK_ID
 FROM {d.t('orders')}
 GROUP BY o_custkey, year(o_orderdate)
 """
