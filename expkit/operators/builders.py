@@ -493,9 +493,8 @@ def fact_segments(src) -> DataFrame:
               .agg(F.max(F.struct("WEEK_ID", "FACTS_LEVEL2_SEGMENT_ID")).alias("_m"))
               .select(try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"),
                       _label(F.col("_m.FACTS_LEVEL2_SEGMENT_ID"), C.FACTS_LATEST_LABELS, "unknown").alias("FACTS")))
-    max_week = fs.agg(F.max("WEEK_ID").alias("_maxw"))
-    recent = (fs.crossJoin(F.broadcast(max_week))
-              .filter((F.col("WEEK_ID") >= F.col("_maxw") - (C.SEGMENT_LOOKBACK_WEEKS - 1))
+    max_week = fs.agg(F.max("WEEK_ID")).scalar()
+    recent = (fs.filter((F.col("WEEK_ID") >= max_week - (C.SEGMENT_LOOKBACK_WEEKS - 1))
                       & F.col("FACTS_LEVEL2_SEGMENT_ID").isNotNull())
               .select(try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"), "FACTS_LEVEL2_SEGMENT_ID"))
     counts = recent.groupBy("HOUSEHOLD_ID", "FACTS_LEVEL2_SEGMENT_ID").agg(F.count(F.lit(1)).alias("_n"))

@@ -312,7 +312,12 @@ def srm_pvalue(counts: DataFrame, count_col: str, group_cols: list[str] | None =
     else:
         c = c.withColumn("_w", F.lit(1.0))
     tot = c.groupBy(*g).agg(F.sum(count_col).alias("_n"), F.sum("_w").alias("_wt"), F.count(F.lit(1)).alias("_k"))
-    j = c.join(tot, g, "inner") if g else c.crossJoin(tot)
+    if g:
+        j = c.join(tot, g, "inner")
+    else:
+        j = c
+        for k in ("_n", "_wt", "_k"):
+            j = j.withColumn(k, tot.select(k).scalar())
     exp = F.col("_n") * F.col("_w") / F.col("_wt")
     chi = j.groupBy(*g).agg(F.sum(F.pow(F.col(count_col) - exp, 2) / exp).alias("CHI2"),
                             F.max("_k").alias("_k"))

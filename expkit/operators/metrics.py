@@ -250,8 +250,10 @@ def winsor_threshold(units: DataFrame, cols: dict[str, str], cfg: ExperimentConf
 
 
 def with_threshold(units: DataFrame, thr: DataFrame) -> DataFrame:
-    """Cross join of the one-row threshold frame (broadcast of one row)."""
-    return units.crossJoin(F.broadcast(thr))
+    """Attach each threshold as a scalar subquery (computed once, inlined as a value; no join)."""
+    for c in thr.columns:
+        units = units.withColumn(c, thr.select(c).scalar())
+    return units
 
 
 def agp_units(E: DataFrame, agp: DataFrame, cfg: ExperimentConfig) -> DataFrame:
