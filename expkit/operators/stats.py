@@ -64,7 +64,7 @@ def compare(moments: DataFrame, alpha: float, control: str = CONTROL_VARIANT, on
     var = (F.when(F.col("POOLED") & (t == "rate"), pooled_rate_var)
            .when(F.col("POOLED") & (t == "mean"), pooled_mean_var)
            .otherwise(welch))
-    se = F.sqrt(var)
+    se = F.when(var >= 0, F.sqrt(var))
     z = F.try_divide(delta, se)
     zcrit = X.normal_quantile(1 - alpha) if one_tailed else X.normal_quantile(1 - alpha / 2)
     p = (F.lit(1.0) - X.normal_cdf(z)) if one_tailed else X.two_sided_p(z)
@@ -76,7 +76,7 @@ def compare(moments: DataFrame, alpha: float, control: str = CONTROL_VARIANT, on
         X.rnd(F.when(~is_ctrl, delta * scale)).alias("ABSOLUTE_DELTA"),
         X.rnd(F.when(~is_ctrl, F.try_divide(delta, F.col("C_VALUE")) * 100)).alias("RELATIVE_DELTA"),
         X.rnd(F.when(~is_ctrl, z)).alias("Z"),
-        X.rnd(F.when(~is_ctrl, p)).alias("P_VALUE"),
+        X.rnd(F.when(~is_ctrl & z.isNotNull(), p)).alias("P_VALUE"),
         X.rnd(F.when(~is_ctrl, (delta - zcrit * se) * scale)).alias("CI_LOWER"),
         X.rnd(F.when(~is_ctrl, (delta + zcrit * se) * scale)).alias("CI_UPPER"),
     )
@@ -127,7 +127,8 @@ j AS (
                      / (CAST(m.N AS DOUBLE) + c.C_N - 2) * (1 / CAST(m.N AS DOUBLE) + 1 / CAST(c.C_N AS DOUBLE))
               ELSE m.UVAR / CAST(m.N AS DOUBLE) + c.C_UVAR / CAST(c.C_N AS DOUBLE) END AS VAR
   FROM m JOIN c ON m.TEST_ID = c.TEST_ID),
-k AS (SELECT *, SQRT(VAR) AS SE, DELTA / NULLIF(SQRT(VAR), 0) AS Z,
+k AS (SELECT *, CASE WHEN VAR >= 0 THEN SQRT(VAR) END AS SE,
+             DELTA / NULLIF(CASE WHEN VAR >= 0 THEN SQRT(VAR) END, 0) AS Z,
              CASE WHEN TEST_TYPE = 'rate' THEN 100.0 ELSE 1.0 END AS SCALE,
              VARIANT_ID = '{control}' AS IS_CTRL FROM j)
 SELECT TEST_ID, VARIANT_ID,
@@ -135,7 +136,7 @@ SELECT TEST_ID, VARIANT_ID,
   ROUND(CASE WHEN NOT IS_CTRL THEN DELTA * SCALE END, 6) AS ABSOLUTE_DELTA,
   ROUND(CASE WHEN NOT IS_CTRL THEN DELTA / NULLIF(C_VALUE, 0) * 100 END, 6) AS RELATIVE_DELTA,
   ROUND(CASE WHEN NOT IS_CTRL THEN Z END, 6) AS Z,
-  ROUND(CASE WHEN NOT IS_CTRL THEN LEAST(1.0, 2.0 * {normal_tail_sql('Z')}) END, 6) AS P_VALUE,
+  ROUND(CASE WHEN NOT IS_CTRL AND Z IS NOT NULL THEN LEAST(1.0, 2.0 * {normal_tail_sql('Z')}) END, 6) AS P_VALUE,
   ROUND(CASE WHEN NOT IS_CTRL THEN (DELTA - {zcrit!r} * SE) * SCALE END, 6) AS CI_LOWER,
   ROUND(CASE WHEN NOT IS_CTRL THEN (DELTA + {zcrit!r} * SE) * SCALE END, 6) AS CI_UPPER,
   CASE WHEN NOT IS_CTRL AND Z IS NOT NULL THEN ROUND(LEAST(1.0, 2.0 * {normal_tail_sql('Z')}), 6) < {alpha!r} END AS SIGNIFICANT

@@ -1,0 +1,5 @@
+"""Structured Streaming form of the daily exposure monitoring (the original is batch-only)."""
+
+from expkit.streaming.exposure_stream import cumulative_from_counts, daily_exposure_counts, start_exposure_monitor
+
+__all__ = ["cumulative_from_counts", "daily_exposure_counts", "start_exposure_monitor"]

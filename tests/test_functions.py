@@ -24,7 +24,7 @@ def test_normal_tail_matches_erfc(spark):
 
 def test_normal_tail_sql_twin_equals_spark(spark):
     con = duckdb.connect()
-    duck = {z: con.sql(f"SELECT {S.normal_tail_sql(repr(z))}").fetchone()[0] for z in Z}
+    duck = {z: con.execute(f"SELECT {S.normal_tail_sql(repr(z))}").fetchone()[0] for z in Z}
     df = spark.createDataFrame([(z,) for z in Z], "z double")
     for r in df.select("z", X.normal_lower_tail_abs("z").alias("t")).collect():
         assert r.t == pytest.approx(duck[r.z], rel=1e-14, abs=1e-300)
@@ -41,7 +41,7 @@ def test_chi2_sf_closed_forms(spark, x):
     assert all(got[k] <= got[k + 1] + 1e-15 for k in range(1, 8))
     con = duckdb.connect()
     for k in range(1, 9):
-        assert con.sql(f"SELECT {S.chi2_sf_sql(repr(x), str(k))}").fetchone()[0] == pytest.approx(got[k], rel=1e-12)
+        assert con.execute(f"SELECT {S.chi2_sf_sql(repr(x), str(k))}").fetchone()[0] == pytest.approx(got[k], rel=1e-12)
 
 
 def test_normal_quantile():
