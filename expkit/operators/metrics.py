@@ -249,8 +249,16 @@ def winsor_threshold(units: DataFrame, cols: dict[str, str], cfg: ExperimentConf
                       for name, src in cols.items()])
 
 
-def with_threshold(units: DataFrame, thr: DataFrame) -> DataFrame:
-    """Attach each threshold as a scalar subquery (computed once, inlined as a value; no join)."""
+def with_threshold(units: DataFrame, thr_cols: dict[str, str], cfg: ExperimentConfig) -> DataFrame:
+    """Attach winsor thresholds of ``units`` as scalar subqueries (computed once, inlined as values; no join).
+
+    The unit frame (one row per unit, small next to the facts) is persisted first so the percentile
+    subquery and the main aggregation read one materialization instead of joining the facts twice.
+    """
+    from pyspark import StorageLevel
+
+    units = units.persist(StorageLevel.MEMORY_AND_DISK)
+    thr = winsor_threshold(units, thr_cols, cfg)
     for c in thr.columns:
         units = units.withColumn(c, thr.select(c).scalar())
     return units
@@ -263,7 +271,7 @@ def agp_units(E: DataFrame, agp: DataFrame, cfg: ExperimentConfig) -> DataFrame:
                [F.sum("NET_SALES").alias("TOT_NET_SALES"), F.sum("AGP_TOT").alias("AGP")],
                {"TOT_NET_SALES": _zero_d(), "AGP": _zero_f()},
                cond=lambda x: x["TXN_DTE"] >= x["_E_EXPOSURE_DATETIME"])
-    return with_threshold(u, winsor_threshold(u, {"_WIN_NS": "TOT_NET_SALES"}, cfg))
+    return with_threshold(u, {"_WIN_NS": "TOT_NET_SALES"}, cfg)
 
 
 def agp_specs(cfg: ExperimentConfig) -> list[Agg]:
@@ -302,7 +310,7 @@ def txn_units(E: DataFrame, combined_txns: DataFrame, cfg: ExperimentConfig, loc
                           (F.coalesce("_bnc", _zero_l()) * F.greatest(F.col("_rows"), F.lit(1))).cast("bigint"))
              .drop("_bnc", "_rows"))
         thr_cols["_WIN_NS"] = "TOT_NET_SALES"
-    return with_threshold(u, winsor_threshold(u, thr_cols, cfg))
+    return with_threshold(u, thr_cols, cfg)
 
 
 def txn_specs(cfg: ExperimentConfig, prefix: str, ecomm: bool = False) -> list[Agg]:

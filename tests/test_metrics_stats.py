@@ -39,7 +39,7 @@ def test_winsorized_mean_not_above_raw(spark, values):
     rows = [(i, "VARIANT A" if i % 2 else "VARIANT B", v) for i, v in enumerate(values)]
     u = spark.createDataFrame(rows, "HOUSEHOLD_ID bigint, VARIANT_ID string, TOT_REVENUE double")
     u = u.withColumn("TOT_REVENUE", F.col("TOT_REVENUE").cast("decimal(38,4)"))
-    u = M.with_threshold(u, M.winsor_threshold(u, {"_WIN_REV": "TOT_REVENUE"}, CFG))
+    u = M.with_threshold(u, {"_WIN_REV": "TOT_REVENUE"}, CFG)
     capped = [a for a in M.txn_specs(CFG, "X") if a.name in ("X_REVENUE_TOTAL",)]
     raw = u.groupBy("VARIANT_ID").agg(F.sum("TOT_REVENUE").cast("double").alias("raw"))
     got = M.aggregate(u, capped).join(raw, "VARIANT_ID").collect()
