@@ -597,9 +597,13 @@ def account_specs(cfg: ExperimentConfig) -> list[Agg]:
 # M22 markdown strategies (combined) and V05 comparison inputs
 # ---------------------------------------------------------------------------
 
-def markdown_units(E: DataFrame, combined_txns_md: DataFrame, cfg: ExperimentConfig) -> DataFrame:
+def markdown_units(E: DataFrame, combined_txns_md: DataFrame, cfg: ExperimentConfig,
+                   location: str | None = None) -> DataFrame:
+    """The three markdown strategies per unit, from transaction grain (all locations, or one)."""
     E = metric_exposure(E)
     t = combined_txns_md.filter(F.col("TXN_DTE").between(_d(cfg.start), _d(cfg.end)))
+    if location:
+        t = t.filter(F.col("TXN_LOCATION") == location)
     return attach(E, t, "HOUSEHOLD_ID", "HOUSEHOLD_ID",
                   [F.sum("TOTAL_MARKDOWN").alias("TOTAL_MARKDOWN"), F.sum("MKDN_AMT").alias("MKDN_AMT"),
                    F.sum("COMBINED_MKDN").alias("COMBINED_MKDN"), F.sum("NET_SALES").alias("TOT_NET_SALES"),
@@ -609,6 +613,10 @@ def markdown_units(E: DataFrame, combined_txns_md: DataFrame, cfg: ExperimentCon
                   cond=lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"])
 
 
-def markdown_specs(cfg: ExperimentConfig) -> list[Agg]:
-    return ([Agg("VISITORS", f"COUNT(DISTINCT {cfg.unit_col})", "cnt")] + tms("TOTAL_MARKDOWN", "TOTAL_MARKDOWN") + tms("MKDN_AMT", "MKDN_AMT") + tms("COMBINED_MKDN", "COMBINED_MKDN")
-            + tms("COMBINED_NET_SALES", "TOT_NET_SALES") + tms("COMBINED_GROSS", "TOT_REVENUE"))
+def markdown_specs(cfg: ExperimentConfig, prefix: str = "") -> list[Agg]:
+    """Combined names by default; ``prefix='ECOMM_'`` / ``'STORE_'`` for the location variants."""
+    p = prefix
+    loc = p.rstrip("_") or "COMBINED"
+    return ([Agg("VISITORS", f"COUNT(DISTINCT {cfg.unit_col})", "cnt")] + tms(f"{p}TOTAL_MARKDOWN", "TOTAL_MARKDOWN")
+            + tms(f"{p}MKDN_AMT", "MKDN_AMT") + tms(f"{p}COMBINED_MKDN", "COMBINED_MKDN")
+            + tms(f"{loc}_NET_SALES", "TOT_NET_SALES") + tms(f"{loc}_GROSS", "TOT_REVENUE"))

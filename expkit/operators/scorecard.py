@@ -84,3 +84,75 @@ def run_header(spark, cfg, variants: DataFrame, output_location: str = "") -> Da
                     F.lit(cfg.alpha).alias("SIGNIFICANCE"), F.lit(cfg.exposure_filter).alias("EXPOSURE_FILTER"),
                     F.lit("99th" if cfg.winsorize else "OFF").alias("WINSORIZATION"), "VARIANTS",
                     F.lit(output_location).alias("OUTPUT_LOCATION"))
+
+
+# Display tables of the family aggregates.  Each is the family's
+# columns plus a few derived rates; the formulas are SQL text shared with the
+# oracle (evaluated with ``F.expr``).
+FAMILY_TABLES: dict[str, tuple[str, list[str], list[tuple[str, str]]]] = {
+    "engagement": ("engagement", ["VISITORS", "UNIQUE_HOUSEHOLDS", "VISITS_MEAN", "ORDERS_MEAN", "REVENUE_MEAN", "CVR",
+                                  "CART_ADDS_MEAN", "COUPON_CLIPS_MEAN", "SEARCHES_MEAN", "AOV", "UPO", "RPV"],
+                   [("AUTHENTICATED_RATE", "ROUND(CAST(UNIQUE_HOUSEHOLDS AS DOUBLE) / NULLIF(VISITORS, 0), 6)")]),
+    "margin_agp": ("agp", ["VISITORS", "NET_SALES_TOTAL", "NET_SALES_MEAN", "AGP_TOTAL", "AGP_MEAN"], []),
+    "ecomm": ("ecomm", ["VISITORS", "PURCHASING_CUSTOMERS", "ECOMM_ORDERS_MEAN", "ECOMM_REVENUE_MEAN", "ECOMM_AOV",
+                        "ECOMM_UPO", "ECOMM_RPV", "ECOMM_BNC_TOTAL", "ECOMM_NET_SALES_MEAN"],
+              [("ECOMM_CVR", "ROUND(CAST(PURCHASING_CUSTOMERS AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)"),
+               ("ECOMM_BNC_CVR", "ROUND(CAST(ECOMM_BNC_TOTAL AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)")]),
+    "store": ("store", ["VISITORS", "PURCHASING_CUSTOMERS", "STORE_ORDERS_MEAN", "STORE_REVENUE_MEAN", "STORE_AOV",
+                        "STORE_UPO", "STORE_RPV"], []),
+    "gas": ("gas", ["VISITORS", "GAS_VISITORS", "GAS_ORDERS_MEAN", "GAS_REVENUE_MEAN", "GAS_AOV", "GAS_RPV",
+                    "GAS_MKDN_MEAN", "GAS_REDEMPTIONS_PER_VISITOR"], []),
+    "combined": ("combined", ["VISITORS", "PURCHASING_CUSTOMERS", "COMBINED_ORDERS_MEAN", "COMBINED_REVENUE_MEAN",
+                              "COMBINED_AOV", "COMBINED_UPO", "COMBINED_RPV", "COMBINED_SNAP_MEAN"],
+                 [("COMBINED_CVR", "ROUND(CAST(PURCHASING_CUSTOMERS AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)")]),
+    "clips": ("clips", ["VISITORS", "UNIQUE_CLIPPING_HH", "CLIPS_TOTAL", "CLIPS_MEAN", "CLIPS_AVG_REAL",
+                        "pd_clips_MEAN", "gr_clips_MEAN", "mf_clips_MEAN", "spd_clips_MEAN", "pzn_clips_MEAN", "sc_clips_MEAN"],
+              [("SHARE_CLIPPING", "ROUND(CAST(UNIQUE_CLIPPING_HH AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)")]),
+    "category": ("category", ["VISITORS", "UNIQUE_HOUSEHOLDS"],
+                 [("CATEGORIES_MEAN", "ROUND(CATEGORIES_MEAN, 2)"), ("ITEMS_MEAN", "ROUND(ITEMS_MEAN, 2)"),
+                  ("CATEGORY_DEPTH", "ROUND(CATEGORY_DEPTH, 2)")]),
+    "account": ("account", ["VISITORS", "UNIQUE_HOUSEHOLDS", "email_count", "phone_count", "reachablity_score",
+                            "fn_ln_count", "bday_count", "address_count", "health_score"], []),
+    "summary": ("combined", ["VISITORS", "COMBINED_REVENUE_MEAN", "COMBINED_ORDERS_MEAN", "COMBINED_UNITS_MEAN",
+                             "COMBINED_AOV"], []),
+}
+
+
+def family_table(agg: DataFrame, name: str) -> DataFrame:
+    _, cols, derived = FAMILY_TABLES[name]
+    return agg.select("VARIANT_ID", *cols, *[F.expr(sql).alias(alias) for alias, sql in derived])
+
+
+def family_table_sql(source: str, name: str) -> str:
+    _, cols, derived = FAMILY_TABLES[name]
+    sel = ["VARIANT_ID", *cols, *[f"{sql} AS {alias}" for alias, sql in derived]]
+    return f"SELECT {', '.join(sel)} FROM {source}"
+
+
+def redemptions_table(redemptions_agg: DataFrame, bonus_agg: DataFrame) -> DataFrame:
+    """R08 (with M16): redemptions ⟕ bonus points on the variant, plus shares redeeming / earning points."""
+    j = redemptions_agg.join(bonus_agg, "VARIANT_ID", "left")
+    return j.select("VARIANT_ID", "VISITORS", "REDEEMING_COUNT_COMBINED", "REDEMPTIONS_MEAN", "MKDN_MEAN",
+                    "BONUS_POINTS_MEAN", "ESTIMATED_MKDN_MEAN", "BP_EARNING_HOUSEHOLDS",
+                    F.expr(REDEEM_SHARE).alias("SHARE_REDEEMING"), F.expr(EARN_SHARE).alias("SHARE_EARNING_POINTS"))
+
+
+REDEEM_SHARE = "ROUND(CAST(REDEEMING_COUNT_COMBINED AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)"
+EARN_SHARE = "ROUND(CAST(BP_EARNING_HOUSEHOLDS AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)"
+
+
+def markdown_breakdown(combined: DataFrame, store: DataFrame, ecomm: DataFrame) -> DataFrame:
+    """Combined ⟕ store ⟕ e-commerce markdown on the variant."""
+    return (combined.select("VARIANT_ID", "TOTAL_MARKDOWN_MEAN", "MKDN_AMT_MEAN", "COMBINED_MKDN_MEAN")
+            .join(store.select("VARIANT_ID", "STORE_TOTAL_MARKDOWN_MEAN"), "VARIANT_ID", "left")
+            .join(ecomm.select("VARIANT_ID", "ECOMM_TOTAL_MARKDOWN_MEAN"), "VARIANT_ID", "left"))
+
+
+def basket_table(basket: DataFrame, combined: DataFrame) -> DataFrame:
+    """Basket-health rates and graded transactions as a share of all transactions (joined on the variant)."""
+    j = basket.join(combined.select("VARIANT_ID", "COMBINED_ORDERS_TOTAL"), "VARIANT_ID", "left")
+    return j.select("VARIANT_ID", "UNIQUE_BASKET_HEALTH_HH", "BASKET_RATE_MEAN", "AB_RATE_MEAN", "DE_RATE_MEAN",
+                    "TOTAL_BASKET_HEALTH_TXNS", F.expr(BASKET_SHARE).alias("SHARE_OF_ALL_TXNS"))
+
+
+BASKET_SHARE = "ROUND(CAST(TOTAL_BASKET_HEALTH_TXNS AS DOUBLE) / NULLIF(COMBINED_ORDERS_TOTAL, 0) * 100, 6)"

@@ -95,6 +95,12 @@ def list_run(spark: SparkSession, sf_dir: str) -> Run:
     return Run(spark, sf_dir, DEMO_CONFIG)
 
 
+WEB_FILTER_CONFIG = C.ExperimentConfig(**{**DEMO_WEB_CONFIG.__dict__, "page_filter": ("order confirmation", "home"),
+                                           "os_platforms": ("iOS", "Web"), "excluded_banners": ("vons",)})
+PAGE_FILTER_CONFIG = C.ExperimentConfig(**{**DEMO_CONFIG.__dict__, "page_filter": ("order confirmation",),
+                                           "os_platforms": ("iOS",), "exposure_filter": "Page or OS platform"})
+
+
 def _b(fn) -> Query:
     return lambda spark, sf: fn(Domain(spark, sf), WINDOW)
 
@@ -198,4 +204,30 @@ QUERIES: dict[str, Query] = {
                     M.redemption_specs(r.cfg, None))))(engine_run(s, sf)),
     "coverage_check": lambda s, sf: V.coverage(B.combined_txns(Domain(s, sf), WINDOW), DEMO_CONFIG),
     "schema_check": lambda s, sf: V.row_count(B.combined_txns(Domain(s, sf), WINDOW, markdown=True)),
+    # --- filtered exposures (page / OS / banner predicates) ------------------
+    "exposure_web_filtered": lambda s, sf: X.exposure_web(Domain(s, sf).hits, Domain(s, sf).third_party_households,
+                                                           WEB_FILTER_CONFIG),
+    "exposure_filter_page": lambda s, sf: X.apply_exposure_filter(
+        engine_run(s, sf).raw_exposure(), X.filter_households_visits(Domain(s, sf).visits, PAGE_FILTER_CONFIG)),
+    # --- location markdown, display tables, run header ----------------------
+    "markdown_ecomm": _fam(lambda r: M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "ECOMM"),
+                           lambda cfg: M.markdown_specs(cfg, "ECOMM_")),
+    "markdown_store": _fam(lambda r: M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "STORE"),
+                           lambda cfg: M.markdown_specs(cfg, "STORE_")),
+    "table_markdown": lambda s, sf: (lambda r: R.markdown_breakdown(
+        M.aggregate(M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg), M.markdown_specs(r.cfg)),
+        M.aggregate(M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "STORE"), M.markdown_specs(r.cfg, "STORE_")),
+        M.aggregate(M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "ECOMM"), M.markdown_specs(r.cfg, "ECOMM_"))
+    ))(engine_run(s, sf)),
+    "table_redemptions": lambda s, sf: (lambda r: R.redemptions_table(
+        G.family_aggregate(r, "redemptions"),
+        M.aggregate(M.bonus_units(r.exposure(), M.bonus_points_daily(r.d.points_header, r.d.points, r.cfg)),
+                    M.bonus_specs(r.cfg))))(engine_run(s, sf)),
+    "table_basket": lambda s, sf: (lambda r: R.basket_table(G.family_aggregate(r, "basket"),
+                                                            G.family_aggregate(r, "combined")))(engine_run(s, sf)),
+    "run_header": lambda s, sf: (lambda r: R.run_header(s, r.cfg, r.exposure()))(engine_run(s, sf)),
 }
+
+for _name, (_fam_name, _cols, _derived) in R.FAMILY_TABLES.items():
+    QUERIES[f"table_{_name}"] = (lambda n, f: lambda s, sf: R.family_table(G.family_aggregate(engine_run(s, sf), f), n))(
+        _name, _fam_name)
