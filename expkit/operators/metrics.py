@@ -126,6 +126,30 @@ def attach(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, aggs: list[Co
     return j.select(*[E[c] for c in ecols], *[F.coalesce(F.col(n), v).alias(n) for n, v in defaults.items()])
 
 
+def attach_two_level(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, inner_keys: list[str],
+                     inner_aggs: list[Column], outer_aggs: list[Column], defaults: dict[str, Column],
+                     cond=None) -> DataFrame:
+    """Like ``attach`` but aggregating twice: per (unit, *inner_keys) and then per unit.
+
+    Used where one fact pass must serve several locations: the first level
+    collapses each unit's facts to one row per transaction (or offer ×
+    transaction) with per-location flags and sums, the second level turns the
+    flags into exact distinct counts per location and overall.
+    """
+    ecols = E.columns
+    ek = [f"_E_{c}" for c in ecols]
+    Ek = E.filter(F.col(e_key).isNotNull()).select(*[F.col(c).alias(f"_E_{c}") for c in ecols])
+    m = facts.join(Ek, facts[f_key] == Ek[f"_E_{e_key}"], "inner")
+    if cond is not None:
+        m = m.filter(cond(m))
+    per = m.groupBy(*ek, *inner_keys).agg(*inner_aggs).groupBy(*ek).agg(*outer_aggs)
+    j = E.join(per, [E[c].eqNullSafe(per[f"_E_{c}"]) for c in ecols], "left")
+    return j.select(*[E[c] for c in ecols], *[F.coalesce(F.col(n), v).alias(n) for n, v in defaults.items()])
+
+
+LOCATIONS = ("ECOMM", "STORE")
+
+
 def _zero_l() -> Column:
     return F.lit(0).cast("bigint")
 
@@ -284,22 +308,48 @@ def agp_specs(cfg: ExperimentConfig) -> list[Agg]:
 # M06, M09–M14 transactions and redemptions by location
 # ---------------------------------------------------------------------------
 
-def txn_units(E: DataFrame, combined_txns: DataFrame, cfg: ExperimentConfig, location: str | None,
-              bnc: DataFrame | None = None) -> DataFrame:
-    """Orders, revenue, units, SNAP (and for e-commerce net sales and first-purchase count) per unit."""
+def txn_location_units(E: DataFrame, combined_txns: DataFrame, cfg: ExperimentConfig) -> DataFrame:
+    """Per-unit transaction metrics for every location and overall, from ONE join of the facts.
+
+    Columns ``<L>_NUM_ORDERS, <L>_TOT_REVENUE, <L>_NUM_UNITS, <L>_TOT_SNAP, <L>_TOT_NET_SALES, <L>_ROWS`` for
+    L in ECOMM, STORE, ALL.  Orders are distinct transactions per location (a flag per unit × transaction).
+    """
     E = metric_exposure(E)
     t = combined_txns.filter(F.col("TXN_DTE").between(_d(cfg.start), _d(cfg.end)))
-    if location:
-        t = t.filter(F.col("TXN_LOCATION") == location)
-    aggs = [F.count_distinct("TXN_ID").alias("NUM_ORDERS"), F.sum("REVENUE").alias("TOT_REVENUE"),
-            F.sum("ITEMS").alias("NUM_UNITS"), F.sum("SNAP_TENDER").alias("TOT_SNAP")]
-    dflt = {"NUM_ORDERS": _zero_l(), "TOT_REVENUE": _zero_d(), "NUM_UNITS": _zero_d(), "TOT_SNAP": _zero_d()}
+    loc = F.col("TXN_LOCATION")
+    meas = {"TOT_REVENUE": "REVENUE", "NUM_UNITS": "ITEMS", "TOT_SNAP": "SNAP_TENDER", "TOT_NET_SALES": "NET_SALES"}
+    inner, outer, dflt = [], [], {}
+    for L in LOCATIONS + ("ALL",):
+        cond = F.lit(True) if L == "ALL" else (loc == L)
+        inner.append(F.max(cond.cast("int")).alias(f"_has_{L}"))
+        inner.append(F.sum(cond.cast("bigint")).alias(f"_rows_{L}"))
+        inner += [F.sum(F.when(cond, F.col(src))).alias(f"_{name}_{L}") for name, src in meas.items()]
+        outer.append(F.sum(f"_has_{L}").cast("bigint").alias(f"{L}_NUM_ORDERS"))
+        outer.append(F.sum(f"_rows_{L}").cast("bigint").alias(f"{L}_ROWS"))
+        outer += [F.sum(f"_{name}_{L}").alias(f"{L}_{name}") for name in meas]
+        dflt[f"{L}_NUM_ORDERS"] = _zero_l()
+        dflt[f"{L}_ROWS"] = _zero_l()
+        dflt.update({f"{L}_{name}": _zero_d() for name in meas})
+    return attach_two_level(E, t, "HOUSEHOLD_ID", "HOUSEHOLD_ID", ["TXN_ID"], inner, outer, dflt,
+                            cond=lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"])
+
+
+def txn_units(E: DataFrame, combined_txns: DataFrame, cfg: ExperimentConfig, location: str | None,
+              bnc: DataFrame | None = None, shared: DataFrame | None = None) -> DataFrame:
+    """Orders, revenue, units, SNAP (and for e-commerce net sales and first-purchase count) per unit.
+
+    ``shared`` is ``txn_location_units`` of the same run: the e-commerce, in-store and combined families
+    then read one join of the transaction facts instead of three.
+    """
+    E = metric_exposure(E)
+    u = shared if shared is not None else txn_location_units(E, combined_txns, cfg)
+    L = location or "ALL"
     ecomm = location == "ECOMM"
+    cols = [F.col(f"{L}_NUM_ORDERS").alias("NUM_ORDERS"), F.col(f"{L}_TOT_REVENUE").alias("TOT_REVENUE"),
+            F.col(f"{L}_NUM_UNITS").alias("NUM_UNITS"), F.col(f"{L}_TOT_SNAP").alias("TOT_SNAP")]
     if ecomm:
-        aggs += [F.sum("NET_SALES").alias("TOT_NET_SALES"), F.count(F.lit(1)).alias("_rows")]
-        dflt.update({"TOT_NET_SALES": _zero_d(), "_rows": _zero_l()})
-    u = attach(E, t, "HOUSEHOLD_ID", "HOUSEHOLD_ID", aggs, dflt,
-               cond=lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"])
+        cols += [F.col(f"{L}_TOT_NET_SALES").alias("TOT_NET_SALES"), F.col(f"{L}_ROWS").alias("_rows")]
+    u = u.select(*E.columns, *cols)
     thr_cols = {"_WIN_REV": "TOT_REVENUE"}
     if ecomm:
         # The original counts first-purchase rows across the joined transaction rows (one row when there are none).
@@ -353,41 +403,62 @@ def txn_specs(cfg: ExperimentConfig, prefix: str, ecomm: bool = False) -> list[A
     return s
 
 
-def redemption_units(E: DataFrame, combined_txns: DataFrame, redemptions: DataFrame, cfg: ExperimentConfig,
-                     location: str | None) -> DataFrame:
-    """Redemptions per unit, split by offer type.
-
-    Transactions meet redemptions on the transaction id (the window predicate
-    sits in the join condition, so out-of-window transactions keep no offer).
-    Redemption counts are distinct (offer, transaction) pairs per unit: the
-    rows are de-duplicated once and then summed by type, instead of seven
-    COUNT(DISTINCT) expansions.
+def redemption_location_units(E: DataFrame, combined_txns: DataFrame, redemptions: DataFrame,
+                               cfg: ExperimentConfig) -> DataFrame:
+    """M09/M10 for every location at once: ``<L>_<type>_MKDN``, ``<L>_total_mkdn``, ``<L>_<type>_redemptions``
+    and ``<L>_total_redemptions`` for L in ECOMM, STORE, ALL, from one transaction ⟕ redemption join.
+
+    Transactions meet redemptions on the transaction id (the window predicate sits in the join condition,
+    so out-of-window transactions keep no offer).  Redemption counts are distinct (offer, transaction)
+    pairs per unit: a first aggregation per unit × offer × transaction (× type) carries location flags,
+    the second sums them — no COUNT(DISTINCT) expansion of the fact rows.
     """
     E = metric_exposure(E)
     t = combined_txns
-    if location:
-        t = t.filter(F.col("TXN_LOCATION") == location)
     in_win = t["TXN_DTE"].between(_d(cfg.start), _d(cfg.end))
     r = redemptions.select(F.col("TXN_ID").alias("_r_txn"), "CLIENT_OFFER_ID", "OFFER_TYPE_MOD", "MKDN")
     tr = t.join(r, (t["TXN_ID"] == r["_r_txn"]) & in_win, "left").select(
-        "HOUSEHOLD_ID", "TXN_ID", "TXN_DTE", "CLIENT_OFFER_ID", "OFFER_TYPE_MOD", "MKDN")
+        "HOUSEHOLD_ID", "TXN_ID", "TXN_DTE", "TXN_LOCATION", "CLIENT_OFFER_ID", "OFFER_TYPE_MOD", "MKDN")
     cond = lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"]
+    loc, typ = F.col("TXN_LOCATION"), F.col("OFFER_TYPE_MOD")
     types = C.OFFER_TYPES
-    mk = [F.sum(F.when(F.col("OFFER_TYPE_MOD") == ty, F.col("MKDN")).otherwise(0)).alias(f"{ty.lower()}_MKDN") for ty in types]
-    mk.append(F.sum("MKDN").alias("total_mkdn"))
-    u = attach(E, tr, "HOUSEHOLD_ID", "HOUSEHOLD_ID", mk,
-               {**{f"{ty.lower()}_MKDN": _zero_d() for ty in types}, "total_mkdn": _zero_d()}, cond=cond)
+    lcond = {L: (F.lit(True) if L == "ALL" else (loc == L)) for L in LOCATIONS + ("ALL",)}
+    mk, mk_d = [], {}
+    for L, lc in lcond.items():
+        for ty in types:
+            mk.append(F.sum(F.when(lc & (typ == ty), F.col("MKDN")).otherwise(0)).alias(f"{L}_{ty.lower()}_MKDN"))
+            mk_d[f"{L}_{ty.lower()}_MKDN"] = _zero_d()
+        mk.append(F.sum(F.when(lc, F.col("MKDN")).otherwise(0)).alias(f"{L}_total_mkdn"))
+        mk_d[f"{L}_total_mkdn"] = _zero_d()
+    u = attach(E, tr, "HOUSEHOLD_ID", "HOUSEHOLD_ID", mk, mk_d, cond=cond)
     pairs = tr.filter(F.col("CLIENT_OFFER_ID").isNotNull())
-    per_type = [F.sum((F.col("OFFER_TYPE_MOD") == ty).cast("bigint")).alias(f"{ty.lower()}_redemptions") for ty in types]
-    typed = attach(E, pairs, "HOUSEHOLD_ID", "HOUSEHOLD_ID", per_type,
-                   {f"{ty.lower()}_redemptions": _zero_l() for ty in types}, cond=cond,
-                   pre_distinct=["CLIENT_OFFER_ID", "TXN_ID", "OFFER_TYPE_MOD"])
-    total = attach(E, pairs, "HOUSEHOLD_ID", "HOUSEHOLD_ID", [F.count(F.lit(1)).alias("total_redemptions")],
-                   {"total_redemptions": _zero_l()}, cond=cond, pre_distinct=["CLIENT_OFFER_ID", "TXN_ID"])
+    inner = [F.max(lc.cast("int")).alias(f"_has_{L}") for L, lc in lcond.items()]
+    typed_outer, typed_d = [], {}
+    for L in lcond:
+        for ty in types:
+            typed_outer.append(F.sum(F.when(typ == ty, F.col(f"_has_{L}")).otherwise(0)).cast("bigint")
+                               .alias(f"{L}_{ty.lower()}_redemptions"))
+            typed_d[f"{L}_{ty.lower()}_redemptions"] = _zero_l()
+    typed = attach_two_level(E, pairs, "HOUSEHOLD_ID", "HOUSEHOLD_ID", ["CLIENT_OFFER_ID", "TXN_ID", "OFFER_TYPE_MOD"],
+                             inner, typed_outer, typed_d, cond=cond)
+    total_outer = [F.sum(f"_has_{L}").cast("bigint").alias(f"{L}_total_redemptions") for L in lcond]
+    total = attach_two_level(E, pairs, "HOUSEHOLD_ID", "HOUSEHOLD_ID", ["CLIENT_OFFER_ID", "TXN_ID"], inner,
+                             total_outer, {f"{L}_total_redemptions": _zero_l() for L in lcond}, cond=cond)
     keys = E.columns
     return _join_units(_join_units(u, typed, keys), total, keys)
 
 
+def redemption_units(E: DataFrame, combined_txns: DataFrame, redemptions: DataFrame, cfg: ExperimentConfig,
+                     location: str | None, shared: DataFrame | None = None) -> DataFrame:
+    """Redemption metrics of one location (or all) per unit, read from the shared per-location frame."""
+    E = metric_exposure(E)
+    u = shared if shared is not None else redemption_location_units(E, combined_txns, redemptions, cfg)
+    L = location or "ALL"
+    names = [f"{ty.lower()}_MKDN" for ty in C.OFFER_TYPES] + ["total_mkdn"]
+    names += [f"{ty.lower()}_redemptions" for ty in C.OFFER_TYPES] + ["total_redemptions"]
+    return u.select(*E.columns, *[F.col(f"{L}_{n}").alias(n) for n in names])
+
+
 def _join_units(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     extra = [c for c in b.columns if c not in keys]
     bb = b.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *extra)
@@ -428,15 +499,17 @@ def redemption_specs(cfg: ExperimentConfig, loc: str | None) -> list[Agg]:
 
 
 def location_variant(E: DataFrame, combined_txns: DataFrame, redemptions: DataFrame, cfg: ExperimentConfig,
-                     location: str, bnc: DataFrame | None = None) -> DataFrame:
+                     location: str, bnc: DataFrame | None = None, txn_shared: DataFrame | None = None,
+                     red_shared: DataFrame | None = None) -> DataFrame:
     """Transaction aggregate joined with the redemption aggregate of one location."""
-    tu = txn_units(E, combined_txns, cfg, location, bnc)
-    ru = redemption_units(E, combined_txns, redemptions, cfg, location)
+    tu = txn_units(E, combined_txns, cfg, location, bnc, shared=txn_shared)
+    ru = redemption_units(E, combined_txns, redemptions, cfg, location, shared=red_shared)
     ta = aggregate(tu, txn_specs(cfg, location, ecomm=location == "ECOMM"))
     ra = aggregate(ru, redemption_specs(cfg, location))
     return ta.join(ra, "VARIANT_ID")
 
 
+
 # ---------------------------------------------------------------------------
 # M15/M16 bonus points, M17 clips, M18 basket health, M19 gas, M20 category, M21 account health
 # ---------------------------------------------------------------------------

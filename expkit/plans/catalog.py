@@ -60,6 +60,14 @@ class Run:
     def cart_coupon(self) -> DataFrame:
         return self._get("cc", lambda: B.cart_coupon(self.d, self.w))
 
+    # per-location unit frames shared by the e-commerce, in-store and combined families
+    def txn_shared(self) -> DataFrame:
+        return self._get("txs", lambda: M.txn_location_units(self.exposure(), self.combined_txns(), self.cfg))
+
+    def red_shared(self) -> DataFrame:
+        return self._get("rds", lambda: M.redemption_location_units(self.exposure(), self.combined_txns(),
+                                                                    self.redemptions(), self.cfg))
+
     # exposure
     def raw_exposure(self) -> DataFrame:
         if self.cfg.platform == "Adobe":
@@ -167,13 +175,16 @@ QUERIES: dict[str, Query] = {
                                   M.engagement_specs),
     "margin_variant": _fam(lambda r: M.margin_units(r.exposure(), B.margin_weekly(r.d, r.w), r.cfg), M.margin_specs),
     "agp_variant": _fam(lambda r: M.agp_units(r.exposure(), B.agp_daily(r.d, r.w), r.cfg), M.agp_specs),
-    "combined_variant": _fam(lambda r: M.txn_units(r.exposure(), r.combined_txns(), r.cfg, None),
+    "combined_variant": _fam(lambda r: M.txn_units(r.exposure(), r.combined_txns(), r.cfg, None, shared=r.txn_shared()),
                              lambda cfg: M.txn_specs(cfg, "COMBINED")),
     "ecomm_variant": lambda s, sf: (lambda r: M.location_variant(r.exposure(), r.combined_txns(), r.redemptions(), r.cfg,
-                                                                 "ECOMM", B.first_ecomm(r.d, r.w)))(engine_run(s, sf)),
+                                                                 "ECOMM", B.first_ecomm(r.d, r.w), r.txn_shared(),
+                                                                 r.red_shared()))(engine_run(s, sf)),
     "store_variant": lambda s, sf: (lambda r: M.location_variant(r.exposure(), r.combined_txns(), r.redemptions(), r.cfg,
-                                                                 "STORE"))(engine_run(s, sf)),
-    "redemptions_variant": _fam(lambda r: M.redemption_units(r.exposure(), r.combined_txns(), r.redemptions(), r.cfg, None),
+                                                                 "STORE", None, r.txn_shared(),
+                                                                 r.red_shared()))(engine_run(s, sf)),
+    "redemptions_variant": _fam(lambda r: M.redemption_units(r.exposure(), r.combined_txns(), r.redemptions(), r.cfg, None,
+                                                             shared=r.red_shared()),
                                 lambda cfg: M.redemption_specs(cfg, None)),
     "bonus_points_variant": _fam(lambda r: M.bonus_units(r.exposure(), M.bonus_points_daily(r.d.points_header, r.d.points, r.cfg)),
                                  M.bonus_specs),
@@ -184,7 +195,8 @@ QUERIES: dict[str, Query] = {
     "account_variant": _fam(lambda r: M.account_units(r.exposure(), B.account_health(r.d, r.w)), M.account_specs),
     "markdown_variant": _fam(lambda r: M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg), M.markdown_specs),
     "winsor_threshold": lambda s, sf: (lambda r: M.winsor_threshold(
-        M.txn_units(r.exposure(), r.combined_txns(), r.cfg, None), {"WINSOR_THRESHOLD": "TOT_REVENUE"}, r.cfg))(engine_run(s, sf)),
+        M.txn_units(r.exposure(), r.combined_txns(), r.cfg, None, shared=r.txn_shared()),
+        {"WINSOR_THRESHOLD": "TOT_REVENUE"}, r.cfg))(engine_run(s, sf)),
     # --- statistics and scorecard ----------------------------------------
     "tests_all": lambda s, sf: G.run_tests(engine_run(s, sf)),
     "scorecard_wide": lambda s, sf: R.results_wide(G.run_tests(engine_run(s, sf)), G.TESTS),
@@ -200,7 +212,8 @@ QUERIES: dict[str, Query] = {
     "recon_identity": lambda s, sf: V.identity(B.combined_txns(Domain(s, sf), WINDOW, markdown=True)),
     "markdown_comparison": lambda s, sf: (lambda r: V.strategy_comparison(
         M.aggregate(M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg), M.markdown_specs(r.cfg)),
-        M.aggregate(M.redemption_units(r.exposure(), r.combined_txns(), r.redemptions(), r.cfg, None),
+        M.aggregate(M.redemption_units(r.exposure(), r.combined_txns(), r.redemptions(), r.cfg, None,
+                                       shared=r.red_shared()),
                     M.redemption_specs(r.cfg, None))))(engine_run(s, sf)),
     "coverage_check": lambda s, sf: V.coverage(B.combined_txns(Domain(s, sf), WINDOW), DEMO_CONFIG),
     "schema_check": lambda s, sf: V.row_count(B.combined_txns(Domain(s, sf), WINDOW, markdown=True)),

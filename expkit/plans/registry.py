@@ -136,19 +136,23 @@ def family_aggregate(run, family: str) -> DataFrame:
         # The visitor count of the published tests is the engagement frame's.
         return n
     if family == "combined":
-        return M.aggregate(M.txn_units(E, run.combined_txns(), cfg, None), M.txn_specs(cfg, "COMBINED"))
+        return M.aggregate(M.txn_units(E, run.combined_txns(), cfg, None, shared=run.txn_shared()),
+                           M.txn_specs(cfg, "COMBINED"))
     if family == "agp":
         return M.aggregate(M.agp_units(E, B.agp_daily(d, w), cfg), M.agp_specs(cfg))
     if family == "margin":
         return M.aggregate(M.margin_units(E, B.margin_weekly(d, w), cfg), M.margin_specs(cfg))
     if family == "redemptions":
-        return M.aggregate(M.redemption_units(E, run.combined_txns(), run.redemptions(), cfg, None), M.redemption_specs(cfg, None))
+        return M.aggregate(M.redemption_units(E, run.combined_txns(), run.redemptions(), cfg, None,
+                                              shared=run.red_shared()), M.redemption_specs(cfg, None))
     if family == "clips":
         return M.aggregate(M.clip_units(E, B.clips(d, w), cfg), M.clip_specs(cfg))
     if family == "ecomm":
-        return M.location_variant(E, run.combined_txns(), run.redemptions(), cfg, "ECOMM", B.first_ecomm(d, w))
+        return M.location_variant(E, run.combined_txns(), run.redemptions(), cfg, "ECOMM", B.first_ecomm(d, w),
+                                  run.txn_shared(), run.red_shared())
     if family == "store":
-        return M.location_variant(E, run.combined_txns(), run.redemptions(), cfg, "STORE")
+        return M.location_variant(E, run.combined_txns(), run.redemptions(), cfg, "STORE", None,
+                                  run.txn_shared(), run.red_shared())
     if family == "category":
         return M.aggregate(M.category_units(E, B.category_txns(d, w), cfg), M.category_specs(cfg))
     if family == "account":
