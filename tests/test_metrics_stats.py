@@ -24,7 +24,8 @@ def test_attach_bounds_by_exposure_and_zero_fills(spark):
                                (1, 102, D(2024, 1, 20), "ECOMM", 11.0), (3, 103, D(2024, 1, 5), "STORE", 13.0)],
                               "HOUSEHOLD_ID bigint, TXN_ID bigint, TXN_DTE date, TXN_LOCATION string, REVENUE double")
     t = t.select("*", F.col("REVENUE").cast("decimal(38,4)").alias("R"), F.lit(1).cast("decimal(38,4)").alias("ITEMS"),
-                 F.lit(0).cast("decimal(38,4)").alias("SNAP_TENDER")).drop("REVENUE").withColumnRenamed("R", "REVENUE")
+                 F.lit(0).cast("decimal(38,4)").alias("SNAP_TENDER"), F.col("REVENUE").cast("decimal(38,4)").alias("NET_SALES")
+                 ).drop("REVENUE").withColumnRenamed("R", "REVENUE")
     u = {(r.HOUSEHOLD_ID): r for r in M.txn_units(E, t, CFG, None).collect()}
     assert u[1].NUM_ORDERS == 2 and float(u[1].TOT_REVENUE) == 18.0  # purchase on the exposure day counts, before does not
     assert u[2].NUM_ORDERS == 0 and float(u[2].TOT_REVENUE) == 0.0
