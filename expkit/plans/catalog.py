@@ -239,8 +239,19 @@ QUERIES: dict[str, Query] = {
     "table_basket": lambda s, sf: (lambda r: R.basket_table(G.family_aggregate(r, "basket"),
                                                             G.family_aggregate(r, "combined")))(engine_run(s, sf)),
     "run_header": lambda s, sf: (lambda r: R.run_header(s, r.cfg, r.exposure()))(engine_run(s, sf)),
+    # --- the streaming operator's logic on the same events (batch execution) ---
+    "exposure_daily_counts": lambda s, sf: _daily_counts(Domain(s, sf)),
 }
 
+
+def _daily_counts(d: Domain) -> DataFrame:
+    from expkit.streaming import daily_exposure_counts
+
+    ev = d.session_events.select(
+        F.col("HOUSEHOLD_ID"), X.code_variant(F.col("DECISION_ENGINE_VARIANT_CD"), "ABCDEFG").alias("VARIANT_ID"),
+        F.col("EVENT_TS"))
+    return daily_exposure_counts(ev, "HOUSEHOLD_ID")
+
 for _name, (_fam_name, _cols, _derived) in R.FAMILY_TABLES.items():
     QUERIES[f"table_{_name}"] = (lambda n, f: lambda s, sf: R.family_table(G.family_aggregate(engine_run(s, sf), f), n))(
         _name, _fam_name)
