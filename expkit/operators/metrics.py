@@ -184,24 +184,28 @@ def engagement_units(E: DataFrame, visit_order: DataFrame, cart_coupon: DataFram
     ev = (cart_coupon.filter(F.to_date("DTE").between(_d(cfg.start), _d(cfg.end)) & F.col("EVENT_TYPE").isNotNull()))
 
     def half(Eh: DataFrame, key: str) -> DataFrame:
+        # Visits (per visit) and hits (per unit × hit time × type) become one stream of fact rows with a
+        # common time column, so a single join + aggregation attaches both (the original chains three joins).
         v = (vo.groupBy("VISIT_ID", key, "VISIT_START_TS", "VISIT_END_TS")
-             .agg(F.sum("NUM_ORDERS").alias("_o"), F.sum("TOT_REVENUE").alias("_r"), F.sum("NUM_UNITS").alias("_u"))
-             .withColumn("_fk", F.col(key).cast("string")))
-        Eh = Eh.withColumn("_ek", F.col(key).cast("string"))
-        a = attach(Eh, v, "_ek", "_fk",
-                   [F.count_distinct("VISIT_ID").alias("NUM_VISITS"), F.sum("_o").alias("NUM_ORDERS"),
-                    F.sum("_r").alias("TOT_REVENUE"), F.sum("_u").alias("NUM_UNITS")],
-                   {"NUM_VISITS": _zero_l(), "NUM_ORDERS": _zero_l(), "TOT_REVENUE": _zero_d(), "NUM_UNITS": _zero_l()},
-                   cond=lambda m: m["VISIT_END_TS"] >= m["_E_EXPOSURE_DATETIME"].cast("timestamp"))
-        # Hits pre-aggregated per unit × hit time × type (the original's per-type CTEs).
-        h = (ev.groupBy(F.col(key).cast("string").alias("_fk"), "DTE")
+             .agg(F.sum("NUM_ORDERS").cast("bigint").alias("_o"), F.sum("TOT_REVENUE").cast("decimal(38,4)").alias("_r"),
+                  F.sum("NUM_UNITS").cast("bigint").alias("_u"))
+             .select(F.col(key).cast("string").alias("_fk"), F.col("VISIT_END_TS").cast("timestamp").alias("_ts"),
+                     "VISIT_ID", "_o", "_r", "_u", *[F.lit(0).cast("bigint").alias(c) for c in ("_ca", "_cc", "_se")]))
+        h = (ev.groupBy(F.col(key).cast("string").alias("_fk"), F.col("DTE").cast("timestamp").alias("_ts"))
              .agg(F.sum((F.col("EVENT_TYPE") == "CART_ADD").cast("bigint")).alias("_ca"),
                   F.sum((F.col("EVENT_TYPE") == "COUPON_CLIP").cast("bigint")).alias("_cc"),
-                  F.sum((F.col("EVENT_TYPE") == "SEARCH").cast("bigint")).alias("_se")))
-        b = attach(a, h, "_ek", "_fk",
-                   [F.sum("_ca").alias("NUM_CART_ADDS"), F.sum("_cc").alias("COUPON_CLIPS"), F.sum("_se").alias("NUM_SEARCHES")],
-                   {"NUM_CART_ADDS": _zero_l(), "COUPON_CLIPS": _zero_l(), "NUM_SEARCHES": _zero_l()},
-                   cond=lambda m: m["_E_EXPOSURE_DATETIME"].cast("timestamp") <= m["DTE"].cast("timestamp"))
+                  F.sum((F.col("EVENT_TYPE") == "SEARCH").cast("bigint")).alias("_se"))
+             .select("_fk", "_ts", F.lit(None).cast("string").alias("VISIT_ID"), F.lit(None).cast("bigint").alias("_o"),
+                     F.lit(None).cast("decimal(38,4)").alias("_r"), F.lit(None).cast("bigint").alias("_u"),
+                     "_ca", "_cc", "_se"))
+        Eh = Eh.withColumn("_ek", F.col(key).cast("string"))
+        b = attach(Eh, v.unionByName(h), "_ek", "_fk",
+                   [F.count_distinct("VISIT_ID").alias("NUM_VISITS"), F.sum("_o").alias("NUM_ORDERS"),
+                    F.sum("_r").alias("TOT_REVENUE"), F.sum("_u").alias("NUM_UNITS"),
+                    F.sum("_ca").alias("NUM_CART_ADDS"), F.sum("_cc").alias("COUPON_CLIPS"), F.sum("_se").alias("NUM_SEARCHES")],
+                   {"NUM_VISITS": _zero_l(), "NUM_ORDERS": _zero_l(), "TOT_REVENUE": _zero_d(), "NUM_UNITS": _zero_l(),
+                    "NUM_CART_ADDS": _zero_l(), "COUPON_CLIPS": _zero_l(), "NUM_SEARCHES": _zero_l()},
+                   cond=lambda m: m["_ts"] >= m["_E_EXPOSURE_DATETIME"].cast("timestamp"))
         return b.drop("_ek")
 
     hh = half(E.filter(F.col("HOUSEHOLD_ID").isNotNull()), "HOUSEHOLD_ID")
