@@ -156,3 +156,11 @@ def basket_table(basket: DataFrame, combined: DataFrame) -> DataFrame:
 
 
 BASKET_SHARE = "ROUND(CAST(TOTAL_BASKET_HEALTH_TXNS AS DOUBLE) / NULLIF(COMBINED_ORDERS_TOTAL, 0) * 100, 6)"
+
+
+def missing_metrics(tests: DataFrame, registry) -> DataFrame:
+    """Registered tests (with their family and section) that produced no result row."""
+    spark = tests.sparkSession
+    reg = spark.createDataFrame([(t.id, t.family, t.section, t.title) for t in registry],
+                                "TEST_ID string, FAMILY string, SECTION string, TITLE string")
+    return reg.join(tests.select("TEST_ID").distinct(), "TEST_ID", "left_anti")
