@@ -412,8 +412,8 @@ def redemption_location_units(E: DataFrame, combined_txns: DataFrame, redemption
     """M09/M10 for every location at once: ``<L>_<type>_MKDN``, ``<L>_total_mkdn``, ``<L>_<type>_redemptions``
     and ``<L>_total_redemptions`` for L in ECOMM, STORE, ALL, from one transaction ⟕ redemption join.
 
-    Transactions meet redemptions on the transaction id (the window predicate sits in the join condition,
-    so out-of-window transactions keep no offer).  Redemption counts are distinct (offer, transaction)
+    Transactions meet redemptions on the transaction id, with the window predicate in the join condition
+    (out-of-window transactions carry no offer, exactly as the original's left join leaves them).  Redemption counts are distinct (offer, transaction)
     pairs per unit: a first aggregation per unit × offer × transaction (× type) carries location flags,
     the second sums them — no COUNT(DISTINCT) expansion of the fact rows.
     """
@@ -421,7 +421,9 @@ def redemption_location_units(E: DataFrame, combined_txns: DataFrame, redemption
     t = combined_txns
     in_win = t["TXN_DTE"].between(_d(cfg.start), _d(cfg.end))
     r = redemptions.select(F.col("TXN_ID").alias("_r_txn"), "CLIENT_OFFER_ID", "OFFER_TYPE_MOD", "MKDN")
-    tr = t.join(r, (t["TXN_ID"] == r["_r_txn"]) & in_win, "left").select(
+    # Inner join: transactions without a redemption add nothing to any redemption metric (units are
+    # zero-filled afterwards), and an inner join lets AQE split a hot transaction id on either side.
+    tr = t.join(r, (t["TXN_ID"] == r["_r_txn"]) & in_win, "inner").select(
         "HOUSEHOLD_ID", "TXN_ID", "TXN_DTE", "TXN_LOCATION", "CLIENT_OFFER_ID", "OFFER_TYPE_MOD", "MKDN")
     cond = lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"]
     loc, typ = F.col("TXN_LOCATION"), F.col("OFFER_TYPE_MOD")
