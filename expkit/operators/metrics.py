@@ -104,6 +104,15 @@ def _d(s: str) -> Column:
     return F.lit(s).cast("date")
 
 
+def _agg_names(aggs: list[Column]) -> list[str]:
+    """Output names of aliased aggregate columns."""
+    out = []
+    for a in aggs:
+        name = a._jc.toString()
+        out.append(name.rsplit(" AS ", 1)[-1].strip("`"))
+    return out
+
+
 def attach(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, aggs: list[Column],
            defaults: dict[str, Column], cond=None, pre_distinct: list[str] | None = None) -> DataFrame:
     """Attach per-unit aggregates of ``facts`` to every row of ``E`` (zero-filled).
@@ -119,9 +128,14 @@ def attach(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, aggs: list[Co
     m = facts.join(Ek, facts[f_key] == Ek[f"_E_{e_key}"], "inner")
     if cond is not None:
         m = m.filter(cond(m))
+    # Group by a struct of the exposure key, not the key columns: the join's hash partitioning on the
+    # household does not satisfy it, so the aggregation gets its own exchange with map-side partial
+    # aggregation — and AQE may split a hot household's join partition (it declines when a split would
+    # need an extra shuffle, which is the case when the aggregation reuses the join's partitioning).
+    m = m.select(F.struct(*ek).alias("_E"), *[c for c in m.columns if c not in ek])
     if pre_distinct:
-        m = m.select(*ek, *pre_distinct).distinct()
-    per = m.groupBy(*ek).agg(*aggs)
+        m = m.select("_E", *pre_distinct).distinct()
+    per = m.groupBy("_E").agg(*aggs).select("_E.*", *[a for a in _agg_names(aggs)])
     j = E.join(per, [E[c].eqNullSafe(per[f"_E_{c}"]) for c in ecols], "left")
     return j.select(*[E[c] for c in ecols], *[F.coalesce(F.col(n), v).alias(n) for n, v in defaults.items()])
 
@@ -142,7 +156,9 @@ def attach_two_level(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, inn
     m = facts.join(Ek, facts[f_key] == Ek[f"_E_{e_key}"], "inner")
     if cond is not None:
         m = m.filter(cond(m))
-    per = m.groupBy(*ek, *inner_keys).agg(*inner_aggs).groupBy(*ek).agg(*outer_aggs)
+    m = m.select(F.struct(*ek).alias("_E"), *[c for c in m.columns if c not in ek])
+    per = (m.groupBy("_E", *inner_keys).agg(*inner_aggs).groupBy("_E").agg(*outer_aggs)
+           .select("_E.*", *_agg_names(outer_aggs)))
     j = E.join(per, [E[c].eqNullSafe(per[f"_E_{c}"]) for c in ecols], "left")
     return j.select(*[E[c] for c in ecols], *[F.coalesce(F.col(n), v).alias(n) for n, v in defaults.items()])
 
