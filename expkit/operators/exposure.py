@@ -263,9 +263,14 @@ def single_variant(exposure: DataFrame) -> DataFrame:
 
 
 def _first_per(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """First row per key by ``order`` (then the remaining columns) as a struct minimum.
+
+    Grouped by a struct of the key so the aggregation never reuses a preceding join's partitioning on the
+    same key: it gets its own exchange with map-side partial aggregation, and AQE may split that join.
+    """
     others = [c for c in df.columns if c != key and c not in order]
-    agg = df.groupBy(key).agg(F.min(F.struct(*order, *others)).alias("_f"))
-    return agg.select(key, *[F.col(f"_f.{c}").alias(c) for c in order + others]).select(*df.columns)
+    agg = df.groupBy(F.struct(key).alias("_k")).agg(F.min(F.struct(*order, *others)).alias("_f"))
+    return agg.select(F.col(f"_k.{key}").alias(key), *[F.col(f"_f.{c}").alias(c) for c in order + others]).select(*df.columns)
 
 
 WEB_COLUMNS = ["HOUSEHOLD_ID", "ID", "ADOBE_VISITOR_ID", "VARIANT_ID", "EXPOSURE_DATETIME"]
