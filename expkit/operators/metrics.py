@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from expkit import config as C
 from expkit.config import ExperimentConfig
-from expkit.operators import builders as B
 
 # ---------------------------------------------------------------------------
 # Aggregate specification shared with the oracle
