@@ -43,11 +43,12 @@ class Agg:
     kind: str  # 'cnt' → BIGINT, 'dec' → DECIMAL(38,4), 'dbl' → DOUBLE rounded to 6 places
 
     def wrapped(self) -> str:
+        sql = exact_means(self.sql)
         if self.kind == "cnt":
-            return f"CAST({self.sql} AS BIGINT)"
+            return f"CAST({sql} AS BIGINT)"
         if self.kind == "dec":
-            return f"CAST({self.sql} AS DECIMAL(38,4))"
-        return f"ROUND(CAST({self.sql} AS DOUBLE), 6)"
+            return f"CAST({sql} AS DECIMAL(38,4))"
+        return f"ROUND(CAST({sql} AS DOUBLE), 6)"
 
     def col(self) -> Column:
         return F.expr(self.wrapped()).alias(self.name)
@@ -56,6 +57,35 @@ class Agg:
         return f"{self.wrapped()} AS {self.name}"
 
 
+def exact_means(sql: str) -> str:
+    """Rewrite ``AVG(CAST(x AS DOUBLE))`` as ``CAST(SUM(x) AS DOUBLE) / COUNT(x)``.
+
+    On DECIMAL and integer inputs the sum is exact, so the mean no longer depends on the order in which
+    partial sums meet (a double AVG does, by a few ulps — enough to flip a rounded digit between runs).
+    """
+    key = "AVG(CAST("
+    out, i = [], 0
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k = j + len(key)
+        depth, m = 1, k
+        while depth:
+            if sql[m] == "(":
+                depth += 1
+            elif sql[m] == ")":
+                depth -= 1
+            m += 1
+        inner = sql[k:m - 1]                    # "x AS DOUBLE"
+        assert inner.endswith(" AS DOUBLE"), inner
+        x = exact_means(inner[: -len(" AS DOUBLE")])
+        assert sql[m] == ")"
+        out.append(sql[i:j] + f"(CAST(SUM({x}) AS DOUBLE) / NULLIF(COUNT({x}), 0))")
+        i = m + 1
+
+
 def _dbl(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -131,10 +161,10 @@ def attach(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, aggs: list[Co
     # household does not satisfy it, so the aggregation gets its own exchange with map-side partial
     # aggregation — and AQE may split a hot household's join partition (it declines when a split would
     # need an extra shuffle, which is the case when the aggregation reuses the join's partitioning).
-    m = m.select(F.struct(*ek).alias("_E"), *[c for c in m.columns if c not in ek])
+    m = m.select(F.struct(*ek).alias("_xk_unit"), *[c for c in m.columns if c not in ek])
     if pre_distinct:
-        m = m.select("_E", *pre_distinct).distinct()
-    per = m.groupBy("_E").agg(*aggs).select("_E.*", *[a for a in _agg_names(aggs)])
+        m = m.select("_xk_unit", *pre_distinct).distinct()
+    per = m.groupBy("_xk_unit").agg(*aggs).select("_xk_unit.*", *[a for a in _agg_names(aggs)])
     j = E.join(per, [E[c].eqNullSafe(per[f"_E_{c}"]) for c in ecols], "left")
     return j.select(*[E[c] for c in ecols], *[F.coalesce(F.col(n), v).alias(n) for n, v in defaults.items()])
 
@@ -155,9 +185,9 @@ def attach_two_level(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, inn
     m = facts.join(Ek, facts[f_key] == Ek[f"_E_{e_key}"], "inner")
     if cond is not None:
         m = m.filter(cond(m))
-    m = m.select(F.struct(*ek).alias("_E"), *[c for c in m.columns if c not in ek])
-    per = (m.groupBy("_E", *inner_keys).agg(*inner_aggs).groupBy("_E").agg(*outer_aggs)
-           .select("_E.*", *_agg_names(outer_aggs)))
+    m = m.select(F.struct(*ek).alias("_xk_unit"), *[c for c in m.columns if c not in ek])
+    per = (m.groupBy("_xk_unit", *inner_keys).agg(*inner_aggs).groupBy("_xk_unit").agg(*outer_aggs)
+           .select("_xk_unit.*", *_agg_names(outer_aggs)))
     j = E.join(per, [E[c].eqNullSafe(per[f"_E_{c}"]) for c in ecols], "left")
     return j.select(*[E[c] for c in ecols], *[F.coalesce(F.col(n), v).alias(n) for n, v in defaults.items()])
 
@@ -594,20 +624,20 @@ def basket_units(E: DataFrame, basket_health: DataFrame, cfg: ExperimentConfig)
         return F.count_distinct(F.when(cond, F.col("TXN_ID"))).alias(name)
 
     u = attach(E, bh, "HOUSEHOLD_ID", "HOUSEHOLD_ID",
-               [cnt(g == grades[0], "_a"), cnt(g == grades[1], "_b"), cnt(g == grades[2], "_c"),
-                cnt(g == grades[3], "_dd"), cnt(g == grades[4], "_e"), cnt(g.isin(grades[0], grades[1]), "_ab"),
-                cnt(g.isin(grades[3], grades[4]), "_de"), F.count_distinct("TXN_ID").alias("TOTAL_TXNS")],
-               {"_a": _zero_l(), "_b": _zero_l(), "_c": _zero_l(), "_dd": _zero_l(), "_e": _zero_l(), "_ab": _zero_l(), "_de": _zero_l(),
+               [cnt(g == grades[0], "_g_a"), cnt(g == grades[1], "_g_b"), cnt(g == grades[2], "_g_c"),
+                cnt(g == grades[3], "_g_d"), cnt(g == grades[4], "_g_e"), cnt(g.isin(grades[0], grades[1]), "_g_ab"),
+                cnt(g.isin(grades[3], grades[4]), "_g_de"), F.count_distinct("TXN_ID").alias("TOTAL_TXNS")],
+               {"_g_a": _zero_l(), "_g_b": _zero_l(), "_g_c": _zero_l(), "_g_d": _zero_l(), "_g_e": _zero_l(), "_g_ab": _zero_l(), "_g_de": _zero_l(),
                 "TOTAL_TXNS": _zero_l()},
                cond=lambda x: x["TXN_DTE"] >= x["_E_EXPOSURE_DATETIME"])
 
     def rate(c: str) -> Column:
         return F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("TOTAL_TXNS").cast("double")), F.lit(0.0))
 
-    return u.select(*E.columns, rate("_a").alias("Perfect_rate"), rate("_b").alias("great_rate"),
-                    rate("_c").alias("acceptable_rate"), rate("_dd").alias("needs_improvement_rate"),
-                    rate("_e").alias("poor_rate"), (rate("_ab") - rate("_de")).alias("Net_Basket_rate"),
-                    rate("_ab").alias("AB_RATE"), rate("_de").alias("DE_RATE"), "TOTAL_TXNS")
+    return u.select(*E.columns, rate("_g_a").alias("Perfect_rate"), rate("_g_b").alias("great_rate"),
+                    rate("_g_c").alias("acceptable_rate"), rate("_g_d").alias("needs_improvement_rate"),
+                    rate("_g_e").alias("poor_rate"), (rate("_g_ab") - rate("_g_de")).alias("Net_Basket_rate"),
+                    rate("_g_ab").alias("AB_RATE"), rate("_g_de").alias("DE_RATE"), "TOTAL_TXNS")
 
 
 def basket_specs(cfg: ExperimentConfig) -> list[Agg]:
