@@ -164,3 +164,25 @@ def missing_metrics(tests: DataFrame, registry) -> DataFrame:
     reg = spark.createDataFrame([(t.id, t.family, t.section, t.title) for t in registry],
                                 "TEST_ID string, FAMILY string, SECTION string, TITLE string")
     return reg.join(tests.select("TEST_ID").distinct(), "TEST_ID", "left_anti")
+
+
+# The power-analysis fields the scorecard displays.
+POWER_FIELDS = (
+    "POWERED_ON_RPC_DURATION_IN_WEEKS", "POWERED_ON_RPC_HOUSEHOLDS", "POWERED_ON_RPC_RPC_MDE_PCT",
+    "POWERED_ON_AGP_AGP_MDE_PCT", "POWERED_ON_DECONSTRUCTED_DURATION_IN_WEEKS", "POWERED_ON_DECONSTRUCTED_HOUSEHOLDS",
+    "POWERED_ON_DECONSTRUCTED_RPC_MDE_PCT", "POWERED_ON_DECONSTRUCTED_NZ_RPC_MDE_PCT",
+    "POWERED_ON_DECONSTRUCTED_CVR_MDE_PCT", "POWERED_ON_DECONSTRUCTED_AGP_MDE_PCT",
+)
+
+
+def power_lookup(power_results: DataFrame, experiment_id: str) -> DataFrame:
+    """The power-analysis row of the experiment (one row; ``FOUND`` false with NULL fields when absent).
+
+    Several rows for one experiment are reduced deterministically (struct minimum) instead of taking an
+    arbitrary first row.
+    """
+    fields = [c for c in POWER_FIELDS if c in power_results.columns]
+    hit = (power_results.filter(F.col("EXPERIMENT_ID") == experiment_id)
+           .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*fields)).alias("_r")))
+    return hit.select(F.lit(experiment_id).alias("EXPERIMENT_ID"), (F.col("_n") > 0).alias("FOUND"),
+                      *[F.col(f"_r.{c}").alias(c) for c in fields])

@@ -239,6 +239,9 @@ QUERIES: dict[str, Query] = {
     "table_basket": lambda s, sf: (lambda r: R.basket_table(G.family_aggregate(r, "basket"),
                                                             G.family_aggregate(r, "combined")))(engine_run(s, sf)),
     "run_header": lambda s, sf: (lambda r: R.run_header(s, r.cfg, r.exposure()))(engine_run(s, sf)),
+    "margin_refresh": lambda s, sf: B.margin_weekly(Domain(s, sf), WINDOW).agg(
+        F.max("FISCAL_WEEK_END_DT").alias("MARGIN_REFRESH_DATE"), F.max("WEEK_ID").alias("LAST_WEEK_ID"),
+        F.min("FISCAL_WEEK_START_DT").alias("FIRST_WEEK_START")),
     "two_controls": lambda s, sf: X.has_two_controls(X.experiment_lookup(Domain(s, sf).campaign_recipes, "ACIP-20404")),
     "bonus_points_daily": lambda s, sf: (lambda r: M.bonus_points_daily(r.d.points_header, r.d.points, r.cfg))(engine_run(s, sf)),
     "missing_metrics": lambda s, sf: R.missing_metrics(G.run_tests(engine_run(s, sf), [t for t in G.TESTS if t.family == "combined"]),

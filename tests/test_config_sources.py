@@ -56,3 +56,16 @@ def test_sinks_round_trip(spark):
     assert len(files) == 1
     with pytest.raises(ValueError):
         write_csv_report(spark.range(20), os.path.join(base, "big"), max_rows=10)
+
+
+def test_power_lookup_found_and_missing(spark):
+    from expkit.operators.scorecard import POWER_FIELDS, power_lookup
+
+    cols = ", ".join(f"{c} double" for c in POWER_FIELDS)
+    rows = [("EXP1",) + tuple(float(i) for i in range(10)), ("EXP1",) + tuple(float(i + 1) for i in range(10)),
+            ("EXP2",) + tuple(0.5 for _ in range(10))]
+    pr = spark.createDataFrame(rows, f"EXPERIMENT_ID string, {cols}")
+    hit = power_lookup(pr, "EXP1").collect()
+    assert len(hit) == 1 and hit[0].FOUND and hit[0].POWERED_ON_RPC_DURATION_IN_WEEKS == 0.0
+    miss = power_lookup(pr, "NOPE").collect()
+    assert len(miss) == 1 and not miss[0].FOUND and miss[0].POWERED_ON_RPC_HOUSEHOLDS is None
