@@ -124,7 +124,7 @@ def agp_daily(src, w: RefreshWindow) -> DataFrame:
     upc = _t(src, "upc")
     store = _t(src, "store")
     agp = _t(src, "store_upc_agp").filter(in_window("TRANSACTION_DT", w.start, w.end))
-    upc_ok = upc.filter(F.col("SAFEWAY_UPC_IND") & (F.col("CORPORATION_ID") == "001")
+    upc_ok = upc.filter(F.col("OWN_BRAND_UPC_IND") & (F.col("CORPORATION_ID") == "001")
                         & (F.col("SMIC_GROUP_ID") < C.AGP_MAX_GROUP_EXCLUSIVE)
                         & ~F.col("RETAIL_DEPARTMENT_ID").isin(*C.AGP_EXCLUDED_DEPARTMENTS))
     store_ok = store.filter(~F.col("DW_LOGICAL_DELETE_IND"))
@@ -369,7 +369,7 @@ def category_txns(src, w: RefreshWindow) -> DataFrame:
                  & (F.col("DEPOSIT_ITEM_QTY") == 0) & F.col("REV_DTL_SUBTYPE_ID").isin(*C.REV_DTL_SUBTYPES))
          .select("TXN_ID", "TXN_DTE", "CARD_NBR", "STORE_ID", "UPC_ID", "GROSS_AMT", "ITEM_QTY"))
     h = (_t(src, "upc")
-         .filter(F.col("SAFEWAY_UPC_IND") & (F.col("CORPORATION_ID") == "001")
+         .filter(F.col("OWN_BRAND_UPC_IND") & (F.col("CORPORATION_ID") == "001")
                  & ~F.col("RETAIL_DEPARTMENT_ID").isin(*C.CATEGORY_EXCLUDED_DEPARTMENTS)
                  & ~F.col("SMIC_GROUP_ID").cast("string").isin(*C.CATEGORY_EXCLUDED_GROUPS)
                  & ~F.col("DW_LOGICAL_DELETE_IND") & (F.col("RETAIL_DEPARTMENT_ID") != "N/A"))

@@ -54,9 +54,10 @@ def has_two_controls(recipes: DataFrame) -> DataFrame:
     return recipes.agg(F.max(F.col("RECIPE_NM").contains("Control 2").cast("int")).cast("boolean").alias("TWO_CONTROLS"))
 
 
-def experiment_lookup(recipes: DataFrame, identifier: str) -> DataFrame:
-    """Distinct (campaign, recipe) by description (``ACIP-…``) or by id substring."""
-    if identifier.split("-")[0] == "ACIP":
+def experiment_lookup(recipes: DataFrame, identifier: str, description_prefix: str = "EXP") -> DataFrame:
+    """Distinct (campaign, recipe) by description when the identifier carries the ticket prefix
+    (``<prefix>-<number>``), otherwise by a substring of the campaign id."""
+    if identifier.split("-")[0] == description_prefix:
         f = F.col("CAMPAIGN_DSC").contains(identifier)
     else:
         f = F.col("CAMPAIGN_ID").cast("string").contains(identifier)

@@ -104,7 +104,7 @@ def list_run(spark: SparkSession, sf_dir: str) -> Run:
 
 
 WEB_FILTER_CONFIG = C.ExperimentConfig(**{**DEMO_WEB_CONFIG.__dict__, "page_filter": ("order confirmation", "home"),
-                                           "os_platforms": ("iOS", "Web"), "excluded_banners": ("vons",)})
+                                           "os_platforms": ("iOS", "Web"), "excluded_banners": ("banner-south",)})
 PAGE_FILTER_CONFIG = C.ExperimentConfig(**{**DEMO_CONFIG.__dict__, "page_filter": ("order confirmation",),
                                            "os_platforms": ("iOS",), "exposure_filter": "Page or OS platform"})
 
@@ -148,7 +148,7 @@ QUERIES: dict[str, Query] = {
     "primary_platform": lambda s, sf: B.primary_platform(B.exposure_visit_for_power(Domain(s, sf), WINDOW)),
     "division_mapping": lambda s, sf: B.division_mapping(Domain(s, sf)),
     # --- exposure -----------------------------------------------------------
-    "experiment_lookup": lambda s, sf: X.experiment_lookup(Domain(s, sf).campaign_recipes, "ACIP-20404"),
+    "experiment_lookup": lambda s, sf: X.experiment_lookup(Domain(s, sf).campaign_recipes, "EXP-20404"),
     "exposure_web": lambda s, sf: web_run(s, sf).raw_exposure(),
     "exposure_engine": lambda s, sf: engine_run(s, sf).raw_exposure(),
     "exposure_list": lambda s, sf: list_run(s, sf).raw_exposure(),
@@ -242,7 +242,7 @@ QUERIES: dict[str, Query] = {
     "margin_refresh": lambda s, sf: B.margin_weekly(Domain(s, sf), WINDOW).agg(
         F.max("FISCAL_WEEK_END_DT").alias("MARGIN_REFRESH_DATE"), F.max("WEEK_ID").alias("LAST_WEEK_ID"),
         F.min("FISCAL_WEEK_START_DT").alias("FIRST_WEEK_START")),
-    "two_controls": lambda s, sf: X.has_two_controls(X.experiment_lookup(Domain(s, sf).campaign_recipes, "ACIP-20404")),
+    "two_controls": lambda s, sf: X.has_two_controls(X.experiment_lookup(Domain(s, sf).campaign_recipes, "EXP-20404")),
     "bonus_points_daily": lambda s, sf: (lambda r: M.bonus_points_daily(r.d.points_header, r.d.points, r.cfg))(engine_run(s, sf)),
     "missing_metrics": lambda s, sf: R.missing_metrics(G.run_tests(engine_run(s, sf), [t for t in G.TESTS if t.family == "combined"]),
                                                        G.TESTS),

@@ -83,8 +83,8 @@ def _offer_type(e: str) -> str:
 
 
 def _banner(e: str) -> str:
-    return (f"CASE {e} % 5 WHEN 0 THEN 'safeway' WHEN 1 THEN 'vons' WHEN 2 THEN 'albertsons' "
-            f"WHEN 3 THEN 'business-portal' ELSE 'jewel-osco' END")
+    return (f"CASE {e} % 5 WHEN 0 THEN 'banner-north' WHEN 1 THEN 'banner-south' WHEN 2 THEN 'banner-east' "
+            f"WHEN 3 THEN 'business-portal' ELSE 'banner-west' END")
 
 
 # ---------------------------------------------------------------------------
@@ -160,7 +160,7 @@ GROUP BY {_week_id(d, 'D_DATE')}
 def upc(d: Dialect) -> str:
     return f"""
 SELECT p_partkey AS UPC_NBR,
-       (p_partkey % 50 <> 49) AS SAFEWAY_UPC_IND,
+       (p_partkey % 50 <> 49) AS OWN_BRAND_UPC_IND,
        '001' AS CORPORATION_ID,
        CASE WHEN p_partkey % 250 = 0 THEN 'N/A' ELSE CAST(330 + p_partkey % 20 AS STRING) END AS RETAIL_DEPARTMENT_ID,
        CAST(p_partkey % 100 AS INT) AS SMIC_GROUP_ID,
@@ -271,7 +271,7 @@ def campaign_recipes(d: Dialect) -> str:
     """Campaign → recipe names, derived from the experiment tokens seen in the hits."""
     return f"""
 SELECT DISTINCT CAST({WEB_EXPERIMENT_ID} AS INT) AS CAMPAIGN_ID,
-       'ACIP-20404 homepage banner test' AS CAMPAIGN_DSC,
+       'EXP-20404 homepage banner test' AS CAMPAIGN_DSC,
        CASE (user_id + CASE WHEN user_id % 11 = 0 THEN event_id % 2 ELSE 0 END) % 3
             WHEN 0 THEN 'Control' WHEN 1 THEN 'Recipe B' ELSE 'Recipe C' END AS RECIPE_NM
 FROM {d.t('events')}
