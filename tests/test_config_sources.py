@@ -69,3 +69,18 @@ def test_power_lookup_found_and_missing(spark):
     assert len(hit) == 1 and hit[0].FOUND and hit[0].POWERED_ON_RPC_DURATION_IN_WEEKS == 0.0
     miss = power_lookup(pr, "NOPE").collect()
     assert len(miss) == 1 and not miss[0].FOUND and miss[0].POWERED_ON_RPC_HOUSEHOLDS is None
+
+
+def test_bucketed_table_sink(spark):
+    import uuid
+
+    name = f"xk_bucket_{uuid.uuid4().hex[:8]}"
+    df = spark.range(100).selectExpr("id % 10 AS HOUSEHOLD_ID", "id AS TXN_ID")
+    write_table(df, name, as_table=True, bucket_by=(4, "HOUSEHOLD_ID"))
+    t = spark.table(name)
+    assert t.count() == 100
+    plan = t.groupBy("HOUSEHOLD_ID").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the bucketing is reused: no shuffle for a household aggregation
+    spark.sql(f"DROP TABLE {name}")
+    with pytest.raises(ValueError):
+        write_table(df, "/tmp/never-written", bucket_by=(4, "HOUSEHOLD_ID"))
