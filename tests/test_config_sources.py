@@ -84,3 +84,11 @@ def test_bucketed_table_sink(spark):
     spark.sql(f"DROP TABLE {name}")
     with pytest.raises(ValueError):
         write_table(df, "/tmp/never-written", bucket_by=(4, "HOUSEHOLD_ID"))
+
+
+def test_checkpoint_dir_taken_from_session(spark):
+    from expkit.sources.session import ensure_checkpoint_dir
+
+    current = spark.conf.get("spark.checkpoint.dir")
+    assert current and ensure_checkpoint_dir(spark) == current  # an existing setting is used, never replaced
+    assert spark.conf.get("spark.checkpoint.dir") == current
