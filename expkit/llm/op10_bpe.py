@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: Encoded words kept by a worker; the table starts anew when it is full.
-WORDS_KEPT = 800_000
+#: Encoded words (and texts between white space) kept by a worker; a table starts anew when it is full.
+WORDS_KEPT = 600_000
 PAIRS_KEPT = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
@@ -52,6 +52,7 @@ _SPACE = r"[\t\n\x0b\f\r \x85\xa0  -     　]"
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _PLAIN_WORDS = rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t\n\x0b\f\r \x85\xa0]+"
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _BEYOND = re.compile(r"[^\x00-\xff]")
 # A word end that no mapped byte can be.
 _END = "\0"
@@ -111,7 +112,7 @@ class Vocabulary:
         self.spaces = regex.compile(_SPACE + "+").sub
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known = _Words(self)
+        self.known, self.chunks = _Kept(self.packed_word), _Kept(self.packed_chunk)
 
     def _inner(self, token: str) -> str:
         return token.removesuffix(self.mark) + _END if self.mark and token.endswith(self.mark) else token
@@ -183,16 +184,24 @@ class Vocabulary:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, special tokens in it included."""
-        pieces = self.specials.split(text) if self.specials is not None and "<|" in text else [text]
-        packed = []
-        for piece in pieces:
+        packed: list[bytes] = []
+        for piece in self.specials.split(text) if self.specials is not None and "<|" in text else [text]:
             if piece in self.special:
                 packed.append(self.id_type(self.special[piece]).tobytes())
-            elif piece:
+            elif _SEPARATORS.search(piece):  # white space to Python, but not to the vocabulary
                 packed += map(self.known.__getitem__, self.words(piece))
+            else:
+                packed += map(self.chunks.__getitem__, piece.split())
         self.known.trim()
+        self.chunks.trim()
         return np.frombuffer(b"".join(packed), self.id_type)
 
+    def packed_word(self, word: str) -> bytes:
+        return np.array(self.encode_word(word), self.id_type).tobytes()
+
+    def packed_chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.words(chunk)))
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the token strings, joined by a space."""
         return self.strings.joined(ids)
@@ -217,17 +226,17 @@ class _Strings:
         return self.bytes[source[:-1]].tobytes()
 
 
-class _Words(dict):
-    """Packed ids of words, encoded when first asked for."""
+class _Kept(dict):
+    """Packed ids of words, or of what stands between white space, made when first asked for."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.make = make
 
-    def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.vocabulary.encode_word(word), self.vocabulary.id_type).tobytes()
-        if len(word) <= 64:
-            self[word] = packed
+    def __missing__(self, text: str) -> bytes:
+        packed = self.make(text)
+        if len(text) <= 64:
+            self[text] = packed
         return packed
 
     def trim(self) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op3_exact_dedup, op5_sharding, op7_secrets, op9_line_dedup, op10_bpe
+from . import op1_topk, op3_exact_dedup, op5_sharding, op7_secrets, op8_packing, op9_line_dedup, op10_bpe
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
@@ -10,9 +10,12 @@ QUERIES = {
     "op7_secrets": op7_secrets.op7_secrets,
     "op9_line_dedup": op9_line_dedup.op9_line_dedup,
     "op10_bpe": op10_bpe.op10_bpe,
+    "op1_topk": op1_topk.op1_topk,
+    "op8_packing": op8_packing.op8_packing,
 }
 
 ORACLE_SQL = {
+    "op1_topk": op1_topk.ORACLE,
     "op3_exact_dedup": op3_exact_dedup.ORACLE,
     "op9_line_dedup": op9_line_dedup.ORACLE,
 }
