@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op3_exact_dedup, op5_sharding, op7_secrets, op8_packing, op9_line_dedup, op10_bpe
+from . import op1_topk, op3_exact_dedup, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup.op9_line_dedup,
     "op10_bpe": op10_bpe.op10_bpe,
     "op1_topk": op1_topk.op1_topk,
+    "op6_toxicity": op6_toxicity.op6_toxicity,
     "op8_packing": op8_packing.op8_packing,
 }
 
