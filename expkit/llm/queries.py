@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op3_exact_dedup, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe
+from . import op1_topk, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
+    "op4_ngram_join": op4_ngram_join.op4_ngram_join,
     "op5_sharding": op5_sharding.op5_sharding,
     "op7_secrets": op7_secrets.op7_secrets,
     "op9_line_dedup": op9_line_dedup.op9_line_dedup,
