@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe
+from . import op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
     "op4_ngram_join": op4_ngram_join.op4_ngram_join,
     "op5_sharding": op5_sharding.op5_sharding,
