@@ -16,9 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (long) and the text (null: empty) of a table, whatever else it holds."""
-    return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
+def picked(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """The table with columns numbered, and the named ones, told apart by their exact names."""
+    numbered = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    return numbered, [F.col(f"_{df.columns.index(name)}") for name in names]
+
+
+def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only the id (long) and the text (null: empty) of a table, whatever else it holds.
+
+    Columns named in ``carry`` come along in one struct, ``carried``, so that their
+    names meet no others.
+    """
+    numbered, (doc_id, text, *others) = picked(df, id_col, text_col, *carry)
+    out = [doc_id.cast("long").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text")]
+    if carry:
+        out.append(F.struct(*(c.alias(n) for c, n in zip(others, carry, strict=True))).alias("carried"))
+    return numbered.select(*out)
 
 
 def on_workers(spark: SparkSession) -> None:

@@ -83,7 +83,8 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col:
     spark = df.sparkSession
     common.on_workers(spark)
     usable = F.expr("vector is not null and size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].alias("vector")).where("id is not null").where(usable)
+    numbered, (own_id, vector) = common.picked(df, id_col, vector_col)
+    rows = numbered.select(own_id.cast("long").alias("id"), vector.alias("vector")).where("id is not null").where(usable)
     rows = rows.withColumn("dims", F.size("vector"))
     queries = rows.where(F.col("id") % every == 0).distinct()
 

@@ -285,6 +285,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, offsets array<struct<start:int,end:int>>")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is under the threshold."""
+    common.on_workers(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(sent.value)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                scores, _ = sent.value.scored([x or "" for x in some.column(at).to_pylist()], known)
+                yield some.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs = common.table(spark, sf_dir, "documents")

@@ -104,9 +104,9 @@ def _high_entropy(window: int, threshold: float) -> str:
 
 
 def scan_secrets(df: DataFrame, window: int = WINDOW, classes: dict = CLASSES, allowed: list = ALLOWED,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text and ``found``, an array of (kind, start, end) by start, then base kinds before classes."""
-    rows = common.id_text(df, id_col, text_col)
+                 id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, text, what is to be carried, and ``found``, an array of (kind, start, end) by start, then base kinds before classes."""
+    rows = common.id_text(df, id_col, text_col, carry)
     rows = _located(rows, "assign", ASSIGN, 2, 8)
     rows = _located(rows, "access", ACCESS)
     rows = _located(rows, "hex", HEX)
@@ -119,7 +119,7 @@ def scan_secrets(df: DataFrame, window: int = WINDOW, classes: dict = CLASSES, a
     numbered = ", ".join(
         f"transform({name}, s -> named_struct('start', s.start, 'rank', {i}, 'end', s.end, 'kind', '{name}'))" for i, name in enumerate(kinds)
     )
-    return rows.select("doc_id", "text", F.expr(f"array_sort(concat({numbered}))").alias("found"))
+    return rows.select("doc_id", "text", *(["carried"] if carry else []), F.expr(f"array_sort(concat({numbered}))").alias("found"))
 
 
 def redacted(found: str = "found", text: str = "text", mark: str = "[SECRET]") -> Column:

@@ -81,10 +81,10 @@ def _added_up(runs: list[DataFrame]) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, kept (the text that is left)."""
+                id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_dropped, kept (the text that is left), and what is to be carried."""
     spark = df.sparkSession
-    docs = common.id_text(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    docs = common.id_text(df, id_col, text_col, carry).withColumn("text_hash", F.xxhash64("text"))
     keys = (
         docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("k"))
@@ -104,12 +104,14 @@ def dedup_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
         .agg(F.collect_set("pos").alias("drop"))
         .select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"), "drop")
     )
+    carried = ["carried"] if carry else []
     same_row = docs["doc_id"].eqNullSafe(F.col("drop_id")) & (docs["text_hash"] == F.col("drop_hash"))
-    hit = docs.join(drop.hint("shuffle_hash"), same_row, "left").select("doc_id", "drop", F.split("text", "\n", -1).alias("lines"))
+    hit = docs.join(drop.hint("shuffle_hash"), same_row, "left").select("doc_id", "drop", *carried, F.split("text", "\n", -1).alias("lines"))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     left = F.array_except(every, F.coalesce("drop", F.array().cast("array<int>")))
-    return hit.select("doc_id", "lines", left.alias("left")).select(
+    return hit.select("doc_id", *carried, "lines", left.alias("left")).select(
         "doc_id",
+        *carried,
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"),
         F.array_join(F.expr("transform(left, i -> lines[i])"), "\n").alias("kept"),
