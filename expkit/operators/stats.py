@@ -114,9 +114,9 @@ def compare_sql(moments_sql: str, alpha: float, control: str = CONTROL_VARIANT)
             "WHEN TEST_TYPE = 'ratio' THEN S1 * S1 / (M2 * M2) + M1 * M1 * S2 * S2 / POWER(M2, 4) "
             "- 2 * M1 * COALESCE(COV, 0.0) / POWER(M2, 3) ELSE S1 * S1 END")
     return f"""
-WITH m AS (SELECT *, {val} AS VALUE, {uvar} AS UVAR FROM ({moments_sql}) q),
-c AS (SELECT TEST_ID, N AS C_N, M1 AS C_M1, VALUE AS C_VALUE, UVAR AS C_UVAR FROM m WHERE VARIANT_ID = '{control}'),
-j AS (
+WITH m AS MATERIALIZED (SELECT *, {val} AS VALUE, {uvar} AS UVAR FROM ({moments_sql}) q),
+c AS MATERIALIZED (SELECT TEST_ID, N AS C_N, M1 AS C_M1, VALUE AS C_VALUE, UVAR AS C_UVAR FROM m WHERE VARIANT_ID = '{control}'),
+j AS MATERIALIZED (
   SELECT m.*, c.C_N, c.C_M1, c.C_VALUE, c.C_UVAR,
          m.VALUE - c.C_VALUE AS DELTA,
          CASE WHEN POOLED AND TEST_TYPE = 'rate'
@@ -127,7 +127,7 @@ j AS (
                      / (CAST(m.N AS DOUBLE) + c.C_N - 2) * (1 / CAST(m.N AS DOUBLE) + 1 / CAST(c.C_N AS DOUBLE))
               ELSE m.UVAR / CAST(m.N AS DOUBLE) + c.C_UVAR / CAST(c.C_N AS DOUBLE) END AS VAR
   FROM m JOIN c ON m.TEST_ID = c.TEST_ID),
-k AS (SELECT *, CASE WHEN VAR >= 0 THEN SQRT(VAR) END AS SE,
+k AS MATERIALIZED (SELECT *, CASE WHEN VAR >= 0 THEN SQRT(VAR) END AS SE,
              DELTA / NULLIF(CASE WHEN VAR >= 0 THEN SQRT(VAR) END, 0) AS Z,
              CASE WHEN TEST_TYPE = 'rate' THEN 100.0 ELSE 1.0 END AS SCALE,
              VARIANT_ID = '{control}' AS IS_CTRL FROM j)
