@@ -200,9 +200,11 @@ class RefreshWindow:
             start, end = (today - _dt.timedelta(days=days)).isoformat(), today.isoformat()
         return RefreshWindow(start=start, end=end, selection=selection, experiment_id=experiment_id)
 
-    def table_name(self, base: str) -> str:
-        """Output routing: standard names without an experiment id, suffixed names with one."""
-        return f"{base}_{self.experiment_id}" if self.experiment_id else base
+    def table_name(self, kind: str, database: str) -> str:
+        """Output routing: the name under which the analysis looks for the table."""
+        from expkit.sources.sinks import metric_table
+
+        return metric_table(kind, database, self.experiment_id)
 
 
 # Configuration used by the driver-checked queries and the bench: the test

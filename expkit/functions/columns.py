@@ -159,28 +159,30 @@ def two_sided_p(z: ColumnOrName) -> Column:
     return F.least(F.lit(1.0), F.lit(2.0) * normal_lower_tail_abs(z))
 
 
-def chi2_sf(x: ColumnOrName, df: ColumnOrName, max_df: int = 8) -> Column:
-    """Chi-square survival function for integer ``df`` in ``1..max_df`` by its closed finite sums.
+def chi2_sf(x: ColumnOrName, df: ColumnOrName) -> Column:
+    """Chi-square survival function for any integer ``df`` by its closed finite sums, terms taken in logarithms.
 
     even df: exp(-x/2) Σ_{i<df/2} (x/2)^i / i!
     odd df:  2Q(√x) + 2φ(√x) Σ_{i=1}^{(df-1)/2} x^{i-1/2} / (1·3·…·(2i-1))
     """
-    xv = col(x).cast("double")
-    dfc = col(df)
-    s = F.sqrt(xv)
-    out = F.lit(None).cast("double")
-    for k in range(max_df, 0, -1):
-        if k % 2 == 0:
-            terms = [F.pow(xv / 2, F.lit(float(i))) / F.lit(float(math.factorial(i))) for i in range(k // 2)]
-            val = F.exp(-xv / 2) * reduce(lambda a, b: a + b, terms)
-        else:
-            val = F.lit(2.0) * normal_lower_tail_abs(s)
-            dfact = 1.0
-            for i in range(1, (k - 1) // 2 + 1):
-                dfact *= 2 * i - 1
-                val = val + F.lit(2.0) * normal_pdf(s) * F.pow(xv, F.lit(i - 0.5)) / F.lit(dfact)
-        out = F.when(dfc == k, val).otherwise(out)
-    return F.when(xv <= 0, F.lit(1.0)).otherwise(out)
+    xv, dfc = col(x).cast("double"), col(df).cast("int")
+    state = "struct<last:double,sum:double>"
+
+    def total(count: Column, first: Column, step) -> Column:
+        """Σ of ``count`` terms: exp(first), then each ``step(i)`` more in logarithm."""
+        start = F.struct(first.alias("last"), F.exp(first).alias("sum")).cast(state)
+
+        def add(acc, i):
+            last = acc["last"] + step(i.cast("double"))
+            return F.struct(last.alias("last"), (acc["sum"] + F.exp(last)).alias("sum")).cast(state)
+
+        rest = F.when(count > 1, F.sequence(F.lit(1), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(count > 0, F.aggregate(rest, start, add, lambda acc: acc["sum"])).otherwise(F.lit(0.0))
+
+    even = total(F.floor(dfc / 2).cast("int"), -xv / 2, lambda i: F.log(xv / 2) - F.log(i))
+    odd = F.lit(2.0) * normal_lower_tail_abs(F.sqrt(xv)) + total(
+        F.floor((dfc - 1) / 2).cast("int"), F.lit(math.log(2.0 / _SQRT_2PI)) - xv / 2 + F.log(xv) / 2, lambda i: F.log(xv) - F.log(2 * i + 1))
+    return F.when(dfc < 1, F.lit(None).cast("double")).when(xv <= 0, F.lit(1.0)).when(dfc % 2 == 0, even).otherwise(odd)
 
 
 def normal_quantile(p: float) -> float:

@@ -55,7 +55,7 @@ def visit_order(src, w: RefreshWindow) -> DataFrame:
                  | ((end_d >= _lit_date(w.start)) & (end_d < _lit_date(w.end))))
     keys = ["VISIT_ID", "ID", "HOUSEHOLD_ID", "VISIT_START_TS", "VISIT_END_TS"]
     v = (v.select("VISIT_ID", F.col("VISITOR_ID").alias("ID"),
-                  try_int("RETAIL_CUSTOMER_HHID_TXT").cast("int").alias("HOUSEHOLD_ID"),
+                  try_int("RETAIL_CUSTOMER_HHID_TXT").alias("HOUSEHOLD_ID"),
                   F.col("VISIT_START_TS").cast("timestamp").alias("VISIT_START_TS"),
                   F.col("VISIT_END_TS").cast("timestamp").alias("VISIT_END_TS"))
          .groupBy(*keys).agg(F.count(F.lit(1)).alias("_dup")))
@@ -67,9 +67,9 @@ def visit_order(src, w: RefreshWindow) -> DataFrame:
     j = v.join(o, "VISIT_ID", "left")
     return j.select(
         *keys,
-        F.coalesce("_orders", F.lit(0)).cast("int").alias("NUM_ORDERS"),
+        F.coalesce("_orders", F.lit(0)).cast("bigint").alias("NUM_ORDERS"),
         (F.coalesce("_rev", F.lit(0)) * F.col("_dup")).cast("decimal(38,4)").alias("TOT_REVENUE"),
-        (F.coalesce("_units", F.lit(0)) * F.col("_dup")).cast("int").alias("NUM_UNITS"),
+        (F.coalesce("_units", F.lit(0)) * F.col("_dup")).cast("bigint").alias("NUM_UNITS"),
     )
 
 
@@ -89,7 +89,7 @@ def cart_coupon(src, w: RefreshWindow) -> DataFrame:
     return h.select(
         F.col("DATE_TIME").alias("DTE"),
         F.concat("POST_VISID_HIGH", "POST_VISID_LOW").alias("ID"),
-        try_int("POST_EVAR47").cast("int").alias("HOUSEHOLD_ID"),
+        try_int("POST_EVAR47").alias("HOUSEHOLD_ID"),
         F.when(ca, "CART_ADD").when(cc, "COUPON_CLIP").when(se, "SEARCH").alias("EVENT_TYPE"),
     )
 
@@ -106,7 +106,7 @@ def margin_weekly(src, w: RefreshWindow) -> DataFrame:
     hi = sunday_week_start(_lit_date(w.end))
     fw = fw.filter((F.col("FISCAL_WEEK_START_DT") >= lo) & (F.col("FISCAL_WEEK_START_DT") < hi))
     return (a.join(fw, a["WEEK_ID"] == fw["FISCAL_WEEK_ID"], "inner")
-            .select(try_int(a["HOUSEHOLD_ID"]).cast("int").alias("HOUSEHOLD_ID"), a["WEEK_ID"],
+            .select(try_int(a["HOUSEHOLD_ID"]).alias("HOUSEHOLD_ID"), a["WEEK_ID"],
                     "FISCAL_WEEK_START_DT", "FISCAL_WEEK_END_DT", "AGP_VAL_WITHOUT_INSTA_ADJ"))
 
 
@@ -285,8 +285,8 @@ def gas_txns(src, w: RefreshWindow) -> DataFrame:
                    & F.col("REGISTER_NBR").isin(*C.FUEL_REGISTERS)))
     cards = _card_households(src)
     g = (hdr.join(cards, num_key(hdr["CARD_NBR"]) == cards["_card_key"])
-         .groupBy(try_int(cards["HOUSEHOLD_ID"]).cast("int").alias("HOUSEHOLD_ID"), F.col("TXN_DTE"),
-                  try_int(hdr["TXN_ID"]).cast("int").alias("TXN_ID"))
+         .groupBy(try_int(cards["HOUSEHOLD_ID"]).alias("HOUSEHOLD_ID"), F.col("TXN_DTE"),
+                  try_int(hdr["TXN_ID"]).alias("TXN_ID"))
          .agg(F.sum("TOTAL_GROSS_AMT").alias("REVENUE")))
     own = (_fuel_rewards(src, w, own=True).groupBy("HOUSEHOLD_ID")
            .agg(F.sum("REWARD_TOKEN_OFFERED_QTY").alias("o_redeemed"), F.sum("TOTAL_SAVINGS_VALUE_AMT").alias("o_mkdn")))
@@ -342,7 +342,7 @@ def basket_time(src, w: RefreshWindow) -> DataFrame:
 
 def first_ecomm(src, w: RefreshWindow) -> DataFrame:
     """Households whose first pickup/delivery purchase falls in the window ('BNC TO ECOMM')."""
-    prof = _t(src, "customer_profile").select("RETAIL_CUSTOMER_UUID", try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"))
+    prof = _t(src, "customer_profile").select("RETAIL_CUSTOMER_UUID", try_int("HOUSEHOLD_ID").alias("HOUSEHOLD_ID"))
     fe = (_t(src, "customer_first_event")
           .filter(~F.col("DW_LOGICAL_DELETE_IND") & F.col("DW_CURRENT_VERSION_IND")
                   & (F.col("FIRST_DELIVERY_DT").isNotNull() | F.col("FIRST_DUG_DT").isNotNull()))
@@ -358,7 +358,7 @@ def basket_health(src, w: RefreshWindow) -> DataFrame:
     bh = _t(src, "basket_grades")
     cs = _t(src, "txn_segments").filter(F.col("SEGMENT_1").isNotNull() & in_window("TXN_DTE", w.start, w.end))
     return (cs.join(bh, "TXN_ID")
-            .select(try_int("HHS_ID").cast("int").alias("HOUSEHOLD_ID"), "TXN_DTE", "OVERALL_CATEGORY", "TXN_ID")
+            .select(try_int("HHS_ID").alias("HOUSEHOLD_ID"), "TXN_DTE", "OVERALL_CATEGORY", "TXN_ID")
             .distinct())
 
 
@@ -452,14 +452,14 @@ def exposure_visit_for_power(src, w: RefreshWindow, zone: str = "America/Boise")
     hi = F.from_utc_timestamp(_lit_date(w.end).cast("timestamp"), zone)
     return v.filter((d > lo) & (d < hi)).select(
         F.col("VISIT_START_TS").cast("timestamp").alias("VISIT_START_TS"), "VISITOR_ID",
-        try_int("RETAIL_CUSTOMER_HHID_TXT").cast("int").alias("RETAIL_CUSTOMER_HHID_TXT"),
+        try_int("RETAIL_CUSTOMER_HHID_TXT").alias("RETAIL_CUSTOMER_HHID_TXT"),
         "ADOBE_VISITOR_ID_TXT", "SIGN_IN_IND", F.col("BANNER_NM_TXT").alias("BANNER_NM"),
         F.lower("USER_OS_TYPE_CD").alias("USER_OS_TYPE_CD"), "PAGES_VIEWED_TXT")
 
 
 def opt_in(src, population: str, label: str) -> DataFrame:
     return (_t(src, population)
-            .select(try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"), F.lit(label).alias("DIGITAL_REACH"))
+            .select(try_int("HOUSEHOLD_ID").alias("HOUSEHOLD_ID"), F.lit(label).alias("DIGITAL_REACH"))
             .distinct())
 
 
@@ -469,7 +469,7 @@ def rewards_engaged(src, as_of: str) -> DataFrame:
     fw = _t(src, "fiscal_week").filter(F.col("FISCAL_WEEK_START_DT").between(
         F.date_sub(_lit_date(as_of), C.REWARDS_LOOKBACK_DAYS), _lit_date(as_of)))
     return (c.join(fw.select(F.col("FISCAL_WEEK_ID")), "FISCAL_WEEK_ID")
-            .select(try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"), F.lit(1).alias("rewards_engaged"))
+            .select(try_int("HOUSEHOLD_ID").alias("HOUSEHOLD_ID"), F.lit(1).alias("rewards_engaged"))
             .distinct())
 
 
@@ -491,12 +491,12 @@ def fact_segments(src) -> DataFrame:
     fs = _t(src, "facts_segment_week")
     latest = (fs.groupBy("HOUSEHOLD_ID")
               .agg(F.max(F.struct("WEEK_ID", "FACTS_LEVEL2_SEGMENT_ID")).alias("_m"))
-              .select(try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"),
+              .select(try_int("HOUSEHOLD_ID").alias("HOUSEHOLD_ID"),
                       _label(F.col("_m.FACTS_LEVEL2_SEGMENT_ID"), C.FACTS_LATEST_LABELS, "unknown").alias("FACTS")))
     max_week = fs.agg(F.max("WEEK_ID")).scalar()
     recent = (fs.filter((F.col("WEEK_ID") >= max_week - (C.SEGMENT_LOOKBACK_WEEKS - 1))
                       & F.col("FACTS_LEVEL2_SEGMENT_ID").isNotNull())
-              .select(try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"), "FACTS_LEVEL2_SEGMENT_ID"))
+              .select(try_int("HOUSEHOLD_ID").alias("HOUSEHOLD_ID"), "FACTS_LEVEL2_SEGMENT_ID"))
     counts = recent.groupBy("HOUSEHOLD_ID", "FACTS_LEVEL2_SEGMENT_ID").agg(F.count(F.lit(1)).alias("_n"))
     mode = (counts.groupBy("HOUSEHOLD_ID")
             .agg(F.min(F.struct((-F.col("_n")).alias("_negn"), F.col("FACTS_LEVEL2_SEGMENT_ID").alias("_seg"))).alias("_b"))
@@ -513,7 +513,7 @@ def fact_segments(src) -> DataFrame:
 def myneeds_segments(src) -> DataFrame:
     a = _t(src, "attitudinal_segments")
     latest = a.groupBy("HOUSEHOLD_ID").agg(F.max(F.struct("START_WEEK_ID", "SEGMENT")).alias("_m"))
-    return latest.select(try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"),
+    return latest.select(try_int("HOUSEHOLD_ID").alias("HOUSEHOLD_ID"),
                          _label(F.col("_m.SEGMENT"), C.MYNEEDS_LABELS).alias("MYNEEDS"))
 
 
@@ -535,12 +535,12 @@ def primary_platform(visits_for_power: DataFrame) -> DataFrame:
 def division_mapping(src) -> DataFrame:
     """Latest primary store per household with its division and banner."""
     m = (_t(src, "store").filter(~F.col("DIVISION_NM").isin("N/A", "TEST") & ~F.col("DW_LOGICAL_DELETE_IND"))
-         .select(try_int("DIVISION_ID").cast("int").alias("DIVISION_ID"), "DIVISION_NM", "BANNER_NM",
-                 try_int("RETAIL_STORE_FACILITY_NBR").cast("int").alias("STORE_ID")).distinct())
+         .select(try_int("DIVISION_ID").alias("DIVISION_ID"), "DIVISION_NM", "BANNER_NM",
+                 try_int("RETAIL_STORE_FACILITY_NBR").alias("STORE_ID")).distinct())
     a = (_t(src, "hh_primary_store")
-         .select(try_int("HOUSEHOLD_ID").cast("int").alias("HOUSEHOLD_ID"),
-                 try_int("PGM_PERIOD_ID").cast("int").alias("PGM_PERIOD_ID"),
-                 try_int("PRIM_STORE_ID").cast("int").alias("PRIM_STORE_ID")))
+         .select(try_int("HOUSEHOLD_ID").alias("HOUSEHOLD_ID"),
+                 try_int("PGM_PERIOD_ID").alias("PGM_PERIOD_ID"),
+                 try_int("PRIM_STORE_ID").alias("PRIM_STORE_ID")))
     latest = (a.groupBy("HOUSEHOLD_ID").agg(F.max(F.struct("PGM_PERIOD_ID", "PRIM_STORE_ID")).alias("_m"))
               .select("HOUSEHOLD_ID", "_m.PGM_PERIOD_ID", "_m.PRIM_STORE_ID"))
     j = latest.join(m, latest["PRIM_STORE_ID"] == m["STORE_ID"], "left")

@@ -13,6 +13,7 @@ original leaves ties of a DATE ordering undefined).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +33,15 @@ def _d(s: str) -> Column:
 # ---------------------------------------------------------------------------
 
 def tnt_variant(tnt: Column, experiment_id: str, two_controls: bool = False) -> Column:
-    """Variant from the experiment token ``<id>:<recipe>:0``; with two controls recipes 0 and 1 are both A."""
-    out = None
-    for k in range(8):
-        idx = max(k - 1, 0) if two_controls else k
-        cond = tnt.like(f"%{experiment_id}:{k}:0%")
-        lab = C.variant_label(C.VARIANT_LETTERS[idx])
-        out = F.when(cond, lab) if out is None else out.when(cond, lab)
-    return out
+    """Variant from the experiment token ``<id>:<recipe>:0``, for any number of recipes (the smallest of several);
+    with two controls recipes 0 and 1 are both A."""
+    recipes = F.regexp_extract_all(tnt, F.lit(re.escape(experiment_id) + r":(\d{1,9}):0"), F.lit(1))
+    recipe = F.array_min(F.transform(recipes, lambda r: r.cast("int")))
+    index = F.greatest(recipe - 1, F.lit(0)) if two_controls else recipe
+    # A to Z, then AA, AB, …
+    letters = F.when(index < 26, F.char(index + 65)).otherwise(
+        F.concat(F.char(F.floor(index / 26) + 64), F.char(index % 26 + 65)))
+    return F.when(recipe.isNotNull(), F.concat(F.lit(C.variant_label("")), letters))
 
 
 def code_variant(code: Column, letters: str) -> Column:
@@ -61,7 +63,7 @@ def experiment_lookup(recipes: DataFrame, identifier: str, description_prefix: s
         f = F.col("CAMPAIGN_DSC").contains(identifier)
     else:
         f = F.col("CAMPAIGN_ID").cast("string").contains(identifier)
-    return recipes.filter(f).select(F.col("CAMPAIGN_ID").cast("int").alias("CAMPAIGN_ID"), "RECIPE_NM").distinct()
+    return recipes.filter(f).select(F.col("CAMPAIGN_ID").cast("bigint").alias("CAMPAIGN_ID"), "RECIPE_NM").distinct()
 
 
 def page_predicate(cfg: ExperimentConfig) -> Column | None:
@@ -155,8 +157,8 @@ def exposure_web(hits: DataFrame, third_party: DataFrame, cfg: ExperimentConfig)
     h = _apply(h, page_predicate(cfg), os_predicate(cfg), banner_predicate(cfg))
     h = h.select(F.concat("POST_VISID_HIGH", "POST_VISID_LOW").alias("ID"),
                  F.col("POST_EVAR49").alias("ADOBE_VISITOR_ID"),
-                 try_int("POST_EVAR46").cast("int").alias("CLUBCARD_ID"),
-                 try_int("POST_EVAR47").cast("int").alias("_hh"),
+                 try_int("POST_EVAR46").alias("CLUBCARD_ID"),
+                 try_int("POST_EVAR47").alias("_hh"),
                  tnt_variant(F.col("POST_TNT"), cfg.experiment_id, cfg.two_controls).alias("VARIANT_ID"),
                  F.col("DATE_TIME"))
     # FIRST_VALUE(household IGNORE NULLS) over the whole device-id partition.
@@ -332,7 +334,8 @@ def srm_pvalue(counts: DataFrame, count_col: str, group_cols: list[str] | None =
 
 
 def srm_verdict(p: DataFrame, alpha: float = C.SRM_ALPHA) -> DataFrame:
-    return p.withColumn("SRM", F.when(F.round("P_VALUE", 4) < alpha, "MISMATCH").otherwise("OK"))
+    """MISMATCH, OK, or UNKNOWN where there is no p-value (a single variant, no rows)."""
+    return p.withColumn("SRM", F.when(F.col("P_VALUE").isNull(), "UNKNOWN").when(F.round("P_VALUE", 4) < alpha, "MISMATCH").otherwise("OK"))
 
 
 def cumulative_exposures(exposure: DataFrame, unit_col: str, control: str = C.CONTROL_VARIANT) -> DataFrame:

@@ -311,6 +311,14 @@ def margin_specs(cfg: ExperimentConfig) -> list[Agg]:
     return [Agg("VISITORS", f"COUNT(DISTINCT {cfg.unit_col})", "cnt")] + tms("MARGIN", "margin", "dec", nonzero=True)
 
 
+def stored_units(units: DataFrame) -> DataFrame:
+    """A unit frame cut off in the shared checkpoint folder."""
+    from expkit.sources.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(units.sparkSession)
+    return units.checkpoint(eager=True)
+
+
 def winsor_threshold(units: DataFrame, cols: dict[str, str], cfg: ExperimentConfig) -> DataFrame:
     """One-row frame of 99th percentiles over units with a household, all variants pooled.
 
@@ -325,12 +333,11 @@ def winsor_threshold(units: DataFrame, cols: dict[str, str], cfg: ExperimentConf
 def with_threshold(units: DataFrame, thr_cols: dict[str, str], cfg: ExperimentConfig) -> DataFrame:
     """Attach winsor thresholds of ``units`` as scalar subqueries (computed once, inlined as values; no join).
 
-    The unit frame (one row per unit, small next to the facts) is persisted first so the percentile
-    subquery and the main aggregation read one materialization instead of joining the facts twice.
+    The unit frame (one row per unit, small next to the facts) is first written to the shared checkpoint
+    folder, so the percentile subquery and the main aggregation read one result instead of joining the
+    facts twice, and a lost executor costs no more than its own tasks.
     """
-    from pyspark import StorageLevel
-
-    units = units.persist(StorageLevel.MEMORY_AND_DISK)
+    units = stored_units(units)
     thr = winsor_threshold(units, thr_cols, cfg)
     for c in thr.columns:
         units = units.withColumn(c, thr.select(c).scalar())
@@ -643,9 +650,7 @@ def basket_units(E: DataFrame, basket_health: DataFrame, cfg: ExperimentConfig)
 def basket_specs(cfg: ExperimentConfig) -> list[Agg]:
     s = [Agg("VISITORS", f"COUNT(DISTINCT {cfg.unit_col})", "cnt"),
          Agg("UNIQUE_BASKET_HEALTH_HH", "COUNT(DISTINCT HOUSEHOLD_ID)", "cnt")]
-    s += [a for a in tms("BASKET_RATE", "Net_Basket_rate", "dbl") if not a.name.endswith("_TOTAL")]
-    s += [a for a in tms("AB_RATE", "AB_RATE", "dbl") if not a.name.endswith("_TOTAL")]
-    s += [a for a in tms("DE_RATE", "DE_RATE", "dbl") if not a.name.endswith("_TOTAL")]
+    s += tms("BASKET_RATE", "Net_Basket_rate", "dbl") + tms("AB_RATE", "AB_RATE", "dbl") + tms("DE_RATE", "DE_RATE", "dbl")
     s += [Agg("TOTAL_BASKET_HEALTH_TXNS", "SUM(TOTAL_TXNS)", "cnt")]
     return s
 
@@ -728,13 +733,14 @@ def markdown_units(E: DataFrame, combined_txns_md: DataFrame, cfg: ExperimentCon
     t = combined_txns_md.filter(F.col("TXN_DTE").between(_d(cfg.start), _d(cfg.end)))
     if location:
         t = t.filter(F.col("TXN_LOCATION") == location)
-    return attach(E, t, "HOUSEHOLD_ID", "HOUSEHOLD_ID",
+    u = attach(E, t, "HOUSEHOLD_ID", "HOUSEHOLD_ID",
                   [F.sum("TOTAL_MARKDOWN").alias("TOTAL_MARKDOWN"), F.sum("MKDN_AMT").alias("MKDN_AMT"),
                    F.sum("COMBINED_MKDN").alias("COMBINED_MKDN"), F.sum("NET_SALES").alias("TOT_NET_SALES"),
                    F.sum("REVENUE").alias("TOT_REVENUE")],
                   {"TOTAL_MARKDOWN": _zero_d(), "MKDN_AMT": _zero_d(), "COMBINED_MKDN": _zero_d(), "TOT_NET_SALES": _zero_d(),
                    "TOT_REVENUE": _zero_d()},
                   cond=lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"])
+    return with_threshold(u, {"_WIN_REV": "TOT_REVENUE", "_WIN_NS": "TOT_NET_SALES"}, cfg)
 
 
 def markdown_specs(cfg: ExperimentConfig, prefix: str = "") -> list[Agg]:
@@ -743,4 +749,5 @@ def markdown_specs(cfg: ExperimentConfig, prefix: str = "") -> list[Agg]:
     loc = p.rstrip("_") or "COMBINED"
     return ([Agg("VISITORS", f"COUNT(DISTINCT {cfg.unit_col})", "cnt")] + tms(f"{p}TOTAL_MARKDOWN", "TOTAL_MARKDOWN")
             + tms(f"{p}MKDN_AMT", "MKDN_AMT") + tms(f"{p}COMBINED_MKDN", "COMBINED_MKDN")
-            + tms(f"{loc}_NET_SALES", "TOT_NET_SALES") + tms(f"{loc}_GROSS", "TOT_REVENUE"))
+            + tms(f"{loc}_NET_SALES", _win("TOT_NET_SALES", "_WIN_NS", cfg.winsorize))
+            + tms(f"{loc}_REVENUE", _win("TOT_REVENUE", "_WIN_REV", cfg.winsorize)))

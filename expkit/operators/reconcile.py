@@ -77,18 +77,17 @@ def identity(combined_txns_md: DataFrame) -> DataFrame:
 
 
 def strategy_comparison(markdown_agg: DataFrame, redemption_agg: DataFrame) -> DataFrame:
-    """Per variant, expected markdown (gross − net) against the derived, native, native+allocation
-    and digital (redemption) figures, with differences and % error (0 when expected is 0)."""
-    r = redemption_agg.select("VARIANT_ID", F.col("MKDN_TOTAL").alias("_digital"))
-    j = markdown_agg.join(r, "VARIANT_ID", "left")
-    exp = F.col("COMBINED_GROSS_TOTAL") - F.col("COMBINED_NET_SALES_TOTAL")
-    cols = {"DERIVED": F.col("TOTAL_MARKDOWN_TOTAL"), "NATIVE": -F.col("MKDN_AMT_TOTAL"),
-            "NATIVE_ALLOC": -F.col("COMBINED_MKDN_TOTAL"), "DIGITAL": -F.col("_digital")}
-    out = [F.col("VARIANT_ID"), exp.cast("decimal(38,4)").alias("EXPECTED")]
-    for k, v in cols.items():
-        out += [v.cast("decimal(38,4)").alias(k), (v - exp).cast("decimal(38,4)").alias(f"{k}_DIFF"),
-                F.round(F.when(exp == 0, F.lit(0.0)).otherwise((v - exp).cast("double") / exp.cast("double") * 100), 6)
-                .alias(f"{k}_PCT_ERROR")]
+    """Means per customer and variant: revenue less net sales (expected, both capped) against the derived,
+    native and native + allocation markdown, with differences and % errors (0 when expected is 0), and the
+    digital markdown of the redemptions for reference."""
+    j = markdown_agg.join(redemption_agg.select("VARIANT_ID", F.col("MKDN_MEAN").alias("DIGITAL")), "VARIANT_ID", "left")
+    expected = F.col("COMBINED_REVENUE_MEAN") - F.col("COMBINED_NET_SALES_MEAN")
+    means = {"DERIVED": F.col("TOTAL_MARKDOWN_MEAN"), "NATIVE": -F.col("MKDN_AMT_MEAN"), "NATIVE_ALLOC": -F.col("COMBINED_MKDN_MEAN")}
+    out = ["VARIANT_ID", F.col("COMBINED_REVENUE_MEAN").alias("REVENUE"), F.col("COMBINED_NET_SALES_MEAN").alias("NET_SALES"),
+           F.round(expected, 6).alias("EXPECTED"), F.round("DIGITAL", 6).alias("DIGITAL")]
+    for name, mean in means.items():
+        out += [F.round(mean, 6).alias(name), F.round(mean - expected, 6).alias(f"{name}_DIFF"),
+                F.round(F.when(expected == 0, 0.0).otherwise((mean - expected) / expected * 100), 4).alias(f"{name}_PCT_ERROR")]
     return j.select(*out)
 
 

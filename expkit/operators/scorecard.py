@@ -67,7 +67,8 @@ def formatted(tests: DataFrame, registry) -> DataFrame:
                     F.when(F.col("P_VALUE").isNotNull(), F.format_number("P_VALUE", 3)).alias("P_VALUE_TEXT"))
 
 
-KEY_METRICS = ("T03", "T08", "T09", "T12")
+# AGP, revenue, conversion and net sales per customer.
+KEY_METRICS = ("T05", "T03", "T18", "T06")
 
 
 def key_metrics(tests: DataFrame, registry, alpha: float) -> DataFrame:
@@ -86,76 +87,135 @@ def run_header(spark, cfg, variants: DataFrame, output_location: str = "") -> Da
                     F.lit(output_location).alias("OUTPUT_LOCATION"))
 
 
-# Display tables of the family aggregates.  Each is the family's
-# columns plus a few derived rates; the formulas are SQL text shared with the
-# oracle (evaluated with ``F.expr``).
-FAMILY_TABLES: dict[str, tuple[str, list[str], list[tuple[str, str]]]] = {
-    "engagement": ("engagement", ["VISITORS", "UNIQUE_HOUSEHOLDS", "VISITS_MEAN", "ORDERS_MEAN", "REVENUE_MEAN", "CVR",
-                                  "CART_ADDS_MEAN", "COUPON_CLIPS_MEAN", "SEARCHES_MEAN", "AOV", "UPO", "RPV"],
-                   [("AUTHENTICATED_RATE", "ROUND(CAST(UNIQUE_HOUSEHOLDS AS DOUBLE) / NULLIF(VISITORS, 0), 6)")]),
-    "margin_agp": ("agp", ["VISITORS", "NET_SALES_TOTAL", "NET_SALES_MEAN", "AGP_TOTAL", "AGP_MEAN"], []),
-    "ecomm": ("ecomm", ["VISITORS", "PURCHASING_CUSTOMERS", "ECOMM_ORDERS_MEAN", "ECOMM_REVENUE_MEAN", "ECOMM_AOV",
-                        "ECOMM_UPO", "ECOMM_RPV", "ECOMM_BNC_TOTAL", "ECOMM_NET_SALES_MEAN"],
-              [("ECOMM_CVR", "ROUND(CAST(PURCHASING_CUSTOMERS AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)"),
-               ("ECOMM_BNC_CVR", "ROUND(CAST(ECOMM_BNC_TOTAL AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)")]),
-    "store": ("store", ["VISITORS", "PURCHASING_CUSTOMERS", "STORE_ORDERS_MEAN", "STORE_REVENUE_MEAN", "STORE_AOV",
-                        "STORE_UPO", "STORE_RPV"], []),
-    "gas": ("gas", ["VISITORS", "GAS_VISITORS", "GAS_ORDERS_MEAN", "GAS_REVENUE_MEAN", "GAS_AOV", "GAS_RPV",
-                    "GAS_MKDN_MEAN", "GAS_REDEMPTIONS_PER_VISITOR"], []),
-    "combined": ("combined", ["VISITORS", "PURCHASING_CUSTOMERS", "COMBINED_ORDERS_MEAN", "COMBINED_REVENUE_MEAN",
-                              "COMBINED_AOV", "COMBINED_UPO", "COMBINED_RPV", "COMBINED_SNAP_MEAN"],
-                 [("COMBINED_CVR", "ROUND(CAST(PURCHASING_CUSTOMERS AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)")]),
-    "clips": ("clips", ["VISITORS", "UNIQUE_CLIPPING_HH", "CLIPS_TOTAL", "CLIPS_MEAN", "CLIPS_AVG_REAL",
-                        "pd_clips_MEAN", "gr_clips_MEAN", "mf_clips_MEAN", "spd_clips_MEAN", "pzn_clips_MEAN", "sc_clips_MEAN"],
-              [("SHARE_CLIPPING", "ROUND(CAST(UNIQUE_CLIPPING_HH AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)")]),
-    "category": ("category", ["VISITORS", "UNIQUE_HOUSEHOLDS"],
-                 [("CATEGORIES_MEAN", "ROUND(CATEGORIES_MEAN, 2)"), ("ITEMS_MEAN", "ROUND(ITEMS_MEAN, 2)"),
-                  ("CATEGORY_DEPTH", "ROUND(CATEGORY_DEPTH, 2)")]),
-    "account": ("account", ["VISITORS", "UNIQUE_HOUSEHOLDS", "email_count", "phone_count", "reachablity_score",
-                            "fn_ln_count", "bday_count", "address_count", "health_score"], []),
-    "summary": ("combined", ["VISITORS", "COMBINED_REVENUE_MEAN", "COMBINED_ORDERS_MEAN", "COMBINED_UNITS_MEAN",
-                             "COMBINED_AOV"], []),
+# ---------------------------------------------------------------------------
+# R01–R14 published tables
+# ---------------------------------------------------------------------------
+#
+# A table reads one or more family aggregates (one row per variant); the first
+# named is the base, the others are left-joined on the variant.  ``FAMILY.COLUMN``
+# names a column of a family.  Shares are percentages, conversion rates fractions.
+
+def _ratio(part: str, whole: str, scale: int = 1) -> str:
+    return f"ROUND(CAST({part} AS DOUBLE) / NULLIF({whole}, 0){f' * {scale}' if scale != 1 else ''}, 6)"
+
+
+def _same(family: str, *names: str) -> list[tuple[str, str]]:
+    return [(n, f"{family}.{n}") for n in names]
+
+
+def _by_type(family: str, pattern: str) -> list[tuple[str, str]]:
+    return _same(family, *(pattern.format(t) for t in ("pd", "gr", "mf", "spd", "pzn", "sc")))
+
+
+_ENGAGEMENT = [
+    *_same("engagement", "VISITORS", "UNIQUE_HOUSEHOLDS"),
+    ("AUTHENTICATED_RATE", _ratio("engagement.UNIQUE_HOUSEHOLDS", "engagement.VISITORS")),
+    ("VISITS_TOTAL", "engagement.VISITS_TOTAL"), ("VISITS_PER_CUSTOMER", "engagement.VISITS_MEAN"),
+    ("CART_ADDS_TOTAL", "engagement.CART_ADDS_TOTAL"), ("CART_ADDS_PER_CUSTOMER", "engagement.CART_ADDS_MEAN"),
+    ("CART_ADDS_CVR", "engagement.CART_ADDS_CVR"),
+    ("COUPON_CLIPS_TOTAL", "engagement.COUPON_CLIPS_TOTAL"), ("COUPON_CLIPS_PER_CUSTOMER", "engagement.COUPON_CLIPS_MEAN"),
+    ("COUPON_CLIPS_CVR", "engagement.COUPON_CLIP_CVR"),
+    ("SEARCHES_TOTAL", "engagement.SEARCHES_TOTAL"), ("SEARCHES_PER_CUSTOMER", "engagement.SEARCHES_MEAN"),
+    ("SEARCHES_CVR", "engagement.SEARCHES_CVR"),
+]
+_MARGIN = [("MARGIN_TOTAL", "margin.MARGIN_TOTAL"), ("MARGIN_PER_CUSTOMER", "margin.MARGIN_MEAN")]
+_AGP = [("AGP_TOTAL", "agp.AGP_TOTAL"), ("AGP_PER_CUSTOMER", "agp.AGP_MEAN"),
+        ("NET_SALES_TOTAL", "agp.NET_SALES_TOTAL"), ("NET_SALES_PER_CUSTOMER", "agp.NET_SALES_MEAN")]
+_ECOMM = [
+    *_same("ecomm", "PURCHASING_CUSTOMERS", "ECOMM_UNITS_TOTAL"), ("ECOMM_TXNS_TOTAL", "ecomm.ECOMM_ORDERS_TOTAL"),
+    *_same("ecomm", "ECOMM_REVENUE_TOTAL", "ECOMM_NET_SALES_TOTAL", "ECOMM_BNC_TOTAL"),
+    ("ECOMM_BNC_CVR", _ratio("ecomm.ECOMM_BNC_TOTAL", "ecomm.VISITORS")),
+    *_same("ecomm", "ECOMM_AOV", "ECOMM_UPO"), ("ECOMM_REVENUE_PER_CUSTOMER", "ecomm.ECOMM_RPV"),
+    ("ECOMM_NONZERO_REVENUE_PER_CUSTOMER", "ecomm.ECOMM_REVENUE_NONZERO_MEAN"),
+    ("ECOMM_NET_SALES_PER_CUSTOMER", "ecomm.ECOMM_NET_SALES_MEAN"),
+    ("ECOMM_NONZERO_NET_SALES_PER_CUSTOMER", "ecomm.ECOMM_NET_SALES_NONZERO_MEAN"),
+    ("UNIQUE_REDEEMERS_ECOMM", "ecomm.REDEEMING_COUNT_ECOMM"), *_same("ecomm", "ECOMM_REDEMPTIONS_TOTAL", "ECOMM_MKDN_TOTAL"),
+    ("ECOMM_REDEMPTIONS_PER_CUSTOMER", "ecomm.ECOMM_REDEMPTIONS_MEAN"), ("ECOMM_MKDN_PER_CUSTOMER", "ecomm.ECOMM_MKDN_MEAN"),
+    ("ECOMM_CVR", _ratio("ecomm.PURCHASING_CUSTOMERS", "ecomm.VISITORS")),
+]
+_STORE = [
+    *_same("store", "PURCHASING_CUSTOMERS", "STORE_UNITS_TOTAL"), ("STORE_TXNS_TOTAL", "store.STORE_ORDERS_TOTAL"),
+    *_same("store", "STORE_REVENUE_TOTAL", "STORE_AOV", "STORE_UPO"), ("STORE_REVENUE_PER_CUSTOMER", "store.STORE_REVENUE_MEAN"),
+    ("STORE_NONZERO_REVENUE_PER_CUSTOMER", "store.STORE_REVENUE_NONZERO_MEAN"),
+    ("UNIQUE_REDEEMERS_STORE", "store.REDEEMING_COUNT_STORE"), *_same("store", "STORE_REDEMPTIONS_TOTAL", "STORE_MKDN_TOTAL"),
+]
+_GAS = [
+    ("PURCHASING_GAS_VISITORS", "gas.GAS_VISITORS"), ("GAS_TXNS_TOTAL", "gas.GAS_ORDERS_TOTAL"), *_same("gas", "GAS_REVENUE_TOTAL", "GAS_AOV"),
+    ("GAS_REVENUE_PER_CUSTOMER", "gas.GAS_RPV"), ("GAS_MKDN_PER_CUSTOMER", "gas.GAS_MKDN_MEAN"), *_same("gas", "GAS_REWARD_REDEMPTIONS_TOTAL"),
+]
+_COMBINED = [
+    ("COMBINED_REVENUE_TOTAL", "combined.COMBINED_REVENUE_TOTAL"), ("CVR", _ratio("combined.PURCHASING_CUSTOMERS", "combined.VISITORS")),
+    ("COMBINED_REVENUE_PER_CUSTOMER", "combined.COMBINED_RPV"),
+    ("COMBINED_NONZERO_REVENUE_PER_CUSTOMER", "combined.COMBINED_REVENUE_NONZERO_MEAN"),
+    ("TXNS_TOTAL", "combined.COMBINED_ORDERS_TOTAL"), ("TXNS_PER_CUSTOMER", "combined.COMBINED_ORDERS_MEAN"),
+    ("UNITS_TOTAL", "combined.COMBINED_UNITS_TOTAL"), ("UNITS_PER_CUSTOMER", "combined.COMBINED_UNITS_MEAN"),
+    ("AOV", "combined.COMBINED_AOV"), ("UPO", "combined.COMBINED_UPO"),
+]
+_REDEMPTIONS = [("REDEMPTIONS_TOTAL", "redemptions.REDEMPTIONS_TOTAL"), ("REDEMPTIONS_PER_CUSTOMER", "redemptions.REDEMPTIONS_MEAN"),
+                ("MKDN_TOTAL", "redemptions.MKDN_TOTAL"), ("MKDN_PER_CUSTOMER", "redemptions.MKDN_MEAN")]
+_CATEGORY_MEANS = ("CATEGORIES_MEAN", "CATEGORIES_SD", "ITEMS_MEAN", "ITEMS_SD", "CATEGORY_DEPTH", "CD_COV_ITEMS_CATEGORIES")
+_EVERY = {n: e for part in (_ENGAGEMENT, _COMBINED, _REDEMPTIONS, _ECOMM, _MARGIN, _AGP) for n, e in part} | {
+    "CATEGORY_BREADTH": "ROUND(category.CATEGORIES_MEAN, 4)", "CATEGORY_DEPTH": "ROUND(category.CATEGORY_DEPTH, 4)"}
+
+
+def _of(*names: str) -> list[tuple[str, str]]:
+    return [(n, _EVERY[n]) for n in names]
+
+
+TABLES: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
+    "engagement": (("engagement",), [*_ENGAGEMENT, *_same("engagement", "UNITS_TOTAL", "ORDERS_TOTAL", "REVENUE_TOTAL", "AOV", "UPO", "RPV")]),
+    "margin_agp": (("agp", "margin"), [("CUSTOMERS", "agp.VISITORS"), *_MARGIN, *_AGP]),
+    "ecomm": (("ecomm",), _ECOMM),
+    "store": (("store",), _STORE),
+    "gas": (("gas",), _GAS),
+    "combined": (("combined",), _COMBINED),
+    "clips": (("clips",), [("UNIQUE_CLIPPING_HH", "clips.UNIQUE_CLIPPING_HH"),
+                           ("SHARE_CLIPPING", _ratio("clips.UNIQUE_CLIPPING_HH", "clips.VISITORS", 100)),
+                           ("CLIPS_TOTAL", "clips.CLIPS_TOTAL"), ("CLIPS_PER_CUSTOMER", "clips.CLIPS_MEAN"), *_by_type("clips", "{}_clips_TOTAL")]),
+    "redemptions": (("redemptions", "bonus"), [
+        ("UNIQUE_REDEEMERS", "redemptions.REDEEMING_COUNT_COMBINED"),
+        ("SHARE_REDEEMING", _ratio("redemptions.REDEEMING_COUNT_COMBINED", "redemptions.VISITORS", 100)),
+        *_REDEMPTIONS, *_by_type("redemptions", "{}_redemptions_TOTAL"),
+        ("SHARE_BP_EARNING", _ratio("bonus.BP_EARNING_HOUSEHOLDS", "redemptions.VISITORS", 100)),
+        *_same("bonus", "BONUS_POINTS_TOTAL", "ESTIMATED_MKDN_TOTAL")]),
+    "markdown": (("redemptions", "ecomm", "store"), [
+        ("MKDN_TOTAL", "redemptions.MKDN_TOTAL"), ("ECOMM_MKDN_TOTAL", "ecomm.ECOMM_MKDN_TOTAL"), ("STORE_MKDN_TOTAL", "store.STORE_MKDN_TOTAL"),
+        *_by_type("redemptions", "{}_MKDN_TOTAL")]),
+    "basket": (("basket", "combined"), [
+        *_same("basket", "UNIQUE_BASKET_HEALTH_HH"),
+        ("SHARE_BASKET_HEALTH_HH", _ratio("basket.UNIQUE_BASKET_HEALTH_HH", "basket.VISITORS", 100)),
+        ("NET_BASKET_RATE_TOTAL", "basket.BASKET_RATE_TOTAL"), ("NET_BASKET_RATE_MEAN", "basket.BASKET_RATE_MEAN"),
+        *_same("basket", "AB_RATE_TOTAL", "AB_RATE_MEAN", "DE_RATE_TOTAL", "DE_RATE_MEAN", "TOTAL_BASKET_HEALTH_TXNS"),
+        ("SHARE_BASKET_TXNS", _ratio("basket.TOTAL_BASKET_HEALTH_TXNS", "combined.COMBINED_ORDERS_TOTAL", 100))]),
+    "category": (("category",), [*_same("category", "VISITORS", "UNIQUE_HOUSEHOLDS", "CATEGORIES_TOTAL", "ITEMS_TOTAL"),
+                                 *((c, f"ROUND(category.{c}, 4)") for c in _CATEGORY_MEANS)]),
+    "account": (("account",), _same("account", "VISITORS", "UNIQUE_HOUSEHOLDS", "email_count", "phone_count", "reachablity_score",
+                                    "fn_ln_count", "bday_count", "address_count", "health_score")),
+    "output": (("engagement", "combined", "redemptions", "ecomm", "margin", "agp", "category"), _of(
+        "VISITORS", "COMBINED_REVENUE_PER_CUSTOMER", "COMBINED_NONZERO_REVENUE_PER_CUSTOMER", "NET_SALES_PER_CUSTOMER",
+        "ECOMM_REVENUE_PER_CUSTOMER", "MKDN_PER_CUSTOMER", "AGP_PER_CUSTOMER", "CVR", "AOV", "UPO", "TXNS_PER_CUSTOMER",
+        "UNITS_PER_CUSTOMER", "VISITS_PER_CUSTOMER", "SEARCHES_PER_CUSTOMER", "CART_ADDS_PER_CUSTOMER", "COUPON_CLIPS_PER_CUSTOMER",
+        "REDEMPTIONS_PER_CUSTOMER", "SEARCHES_CVR", "CART_ADDS_CVR", "COUPON_CLIPS_CVR", "VISITS_TOTAL", "SEARCHES_TOTAL",
+        "CART_ADDS_TOTAL", "COUPON_CLIPS_TOTAL", "TXNS_TOTAL", "UNITS_TOTAL", "COMBINED_REVENUE_TOTAL", "NET_SALES_TOTAL",
+        "MKDN_TOTAL", "REDEMPTIONS_TOTAL", "ECOMM_REVENUE_TOTAL", "ECOMM_MKDN_TOTAL", "ECOMM_REDEMPTIONS_TOTAL",
+        "ECOMM_NONZERO_REVENUE_PER_CUSTOMER", "ECOMM_REDEMPTIONS_PER_CUSTOMER", "ECOMM_MKDN_PER_CUSTOMER", "ECOMM_CVR",
+        "ECOMM_BNC_TOTAL", "ECOMM_BNC_CVR", "CATEGORY_BREADTH", "CATEGORY_DEPTH", "UNIQUE_HOUSEHOLDS", "AUTHENTICATED_RATE")),
+    "summary": (("engagement", "combined", "redemptions", "margin", "agp"), _of(
+        "UNIQUE_HOUSEHOLDS", "COMBINED_REVENUE_PER_CUSTOMER", "COMBINED_NONZERO_REVENUE_PER_CUSTOMER", "NET_SALES_PER_CUSTOMER", "CVR",
+        "MKDN_PER_CUSTOMER", "AGP_PER_CUSTOMER", "TXNS_PER_CUSTOMER", "UNITS_PER_CUSTOMER", "VISITS_PER_CUSTOMER", "SEARCHES_PER_CUSTOMER",
+        "CART_ADDS_PER_CUSTOMER", "COUPON_CLIPS_PER_CUSTOMER", "MARGIN_PER_CUSTOMER", "REDEMPTIONS_PER_CUSTOMER")),
 }
 
 
-def family_table(agg: DataFrame, name: str) -> DataFrame:
-    _, cols, derived = FAMILY_TABLES[name]
-    return agg.select("VARIANT_ID", *cols, *[F.expr(sql).alias(alias) for alias, sql in derived])
-
-
-def family_table_sql(source: str, name: str) -> str:
-    _, cols, derived = FAMILY_TABLES[name]
-    sel = ["VARIANT_ID", *cols, *[f"{sql} AS {alias}" for alias, sql in derived]]
-    return f"SELECT {', '.join(sel)} FROM {source}"
-
-
-def redemptions_table(redemptions_agg: DataFrame, bonus_agg: DataFrame) -> DataFrame:
-    """R08 (with M16): redemptions ⟕ bonus points on the variant, plus shares redeeming / earning points."""
-    j = redemptions_agg.join(bonus_agg, "VARIANT_ID", "left")
-    return j.select("VARIANT_ID", "VISITORS", "REDEEMING_COUNT_COMBINED", "REDEMPTIONS_MEAN", "MKDN_MEAN",
-                    "BONUS_POINTS_MEAN", "ESTIMATED_MKDN_MEAN", "BP_EARNING_HOUSEHOLDS",
-                    F.expr(REDEEM_SHARE).alias("SHARE_REDEEMING"), F.expr(EARN_SHARE).alias("SHARE_EARNING_POINTS"))
-
-
-REDEEM_SHARE = "ROUND(CAST(REDEEMING_COUNT_COMBINED AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)"
-EARN_SHARE = "ROUND(CAST(BP_EARNING_HOUSEHOLDS AS DOUBLE) / NULLIF(VISITORS, 0) * 100, 6)"
-
-
-def markdown_breakdown(combined: DataFrame, store: DataFrame, ecomm: DataFrame) -> DataFrame:
-    """Combined ⟕ store ⟕ e-commerce markdown on the variant."""
-    return (combined.select("VARIANT_ID", "TOTAL_MARKDOWN_MEAN", "MKDN_AMT_MEAN", "COMBINED_MKDN_MEAN")
-            .join(store.select("VARIANT_ID", "STORE_TOTAL_MARKDOWN_MEAN"), "VARIANT_ID", "left")
-            .join(ecomm.select("VARIANT_ID", "ECOMM_TOTAL_MARKDOWN_MEAN"), "VARIANT_ID", "left"))
-
-
-def basket_table(basket: DataFrame, combined: DataFrame) -> DataFrame:
-    """Basket-health rates and graded transactions as a share of all transactions (joined on the variant)."""
-    j = basket.join(combined.select("VARIANT_ID", "COMBINED_ORDERS_TOTAL"), "VARIANT_ID", "left")
-    return j.select("VARIANT_ID", "UNIQUE_BASKET_HEALTH_HH", "BASKET_RATE_MEAN", "AB_RATE_MEAN", "DE_RATE_MEAN",
-                    "TOTAL_BASKET_HEALTH_TXNS", F.expr(BASKET_SHARE).alias("SHARE_OF_ALL_TXNS"))
-
-
-BASKET_SHARE = "ROUND(CAST(TOTAL_BASKET_HEALTH_TXNS AS DOUBLE) / NULLIF(COMBINED_ORDERS_TOTAL, 0) * 100, 6)"
+def published_table(name: str, family) -> DataFrame:
+    """One published table; ``family(name)`` gives a family's per-variant aggregate."""
+    families, columns = TABLES[name]
+    out = None
+    for f in families:
+        agg = family(f)
+        one = agg.select("VARIANT_ID", F.struct(*(c for c in agg.columns if c != "VARIANT_ID")).alias(f))
+        out = one if out is None else out.join(one, "VARIANT_ID", "left")
+    return out.select("VARIANT_ID", *(F.expr(sql).alias(alias) for alias, sql in columns))
 
 
 def missing_metrics(tests: DataFrame, registry) -> DataFrame:

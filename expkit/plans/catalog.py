@@ -62,11 +62,15 @@ class Run:
 
     # per-location unit frames shared by the e-commerce, in-store and combined families
     def txn_shared(self) -> DataFrame:
-        return self._get("txs", lambda: M.txn_location_units(self.exposure(), self.combined_txns(), self.cfg))
+        return self._get("txs", lambda: self._once(M.txn_location_units(self.exposure(), self.combined_txns(), self.cfg)))
 
     def red_shared(self) -> DataFrame:
-        return self._get("rds", lambda: M.redemption_location_units(self.exposure(), self.combined_txns(),
-                                                                    self.redemptions(), self.cfg))
+        return self._get("rds", lambda: self._once(M.redemption_location_units(self.exposure(), self.combined_txns(),
+                                                                               self.redemptions(), self.cfg)))
+
+    def _once(self, units: DataFrame) -> DataFrame:
+        """Unit frames read by several families are written once to the shared checkpoint folder."""
+        return M.stored_units(units) if self.materialize else units
 
     # exposure
     def raw_exposure(self) -> DataFrame:
@@ -74,6 +78,8 @@ class Run:
             return self._get("xraw", lambda: X.exposure_web(self.d.hits, self.d.third_party_households, self.cfg))
         if self.cfg.platform == "Decision Engine":
             return self._get("xraw", lambda: X.exposure_engine(self.d.session_events, self.d.third_party_households, self.cfg))
+        if self.cfg.platform in ("Push", "Email"):
+            raise NotImplementedError(f"no exposure source is defined for platform {self.cfg.platform!r}")
         return self._get("xraw", lambda: X.exposure_list(self.d.household_list, self.d.third_party_households, self.cfg))
 
     def exposure(self) -> DataFrame:
@@ -83,10 +89,7 @@ class Run:
         def build() -> DataFrame:
             e = X.analysis_exposure(self.raw_exposure(), self.cfg)
             if self.materialize:
-                from expkit.sources.session import ensure_checkpoint_dir
-
-                ensure_checkpoint_dir(e.sparkSession)
-                e = e.checkpoint(eager=True)
+                e = M.stored_units(e)
             return e
         return self._get("x", build)
 
@@ -227,38 +230,15 @@ QUERIES: dict[str, Query] = {
                            lambda cfg: M.markdown_specs(cfg, "ECOMM_")),
     "markdown_store": _fam(lambda r: M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "STORE"),
                            lambda cfg: M.markdown_specs(cfg, "STORE_")),
-    "table_markdown": lambda s, sf: (lambda r: R.markdown_breakdown(
-        M.aggregate(M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg), M.markdown_specs(r.cfg)),
-        M.aggregate(M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "STORE"), M.markdown_specs(r.cfg, "STORE_")),
-        M.aggregate(M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "ECOMM"), M.markdown_specs(r.cfg, "ECOMM_"))
-    ))(engine_run(s, sf)),
-    "table_redemptions": lambda s, sf: (lambda r: R.redemptions_table(
-        G.family_aggregate(r, "redemptions"),
-        M.aggregate(M.bonus_units(r.exposure(), M.bonus_points_daily(r.d.points_header, r.d.points, r.cfg)),
-                    M.bonus_specs(r.cfg))))(engine_run(s, sf)),
-    "table_basket": lambda s, sf: (lambda r: R.basket_table(G.family_aggregate(r, "basket"),
-                                                            G.family_aggregate(r, "combined")))(engine_run(s, sf)),
     "run_header": lambda s, sf: (lambda r: R.run_header(s, r.cfg, r.exposure()))(engine_run(s, sf)),
     "margin_refresh": lambda s, sf: B.margin_weekly(Domain(s, sf), WINDOW).agg(
         F.max("FISCAL_WEEK_END_DT").alias("MARGIN_REFRESH_DATE"), F.max("WEEK_ID").alias("LAST_WEEK_ID"),
         F.min("FISCAL_WEEK_START_DT").alias("FIRST_WEEK_START")),
     "two_controls": lambda s, sf: X.has_two_controls(X.experiment_lookup(Domain(s, sf).campaign_recipes, "EXP-20404")),
     "bonus_points_daily": lambda s, sf: (lambda r: M.bonus_points_daily(r.d.points_header, r.d.points, r.cfg))(engine_run(s, sf)),
-    "missing_metrics": lambda s, sf: R.missing_metrics(G.run_tests(engine_run(s, sf), [t for t in G.TESTS if t.family == "combined"]),
-                                                       G.TESTS),
-    # --- the streaming operator's logic on the same events (batch execution) ---
-    "exposure_daily_counts": lambda s, sf: _daily_counts(Domain(s, sf)),
+    "missing_metrics": lambda s, sf: R.missing_metrics(G.run_tests(engine_run(s, sf)), G.TESTS),
 }
 
-
-def _daily_counts(d: Domain) -> DataFrame:
-    from expkit.streaming import daily_exposure_counts
-
-    ev = d.session_events.select(
-        F.col("HOUSEHOLD_ID"), X.code_variant(F.col("DECISION_ENGINE_VARIANT_CD"), "ABCDEFG").alias("VARIANT_ID"),
-        F.col("EVENT_TS"))
-    return daily_exposure_counts(ev, "HOUSEHOLD_ID")
-
-for _name, (_fam_name, _cols, _derived) in R.FAMILY_TABLES.items():
-    QUERIES[f"table_{_name}"] = (lambda n, f: lambda s, sf: R.family_table(G.family_aggregate(engine_run(s, sf), f), n))(
-        _name, _fam_name)
+for _name in R.TABLES:
+    if _name != "output":
+        QUERIES[f"table_{_name}"] = (lambda n: lambda s, sf: G.published(engine_run(s, sf), n))(_name)

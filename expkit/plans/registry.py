@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from expkit.operators import builders as B
 from expkit.operators import metrics as M
+from expkit.operators import scorecard as R
 from expkit.operators import stats as S
 
 
@@ -102,7 +103,7 @@ TESTS: list[Test] = [
     _t("T58", "Ecomm Metrics", "ECOMM AOV", "ecomm", "ECOMM_REVENUE_NONZERO_MEAN / ECOMM_ORDERS_MEAN", "ECOMM_REVENUE_NONZERO_SD / ECOMM_ORDERS_SD", "ECOMM_COV_REVENUE_ORDERS", "VISITORS", "ratio", False, 4, display="dollar"),
     _t("T59", "Ecomm Metrics", "Ecomm Units Per Order (Basket Size)", "ecomm", "ECOMM_UNITS_MEAN / ECOMM_ORDERS_MEAN", "ECOMM_UNITS_SD / ECOMM_ORDERS_SD", "ECOMM_COV_UNITS_ORDERS", "VISITORS", "ratio", False, 4),
     _t("T60", "Ecomm Metrics", "E-Comm Average Markdown Per Customer", "ecomm", "ECOMM_MKDN_MEAN", "ECOMM_MKDN_SD", None, "VISITORS", "mean", True, 4, "down", "dollar"),
-    _t("T61", "Ecomm Metrics", "E-Comm BNC Test", "ecomm", "ECOMM_BNC_TOTAL", "ECOMM_BNC_TOTAL_SD", None, "VISITORS", "mean", True, 4),
+    _t("T61", "Ecomm Metrics", "E-Comm BNC Test", "ecomm", "ECOMM_BNC_TOTAL", "ECOMM_BNC_TOTAL_SD", None, "VISITORS", "mean", True, 4, "none", "count"),
     _t("T62", "Ecomm Metrics", "E-Comm BNC CVR Test", "ecomm", "ECOMM_BNC_TOTAL", None, None, "VISITORS", "rate", True, 4, display="percent"),
     _t("T63", "Ecomm Metrics", "Ecomm Net Sales Test", "ecomm", "ECOMM_NET_SALES_MEAN", "ECOMM_NET_SALES_SD", None, "VISITORS", "mean", False, 3, display="dollar"),
     _t("T64", "Ecomm Metrics", "Ecomm Non Zero Net Sales Test", "ecomm", "ECOMM_NET_SALES_NONZERO_MEAN", "ECOMM_NET_SALES_NONZERO_SD", None, "VISITORS", "mean", False, 3, display="dollar"),
@@ -161,6 +162,8 @@ def family_aggregate(run, family: str) -> DataFrame:
         return M.aggregate(M.basket_units(E, B.basket_health(d, w), cfg), M.basket_specs(cfg))
     if family == "gas":
         return M.aggregate(M.gas_units(E, B.gas_txns(d, w), cfg), M.gas_specs(cfg))
+    if family == "bonus":
+        return M.aggregate(M.bonus_units(E, M.bonus_points_daily(d.points_header, d.points, cfg)), M.bonus_specs(cfg))
     if family == "markdown":
         return M.aggregate(M.markdown_units(E, run.combined_txns_md(), cfg), M.markdown_specs(cfg))
     raise KeyError(family)
@@ -235,20 +238,13 @@ def run_tests(run, tests: list[Test] | None = None) -> DataFrame:
 
 
 def output_table(run) -> DataFrame:
-    """Wide per-variant output — headline columns of several families joined on the variant."""
-    comb = family_aggregate(run, "combined").select("VARIANT_ID", "VISITORS", "PURCHASING_CUSTOMERS", "COMBINED_REVENUE_MEAN",
-                                                    "COMBINED_ORDERS_MEAN", "COMBINED_UNITS_MEAN", "COMBINED_AOV")
-    ec = family_aggregate(run, "ecomm").select("VARIANT_ID", F.col("ECOMM_REVENUE_MEAN"), F.col("ECOMM_ORDERS_MEAN"),
-                                               F.col("ECOMM_MKDN_MEAN"))
-    st = family_aggregate(run, "store").select("VARIANT_ID", "STORE_REVENUE_MEAN", "STORE_ORDERS_MEAN", "STORE_MKDN_MEAN")
-    mg = family_aggregate(run, "margin").select("VARIANT_ID", "MARGIN_MEAN")
-    ag = family_aggregate(run, "agp").select("VARIANT_ID", "AGP_MEAN", "NET_SALES_MEAN")
-    gs = family_aggregate(run, "gas").select("VARIANT_ID", "GAS_REVENUE_MEAN")
-    rd = family_aggregate(run, "redemptions").select("VARIANT_ID", "REDEMPTIONS_MEAN", "MKDN_MEAN")
-    out = comb
-    for f in (ec, st, mg, ag, gs, rd):
-        out = out.join(f, "VARIANT_ID", "left")
-    return out.withColumnRenamed("VISITORS", "CUSTOMERS")
+    """The published wide table, one row per variant."""
+    return published(run, "output")
+
+
+def published(run, name: str) -> DataFrame:
+    """A published table (R01–R14) of the run."""
+    return R.published_table(name, lambda family: family_aggregate(run, family))
 
 
 def winsor_report(run) -> DataFrame:

@@ -27,17 +27,19 @@ def write_table(df: DataFrame, path_or_name: str, fmt: str = "parquet", as_table
         w.save(path_or_name)
 
 
-def write_csv_report(df: DataFrame, path: str, max_rows: int = 10_000) -> None:
-    """CSV export of the wide output table.
+def write_csv_report(df: DataFrame, path: str) -> None:
+    """CSV export of the wide output table (a folder of part files, one per partition)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
-    The report holds one row per variant (a handful); it is written as a single
-    file.  The row count is checked first so a large frame is never funnelled
-    through one task.
+
+def metric_table(kind: str, database: str, experiment_id: str = "") -> str:
+    """A metric table's name, for the refresh that writes it and the analysis that reads it.
+
+    Standard daily tables have the bare name; those of a custom run end in its experiment id.
     """
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"report has more than {max_rows} rows; write it with write_table instead")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    if kind not in STANDARD_TABLES:
+        raise ValueError(f"unknown metric table {kind!r}")
+    return f"{database}.{STANDARD_TABLES[kind]}" + (f"_{experiment_id}" if experiment_id else "")
 
 
 STANDARD_TABLES = {
@@ -46,14 +48,3 @@ STANDARD_TABLES = {
     "gas": "EXP_GAS_TXNS", "bnc": "EXP_BNC", "basket_health": "EXP_BASKET_HEALTH", "category": "EXP_CATEGORY_TXNS",
     "account_health": "EXP_ACC_HEALTH",
 }
-
-
-def metric_table(kind: str, source: str = "Standard", suffix: str = "", database: str = "db_work") -> str:
-    """S09 reader side: standard daily tables, or the suffixed tables of a linked or custom run."""
-    if source == "Standard":
-        return f"{database}.{STANDARD_TABLES[kind]}"
-    if source in ("DBFS Link", "Custom"):
-        if not suffix:
-            raise ValueError("a linked or custom metric run needs a table suffix")
-        return f"{database}.{kind}_{suffix}"
-    raise ValueError(f"unknown metric source {source!r}")

@@ -24,7 +24,8 @@ def test_refresh_window_defaults_and_validation():
     with pytest.raises(ValueError):
         RefreshWindow.resolve("Attributes", start="2024-01-01", end="2024-02-01", experiment_id="X")
     w = RefreshWindow.resolve("SAFE", "2024-01-01", "2024-02-01", "EXP1")
-    assert w.table_name("visit_order") == "visit_order_EXP1" and RefreshWindow("a", "b").table_name("t") == "t"
+    assert w.table_name("visit_order", "work") == metric_table("visit_order", "work", "EXP1") == "work.EXP_VISIT_ORDER_EXP1"
+    assert RefreshWindow("a", "b").table_name("agp", "work") == metric_table("agp", "work") == "work.EXP_AGP"
 
 
 def test_experiment_config_clamp_and_checks():
@@ -39,11 +40,16 @@ def test_experiment_config_clamp_and_checks():
         ExperimentConfig(experiment_id="x", start="2024-01-01", end="2024-01-02", platform="Fax")
 
 
-def test_metric_table_routing():
-    assert metric_table("combined_txns") == "db_work.EXP_COMBINED_TXNS"
-    assert metric_table("combined_txns", "Custom", "EXP1") == "db_work.combined_txns_EXP1"
+def test_refresh_writes_the_table_that_the_analysis_reads(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS routing_test")
+    w = RefreshWindow.resolve("SAFE", "2024-01-01", "2024-02-01", "E1")
+    try:
+        write_table(spark.range(3), w.table_name("agp", "routing_test"), as_table=True)
+        assert spark.table(metric_table("agp", "routing_test", "E1")).count() == 3
+    finally:
+        spark.sql("DROP DATABASE routing_test CASCADE")
     with pytest.raises(ValueError):
-        metric_table("combined_txns", "DBFS Link")
+        metric_table("no_such_kind", "routing_test")
 
 
 def test_sinks_round_trip(spark):
@@ -52,10 +58,9 @@ def test_sinks_round_trip(spark):
     write_table(df, os.path.join(base, "t"))
     assert spark.read.parquet(os.path.join(base, "t")).count() == 2
     write_csv_report(df, os.path.join(base, "csv"))
-    files = [f for f in os.listdir(os.path.join(base, "csv")) if f.endswith(".csv")]
-    assert len(files) == 1
-    with pytest.raises(ValueError):
-        write_csv_report(spark.range(20), os.path.join(base, "big"), max_rows=10)
+    assert spark.read.option("header", True).csv(os.path.join(base, "csv")).count() == 2
+    write_csv_report(spark.range(20_000), os.path.join(base, "big"))
+    assert spark.read.option("header", True).csv(os.path.join(base, "big")).count() == 20_000
 
 
 def test_power_lookup_found_and_missing(spark):
