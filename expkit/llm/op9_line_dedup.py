@@ -11,7 +11,9 @@ combined before they are shuffled; a line in a third of all documents costs one
 row per task.
 
 When all batches are in, the runs name the lines found in at least
-``min_docs`` documents, and every document loses all of those.
+``min_docs`` documents, and every document loses all of those.  Lines in more than
+one of HOT_SHARE of all line rows, at most HOT_SHARE of them, are looked up where
+they are; the others are merge-joined.
 
 Defined results: a null or empty text is one empty line; empty keys are never
 dropped; a document is a doc_id (null ids count as one document); repeated rows
@@ -28,6 +30,8 @@ from . import common
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACES = " \t\n\x0b\f\r"
 HASH = ["h1", "h2"]
+#: No more lines than this are looked up without a shuffle.
+HOT_SHARE = 4096
 
 
 def line_key(line: Column) -> Column:
@@ -69,8 +73,8 @@ class LineRuns:
         self._write(own, 0)
 
     def frequent(self) -> DataFrame:
-        """Hashes of the lines found in at least ``min_docs`` documents."""
-        return _added_up(self._runs()).where(F.col("n_docs") >= self.min_docs).select(*HASH)
+        """(h1, h2, n_docs) of the lines found in at least ``min_docs`` documents."""
+        return _added_up(self._runs()).where(F.col("n_docs") >= self.min_docs)
 
 
 def _added_up(runs: list[DataFrame]) -> DataFrame:
@@ -98,9 +102,14 @@ def dedup_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
         runs.add(keys.where(F.col("batch") == batch))
 
     # A row is known by its id and text, so rows that share an id keep their own lines.
+    frequent = common.cut_lineage(runs.frequent())
+    # No more than HOT_SHARE lines can be in more than this many documents.
+    hot = F.broadcast(frequent.where(F.col("n_docs") > keys.count() // HOT_SHARE).select(*HASH))
+    dropped = keys.join(hot, HASH, "left_semi").unionByName(
+        keys.join(hot, HASH, "left_anti").join(frequent.select(*HASH).hint("merge"), HASH, "left_semi")
+    )
     drop = (
-        keys.join(runs.frequent().hint("merge"), HASH, "left_semi")
-        .groupBy("doc_id", "text_hash")
+        dropped.groupBy("doc_id", "text_hash")
         .agg(F.collect_set("pos").alias("drop"))
         .select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"), "drop")
     )
