@@ -9,7 +9,8 @@ run is fully described by one immutable value.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from zoneinfo import ZoneInfo
 
 # ---------------------------------------------------------------------------
 # Fixed values.  These must equal the original workflow's constants for the
@@ -134,8 +135,9 @@ class ExperimentConfig:
     exposure_filter: str = "None"
     two_controls: bool = False
     control: str = CONTROL_VARIANT
-    as_of: str | None = None
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
+    # Time zones of event and visit time stamps.
+    event_zone: str = "UTC"
+    visit_zone: str = "UTC"
 
     def __post_init__(self) -> None:
         if self.platform not in PLATFORMS:
@@ -182,8 +184,8 @@ class RefreshWindow:
 
     @staticmethod
     def resolve(selection: str = "SAFE", start: str = "", end: str = "", experiment_id: str = "",
-                today: _dt.date | None = None) -> "RefreshWindow":
-        """Validate refresh inputs and fill default windows (365 days Power, 90 otherwise)."""
+                today: _dt.date | None = None, zone: str = "UTC") -> "RefreshWindow":
+        """Validate refresh inputs and fill default windows (365 days Power, 90 otherwise) up to today in ``zone``."""
         if selection not in ("SAFE", "Power", "Attributes"):
             raise ValueError(f"unknown metric selection {selection!r}")
         if experiment_id and (not start or not end):
@@ -195,7 +197,7 @@ class RefreshWindow:
         if start and end and not experiment_id:
             raise ValueError("dates given without an experiment id")
         if not start:
-            today = today or _dt.date.today()
+            today = today or _dt.datetime.now(ZoneInfo(zone)).date()
             days = 365 if selection == "Power" else 90
             start, end = (today - _dt.timedelta(days=days)).isoformat(), today.isoformat()
         return RefreshWindow(start=start, end=end, selection=selection, experiment_id=experiment_id)
@@ -211,6 +213,7 @@ class RefreshWindow:
 # tables hold orders from 1995 to 2001; 1997 is a full year inside that span.
 DEMO_CONFIG = ExperimentConfig(
     experiment_id="DE-42", start="1997-01-01", end="1997-12-31", platform="Household IDs", alpha=0.1,
+    event_zone="America/Boise", visit_zone="America/Denver",
 )
 DEMO_WEB_CONFIG = ExperimentConfig(
     experiment_id="777", start="1997-01-01", end="1997-12-31", platform="Adobe", alpha=0.1,

@@ -34,6 +34,15 @@ def num_key(c: ColumnOrName) -> Column:
     return col(c).cast("string").try_cast("decimal(38,0)")
 
 
+def keyed(df, column: str):
+    """Rows whose ``column`` is a usable numeric key.
+
+    Applied before an aggregation or join on the key: rows without one (guest or unreadable cards, a large
+    share in retail) match nothing, and would all meet in one partition.
+    """
+    return df.filter(num_key(column).isNotNull())
+
+
 def money(c: ColumnOrName) -> Column:
     return col(c).cast("decimal(38,4)")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from expkit import config as C
 from expkit.config import RefreshWindow
-from expkit.functions.columns import event_in_list, in_window, num_key, sunday_week_start, try_int
+from expkit.functions.columns import event_in_list, in_window, keyed, num_key, sunday_week_start, try_int
 
 
 def _t(src, name: str) -> DataFrame:
@@ -59,8 +59,9 @@ def visit_order(src, w: RefreshWindow) -> DataFrame:
                   F.col("VISIT_START_TS").cast("timestamp").alias("VISIT_START_TS"),
                   F.col("VISIT_END_TS").cast("timestamp").alias("VISIT_END_TS"))
          .groupBy(*keys).agg(F.count(F.lit(1)).alias("_dup")))
-    # Orders pre-aggregated per visit: one row per visit meets one row per visit.
-    o = (_t(src, "order_journey").groupBy("VISIT_ID")
+    # Orders of the window's visits only (not the whole order history), pre-aggregated per visit: one row
+    # per visit meets one row per visit.
+    o = (_t(src, "order_journey").join(v.select("VISIT_ID").distinct(), "VISIT_ID", "left_semi").groupBy("VISIT_ID")
          .agg(F.count_distinct("ORDER_ID").alias("_orders"),
               F.sum(F.coalesce("GROSS_REVENUE_AMT", F.lit(0))).alias("_rev"),
               F.sum(F.coalesce("GROSS_UNIT_CNT", F.lit(0))).alias("_units")))
@@ -136,7 +137,7 @@ def agp_daily(src, w: RefreshWindow) -> DataFrame:
                      _unit_rate("RETAIL_LATE_FLAT_ALLOWANCE_AMT").alias("_late"),
                      _unit_rate("RETAIL_NEW_ITEM_ALLOWANCE_AMT").alias("_new")))
 
-    tf = (_t(src, "txn_facts")
+    tf = (keyed(_t(src, "txn_facts"), "CARD_NBR")
           .filter(in_window("TXN_DTE", w.start, w.end) & F.col("REV_DTL_SUBTYPE_ID").isin(*C.REV_DTL_SUBTYPES)
                   & (F.col("DEPOSIT_ITEM_QTY") == 0))
           .select("TXN_ID", "TXN_DTE", "CARD_NBR", "STORE_ID", "UPC_ID", "NET_AMT", "MKDN_WOD_ALLOC_AMT",
@@ -171,7 +172,7 @@ def agp_daily(src, w: RefreshWindow) -> DataFrame:
 
 def _txn_totals(src, w: RefreshWindow, markdown: bool) -> DataFrame:
     """Lines summed to transaction × date × card (filters: misc, deposit, revenue-detail subtype)."""
-    tf = (_t(src, "txn_facts")
+    tf = (keyed(_t(src, "txn_facts"), "CARD_NBR")
           .filter(in_window("TXN_DTE", w.start, w.end) & (F.col("MISC_ITEM_QTY") == 0)
                   & (F.col("DEPOSIT_ITEM_QTY") == 0) & F.col("REV_DTL_SUBTYPE_ID").isin(*C.REV_DTL_SUBTYPES)))
     aggs = [F.sum("GROSS_AMT").alias("REVENUE"),
@@ -280,7 +281,7 @@ def _fuel_rewards(src, w: RefreshWindow, own: bool) -> DataFrame:
 
 def gas_txns(src, w: RefreshWindow) -> DataFrame:
     """Fuel transactions of households with own-station or partner fuel markdown."""
-    hdr = (_t(src, "txn_header")
+    hdr = (keyed(_t(src, "txn_header"), "CARD_NBR")
            .filter(in_window("TXN_DTE", w.start, w.end) & (F.col("TXN_HDR_SRC_CD") == 0)
                    & F.col("REGISTER_NBR").isin(*C.FUEL_REGISTERS)))
     cards = _card_households(src)
@@ -364,7 +365,7 @@ def basket_health(src, w: RefreshWindow) -> DataFrame:
 
 def category_txns(src, w: RefreshWindow) -> DataFrame:
     """Transaction × household × category revenue and quantity over the filtered product hierarchy."""
-    t = (_t(src, "txn_facts")
+    t = (keyed(_t(src, "txn_facts"), "CARD_NBR")
          .filter(in_window("TXN_DTE", w.start, w.end) & (F.col("TXN_HDR_SRC_CD") == 0) & (F.col("MISC_ITEM_QTY") == 0)
                  & (F.col("DEPOSIT_ITEM_QTY") == 0) & F.col("REV_DTL_SUBTYPE_ID").isin(*C.REV_DTL_SUBTYPES))
          .select("TXN_ID", "TXN_DTE", "CARD_NBR", "STORE_ID", "UPC_ID", "GROSS_AMT", "ITEM_QTY"))
@@ -444,7 +445,7 @@ def third_party_list(src, w: RefreshWindow | None = None) -> DataFrame:
     return _t(src, "third_party_households").select("HOUSEHOLD_ID")
 
 
-def exposure_visit_for_power(src, w: RefreshWindow, zone: str = "America/Boise") -> DataFrame:
+def exposure_visit_for_power(src, w: RefreshWindow, zone: str) -> DataFrame:
     """Projected visits whose start date lies strictly between the zone-shifted window ends."""
     v = _t(src, "visits")
     d = F.to_date("VISIT_START_TS").cast("timestamp")

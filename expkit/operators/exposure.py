@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from expkit import config as C
 from expkit.config import ExperimentConfig
-from expkit.functions.columns import chi2_sf, like_any, page_patterns, try_int
+from expkit.functions.columns import chi2_sf, keyed, like_any, num_key, page_patterns, try_int
 
 
 def _d(s: str) -> Column:
@@ -175,7 +175,7 @@ def exposure_web(hits: DataFrame, third_party: DataFrame, cfg: ExperimentConfig)
 
 
 def exposure_engine(events: DataFrame, third_party: DataFrame, cfg: ExperimentConfig,
-                    zone: str = "America/Boise") -> DataFrame:
+                    zone: str) -> DataFrame:
     """First event per experiment × household × variant; the exposure date is the zone-shifted event date."""
     local_date = F.to_date(F.to_utc_timestamp("EVENT_TS", zone))
     ev = events.filter(F.col("DECISION_ENGINE_EXPERIMENT_ID").like(f"%{cfg.experiment_id}%")
@@ -225,9 +225,7 @@ def filter_households_bnc(txn_segments: DataFrame, cfg: ExperimentConfig) -> Dat
 def filter_households_snap(txn_header: DataFrame, calendar: DataFrame, store: DataFrame, card_map: DataFrame,
                            cfg: ExperimentConfig) -> DataFrame:
     """Households with SNAP/EBT tender in the window (register list and card key as the transaction builder)."""
-    from expkit.functions.columns import num_key
-
-    h = txn_header.filter(F.col("TXN_DTE").between(_d(cfg.start), _d(cfg.end)) & (F.col("TXN_HDR_SRC_CD") == 0)
+    h = keyed(txn_header, "CARD_NBR").filter(F.col("TXN_DTE").between(_d(cfg.start), _d(cfg.end)) & (F.col("TXN_HDR_SRC_CD") == 0)
                           & F.col("REGISTER_NBR").isin(*C.SNAP_FILTER_REGISTERS)
                           & ((F.col("TENDER_AMT_FOODSTAMPS") + F.col("TENDER_AMT_EBT")) > 0))
     h = h.join(calendar.select(F.col("D_DATE").alias("TXN_DTE")), "TXN_DTE", "left_semi")
@@ -237,7 +235,7 @@ def filter_households_snap(txn_header: DataFrame, calendar: DataFrame, store: Da
     return h.join(cards, num_key(h["CARD_NBR"]) == cards["_ck"]).select("HOUSEHOLD_ID").distinct()
 
 
-def filter_households_visits(visits: DataFrame, cfg: ExperimentConfig, zone: str = "America/Denver") -> DataFrame:
+def filter_households_visits(visits: DataFrame, cfg: ExperimentConfig, zone: str) -> DataFrame:
     v = visits.filter(F.to_date(F.from_utc_timestamp("VISIT_START_TS", zone)).between(_d(cfg.start), _d(cfg.end)))
     hh_cfg = ExperimentConfig(**{**cfg.__dict__, "platform": "Household IDs"})
     v = _apply(v, page_predicate(hh_cfg), os_predicate(hh_cfg))

@@ -8,7 +8,9 @@ the analysis over 1997-01-01 … 1997-12-31 with a decision-engine experiment
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +35,11 @@ class Run:
     """Lazily built frames of one analysis run over one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg=DEMO_CONFIG, w: RefreshWindow = WINDOW,
-                 materialize: bool = True):
+                 materialize: bool = True, custom_households: DataFrame | None = None):
         self.d = Domain(spark, sf_dir)
         self.cfg, self.w = cfg, w
         self.materialize = materialize
+        self.custom_households = custom_households
         self._cache: dict[str, DataFrame] = {}
 
     def _get(self, key: str, fn) -> DataFrame:
@@ -73,11 +76,45 @@ class Run:
         return M.stored_units(units) if self.materialize else units
 
     # exposure
+    def filter_households(self) -> DataFrame | None:
+        """Households that the configured exposure filter (X10–X13) keeps; None without a filter."""
+        kind, d = self.cfg.exposure_filter, self.d
+        if kind == "SNAP":
+            return X.filter_households_snap(d.txn_header, d.calendar, d.store, d.card_map, self.cfg)
+        if kind == "BNC":
+            return X.filter_households_bnc(d.txn_segments, self.cfg)
+        if kind == "Page or OS platform":
+            return X.filter_households_visits(d.visits, self.cfg, self.cfg.visit_zone)
+        if kind == "Custom":
+            if self.custom_households is None:
+                raise ValueError("a custom exposure filter needs custom_households")
+            return self.custom_households
+        return None
+
+    @classmethod
+    def checked(cls, spark: SparkSession, sf_dir: str, cfg, today: datetime.date, w: RefreshWindow = WINDOW,
+                stop_on_mismatch: bool = True, custom_households: DataFrame | None = None) -> "Run":
+        """A run behind the published guards: the end date lies before ``today``, two controls are noticed,
+        the metric tables cover the window, and the split passes the sample-ratio test."""
+        cfg = cfg.clamp_end(today)
+        run = cls(spark, sf_dir, cfg, w, custom_households=custom_households)
+        controls = X.has_two_controls(X.experiment_lookup(run.d.campaign_recipes, cfg.experiment_id)).first()
+        if controls is not None and controls["TWO_CONTROLS"]:
+            run = cls(spark, sf_dir, replace(cfg, two_controls=True), w, custom_households=custom_households)
+        V.assert_covered(V.coverage(run.combined_txns(), run.cfg))
+        web = run.cfg.platform == "Adobe"
+        counts = X.variant_counts(run.exposure(), web=web)
+        verdict = X.srm_verdict(X.srm_pvalue(counts, "VISITOR_COUNT" if web else "HH_COUNT")).first()
+        if stop_on_mismatch and (verdict is None or verdict["SRM"] != "OK"):
+            raise RuntimeError(f"sample-ratio check: {verdict}")
+        return run
+
     def raw_exposure(self) -> DataFrame:
         if self.cfg.platform == "Adobe":
             return self._get("xraw", lambda: X.exposure_web(self.d.hits, self.d.third_party_households, self.cfg))
         if self.cfg.platform == "Decision Engine":
-            return self._get("xraw", lambda: X.exposure_engine(self.d.session_events, self.d.third_party_households, self.cfg))
+            return self._get("xraw", lambda: X.exposure_engine(self.d.session_events, self.d.third_party_households, self.cfg,
+                                                             self.cfg.event_zone))
         if self.cfg.platform in ("Push", "Email"):
             raise NotImplementedError(f"no exposure source is defined for platform {self.cfg.platform!r}")
         return self._get("xraw", lambda: X.exposure_list(self.d.household_list, self.d.third_party_households, self.cfg))
@@ -87,22 +124,22 @@ class Run:
         checkpoint folder once per run, like the original's persisted exposure table: every metric
         family then starts from the written table instead of re-deriving exposures from raw events."""
         def build() -> DataFrame:
-            e = X.analysis_exposure(self.raw_exposure(), self.cfg)
+            e = X.analysis_exposure(self.raw_exposure(), self.cfg, self.filter_households())
             if self.materialize:
                 e = M.stored_units(e)
             return e
         return self._get("x", build)
 
 
-def engine_run(spark: SparkSession, sf_dir: str) -> Run:
+def engine_run(spark: SparkSession, sf_dir: str) -> "Run":
     return Run(spark, sf_dir, C.ExperimentConfig(**{**DEMO_CONFIG.__dict__, "platform": "Decision Engine"}))
 
 
-def web_run(spark: SparkSession, sf_dir: str) -> Run:
+def web_run(spark: SparkSession, sf_dir: str) -> "Run":
     return Run(spark, sf_dir, DEMO_WEB_CONFIG)
 
 
-def list_run(spark: SparkSession, sf_dir: str) -> Run:
+def list_run(spark: SparkSession, sf_dir: str) -> "Run":
     return Run(spark, sf_dir, DEMO_CONFIG)
 
 
@@ -112,6 +149,15 @@ PAGE_FILTER_CONFIG = C.ExperimentConfig(**{**DEMO_CONFIG.__dict__, "page_filter"
                                            "os_platforms": ("iOS",), "exposure_filter": "Page or OS platform"})
 
 
+def _filtered_counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    base = PAGE_FILTER_CONFIG if kind == "Page or OS platform" else DEMO_CONFIG
+    cfg = replace(base, exposure_filter=kind, platform="Decision Engine")
+    # Page and OS restrict the households here, not the events.
+    run = Run(spark, sf_dir, cfg)
+    run._cache["xraw"] = engine_run(spark, sf_dir).raw_exposure()
+    return X.variant_counts(run.exposure(), web=False)
+
+
 def _b(fn) -> Query:
     return lambda spark, sf: fn(Domain(spark, sf), WINDOW)
 
@@ -140,7 +186,7 @@ QUERIES: dict[str, Query] = {
     "category_txns": _b(B.category_txns),
     "account_health": _b(B.account_health),
     "third_party_list": _b(B.third_party_list),
-    "exposure_visit_power": _b(B.exposure_visit_for_power),
+    "exposure_visit_power": _b(lambda d, w: B.exposure_visit_for_power(d, w, DEMO_CONFIG.event_zone)),
     "txn_power": _b(B.txn_for_power),
     "opt_in_push": lambda s, sf: B.opt_in(Domain(s, sf), "push_population", "push"),
     "opt_in_email": lambda s, sf: B.opt_in(Domain(s, sf), "email_population", "email"),
@@ -148,7 +194,7 @@ QUERIES: dict[str, Query] = {
     "rewards_engaged": lambda s, sf: B.rewards_engaged(Domain(s, sf), AS_OF),
     "fact_segments": lambda s, sf: B.fact_segments(Domain(s, sf)),
     "myneeds": lambda s, sf: B.myneeds_segments(Domain(s, sf)),
-    "primary_platform": lambda s, sf: B.primary_platform(B.exposure_visit_for_power(Domain(s, sf), WINDOW)),
+    "primary_platform": lambda s, sf: B.primary_platform(B.exposure_visit_for_power(Domain(s, sf), WINDOW, DEMO_CONFIG.event_zone)),
     "division_mapping": lambda s, sf: B.division_mapping(Domain(s, sf)),
     # --- exposure -----------------------------------------------------------
     "experiment_lookup": lambda s, sf: X.experiment_lookup(Domain(s, sf).campaign_recipes, "EXP-20404"),
@@ -224,12 +270,16 @@ QUERIES: dict[str, Query] = {
     "exposure_web_filtered": lambda s, sf: X.exposure_web(Domain(s, sf).hits, Domain(s, sf).third_party_households,
                                                            WEB_FILTER_CONFIG),
     "exposure_filter_page": lambda s, sf: X.apply_exposure_filter(
-        engine_run(s, sf).raw_exposure(), X.filter_households_visits(Domain(s, sf).visits, PAGE_FILTER_CONFIG)),
+        engine_run(s, sf).raw_exposure(), X.filter_households_visits(Domain(s, sf).visits, PAGE_FILTER_CONFIG, PAGE_FILTER_CONFIG.visit_zone)),
     # --- location markdown, display tables, run header ----------------------
     "markdown_ecomm": _fam(lambda r: M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "ECOMM"),
                            lambda cfg: M.markdown_specs(cfg, "ECOMM_")),
     "markdown_store": _fam(lambda r: M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg, "STORE"),
                            lambda cfg: M.markdown_specs(cfg, "STORE_")),
+    # --- whole runs under an exposure filter: what is left to analyse ------------
+    "run_snap": lambda s, sf: _filtered_counts(s, sf, "SNAP"),
+    "run_bnc": lambda s, sf: _filtered_counts(s, sf, "BNC"),
+    "run_page": lambda s, sf: _filtered_counts(s, sf, "Page or OS platform"),
     "run_header": lambda s, sf: (lambda r: R.run_header(s, r.cfg, r.exposure()))(engine_run(s, sf)),
     "margin_refresh": lambda s, sf: B.margin_weekly(Domain(s, sf), WINDOW).agg(
         F.max("FISCAL_WEEK_END_DT").alias("MARGIN_REFRESH_DATE"), F.max("WEEK_ID").alias("LAST_WEEK_ID"),

@@ -41,27 +41,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the setting names a shared folder and is used as is.  Only when
-    it is unset (local tests) is a fresh scratch folder set.
+    On a cluster the setting names a shared folder and is used as is; without it
+    intermediates have no place that all executors see, so the run stops.  Only a
+    local session, where driver and executors are one process, gets a scratch
+    folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="expkit-ckpt-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="expkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back.
-
-    Cuts the lineage of a multi-stage plan (exposure tables) so that a lost
-    executor recomputes from the written files, not from the raw sources.
-    """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").format(fmt).save(path)
-    return spark.read.format(fmt).load(path)
