@@ -361,16 +361,22 @@ def cumulative_srm(cumulative: DataFrame) -> DataFrame:
 
 
 def variant_counts(exposure: DataFrame, web: bool) -> DataFrame:
-    """Distinct households and visitors per variant (split by missing household for web)."""
-    aggs = [F.count_distinct("HOUSEHOLD_ID").alias("HH_COUNT")]
-    if web:
-        aggs += [F.count_distinct("ADOBE_VISITOR_ID").alias("ADOBE_VISITORS"),
-                 F.count_distinct(F.when(F.col("HOUSEHOLD_ID").isNull(), F.col("ADOBE_VISITOR_ID"))).alias("ADOBE_VISITORS_wNULL_HH"),
-                 F.count_distinct(F.when(F.col("HOUSEHOLD_ID").isNotNull(), F.col("ADOBE_VISITOR_ID"))).alias("ADOBE_VISITORS_noNULL_HH")]
-    out = exposure.groupBy("VARIANT_ID").agg(*aggs)
-    if web:
-        out = out.withColumn("VISITOR_COUNT", F.col("ADOBE_VISITORS_wNULL_HH") + F.col("HH_COUNT"))
-    return out
+    """Distinct households and visitors per variant (split by missing household for web).
+
+    Each distinct count is an aggregation per variant and unit with flags, then per variant, so exposure
+    rows are not expanded once per count; the results have a row per variant.
+    """
+    households = exposure.groupBy("VARIANT_ID").agg(F.count_distinct("HOUSEHOLD_ID").alias("HH_COUNT"))
+    if not web:
+        return households
+    per_visitor = exposure.filter(F.col("ADOBE_VISITOR_ID").isNotNull()).groupBy("VARIANT_ID", "ADOBE_VISITOR_ID").agg(
+        F.max(F.col("HOUSEHOLD_ID").isNull().cast("int")).alias("_without"), F.max(F.col("HOUSEHOLD_ID").isNotNull().cast("int")).alias("_with"))
+    visitors = per_visitor.groupBy("VARIANT_ID").agg(
+        F.count(F.lit(1)).alias("ADOBE_VISITORS"), F.sum("_without").alias("ADOBE_VISITORS_wNULL_HH"), F.sum("_with").alias("ADOBE_VISITORS_noNULL_HH"))
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("ADOBE_VISITORS", "ADOBE_VISITORS_wNULL_HH", "ADOBE_VISITORS_noNULL_HH")]
+    visitors = visitors.withColumnRenamed("VARIANT_ID", "_variant")
+    out = households.join(visitors, households["VARIANT_ID"].eqNullSafe(visitors["_variant"]), "left").select("VARIANT_ID", "HH_COUNT", *none)
+    return out.withColumn("VISITOR_COUNT", F.col("ADOBE_VISITORS_wNULL_HH") + F.col("HH_COUNT"))
 
 
 def exposure_window(exposure: DataFrame) -> DataFrame:

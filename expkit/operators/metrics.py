@@ -143,13 +143,10 @@ def _agg_names(aggs: list[Column]) -> list[str]:
 
 
 def attach(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, aggs: list[Column],
-           defaults: dict[str, Column], cond=None, pre_distinct: list[str] | None = None) -> DataFrame:
+           defaults: dict[str, Column], cond=None) -> DataFrame:
     """Attach per-unit aggregates of ``facts`` to every row of ``E`` (zero-filled).
 
-    ``cond(m)`` may reference exposure columns as ``_E_<name>``.  With
-    ``pre_distinct`` the matched rows are first reduced to distinct
-    (unit, *pre_distinct) tuples — an exact COUNT(DISTINCT …) per unit that
-    needs no Expand of the fact rows.
+    ``cond(m)`` may reference exposure columns as ``_E_<name>``.
     """
     ecols = E.columns
     ek = [f"_E_{c}" for c in ecols]
@@ -162,22 +159,19 @@ def attach(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, aggs: list[Co
     # aggregation — and AQE may split a hot household's join partition (it declines when a split would
     # need an extra shuffle, which is the case when the aggregation reuses the join's partitioning).
     m = m.select(F.struct(*ek).alias("_xk_unit"), *[c for c in m.columns if c not in ek])
-    if pre_distinct:
-        m = m.select("_xk_unit", *pre_distinct).distinct()
     per = m.groupBy("_xk_unit").agg(*aggs).select("_xk_unit.*", *[a for a in _agg_names(aggs)])
     j = E.join(per, [E[c].eqNullSafe(per[f"_E_{c}"]) for c in ecols], "left")
     return j.select(*[E[c] for c in ecols], *[F.coalesce(F.col(n), v).alias(n) for n, v in defaults.items()])
 
 
-def attach_two_level(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, inner_keys: list[str],
-                     inner_aggs: list[Column], outer_aggs: list[Column], defaults: dict[str, Column],
-                     cond=None) -> DataFrame:
-    """Like ``attach`` but aggregating twice: per (unit, *inner_keys) and then per unit.
+def attach_levels(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, levels: list[tuple[list[str], list[Column]]],
+                  defaults: dict[str, Column], cond=None) -> DataFrame:
+    """Like ``attach`` but aggregating in several levels: ``levels`` lists (keys besides the unit, aggregates),
+    finest first; the last is per unit and has no keys.
 
-    Used where one fact pass must serve several locations: the first level
-    collapses each unit's facts to one row per transaction (or offer ×
-    transaction) with per-location flags and sums, the second level turns the
-    flags into exact distinct counts per location and overall.
+    Used where one fact pass must serve several counts: a fine level collapses each unit's facts to one row
+    per transaction (or offer × transaction) with flags and sums, the next ones turn the flags into exact
+    distinct counts, so the facts are never expanded once per distinct count.
     """
     ecols = E.columns
     ek = [f"_E_{c}" for c in ecols]
@@ -185,9 +179,10 @@ def attach_two_level(E: DataFrame, facts: DataFrame, e_key: str, f_key: str, inn
     m = facts.join(Ek, facts[f_key] == Ek[f"_E_{e_key}"], "inner")
     if cond is not None:
         m = m.filter(cond(m))
-    m = m.select(F.struct(*ek).alias("_xk_unit"), *[c for c in m.columns if c not in ek])
-    per = (m.groupBy("_xk_unit", *inner_keys).agg(*inner_aggs).groupBy("_xk_unit").agg(*outer_aggs)
-           .select("_xk_unit.*", *_agg_names(outer_aggs)))
+    per = m.select(F.struct(*ek).alias("_xk_unit"), *[c for c in m.columns if c not in ek])
+    for keys, aggs in levels:
+        per = per.groupBy("_xk_unit", *keys).agg(*aggs)
+    per = per.select("_xk_unit.*", *_agg_names(levels[-1][1]))
     j = E.join(per, [E[c].eqNullSafe(per[f"_E_{c}"]) for c in ecols], "left")
     return j.select(*[E[c] for c in ecols], *[F.coalesce(F.col(n), v).alias(n) for n, v in defaults.items()])
 
@@ -386,8 +381,8 @@ def txn_location_units(E: DataFrame, combined_txns: DataFrame, cfg: ExperimentCo
         dflt[f"{L}_NUM_ORDERS"] = _zero_l()
         dflt[f"{L}_ROWS"] = _zero_l()
         dflt.update({f"{L}_{name}": _zero_d() for name in meas})
-    return attach_two_level(E, t, "HOUSEHOLD_ID", "HOUSEHOLD_ID", ["TXN_ID"], inner, outer, dflt,
-                            cond=lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"])
+    return attach_levels(E, t, "HOUSEHOLD_ID", "HOUSEHOLD_ID", [(["TXN_ID"], inner), ([], outer)], dflt,
+                         cond=lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"])
 
 
 def txn_units(E: DataFrame, combined_txns: DataFrame, cfg: ExperimentConfig, location: str | None,
@@ -479,31 +474,24 @@ def redemption_location_units(E: DataFrame, combined_txns: DataFrame, redemption
         "HOUSEHOLD_ID", "TXN_ID", "TXN_DTE", "TXN_LOCATION", "CLIENT_OFFER_ID", "OFFER_TYPE_MOD", "MKDN")
     cond = lambda x: x["_E_EXPOSURE_DATETIME"] <= x["TXN_DTE"]
     loc, typ = F.col("TXN_LOCATION"), F.col("OFFER_TYPE_MOD")
-    types = C.OFFER_TYPES
-    lcond = {L: (F.lit(True) if L == "ALL" else (loc == L)) for L in LOCATIONS + ("ALL",)}
-    mk, mk_d = [], {}
-    for L, lc in lcond.items():
-        for ty in types:
-            mk.append(F.sum(F.when(lc & (typ == ty), F.col("MKDN")).otherwise(0)).alias(f"{L}_{ty.lower()}_MKDN"))
-            mk_d[f"{L}_{ty.lower()}_MKDN"] = _zero_d()
-        mk.append(F.sum(F.when(lc, F.col("MKDN")).otherwise(0)).alias(f"{L}_total_mkdn"))
-        mk_d[f"{L}_total_mkdn"] = _zero_d()
-    u = attach(E, tr, "HOUSEHOLD_ID", "HOUSEHOLD_ID", mk, mk_d, cond=cond)
-    pairs = tr.filter(F.col("CLIENT_OFFER_ID").isNotNull())
-    inner = [F.max(lc.cast("int")).alias(f"_has_{L}") for L, lc in lcond.items()]
-    typed_outer, typed_d = [], {}
-    for L in lcond:
-        for ty in types:
-            typed_outer.append(F.sum(F.when(typ == ty, F.col(f"_has_{L}")).otherwise(0)).cast("bigint")
-                               .alias(f"{L}_{ty.lower()}_redemptions"))
-            typed_d[f"{L}_{ty.lower()}_redemptions"] = _zero_l()
-    typed = attach_two_level(E, pairs, "HOUSEHOLD_ID", "HOUSEHOLD_ID", ["CLIENT_OFFER_ID", "TXN_ID", "OFFER_TYPE_MOD"],
-                             inner, typed_outer, typed_d, cond=cond)
-    total_outer = [F.sum(f"_has_{L}").cast("bigint").alias(f"{L}_total_redemptions") for L in lcond]
-    total = attach_two_level(E, pairs, "HOUSEHOLD_ID", "HOUSEHOLD_ID", ["CLIENT_OFFER_ID", "TXN_ID"], inner,
-                             total_outer, {f"{L}_total_redemptions": _zero_l() for L in lcond}, cond=cond)
-    keys = E.columns
-    return _join_units(_join_units(u, typed, keys), total, keys)
+    places = {L: (F.lit(True) if L == "ALL" else (loc == L)) for L in LOCATIONS + ("ALL",)}
+    types = {ty: ty.lower() for ty in C.OFFER_TYPES}
+    # Per unit × offer × transaction × type, then × offer × transaction, then per unit.
+    by_type, by_pair, by_unit, zero = [], [], [], {}
+    known = F.col("CLIENT_OFFER_ID").isNotNull()
+    for L, here in places.items():
+        by_type += [F.max(here.cast("int")).alias(f"_has_{L}"), F.sum(F.when(here, F.col("MKDN")).otherwise(0)).alias(f"_mkdn_{L}")]
+        by_pair += [F.max(f"_has_{L}").alias(f"_any_{L}"), F.sum(f"_mkdn_{L}").alias(f"_all_{L}")]
+        for ty, name in types.items():
+            by_pair += [F.max(F.when(typ == ty, F.col(f"_has_{L}"))).alias(f"_has_{L}_{name}"),
+                        F.sum(F.when(typ == ty, F.col(f"_mkdn_{L}"))).alias(f"_mkdn_{L}_{name}")]
+            by_unit += [F.sum(f"_mkdn_{L}_{name}").alias(f"{L}_{name}_MKDN"),
+                        F.sum(F.when(known, F.col(f"_has_{L}_{name}"))).cast("bigint").alias(f"{L}_{name}_redemptions")]
+            zero |= {f"{L}_{name}_MKDN": _zero_d(), f"{L}_{name}_redemptions": _zero_l()}
+        by_unit += [F.sum(f"_all_{L}").alias(f"{L}_total_mkdn"), F.sum(F.when(known, F.col(f"_any_{L}"))).cast("bigint").alias(f"{L}_total_redemptions")]
+        zero |= {f"{L}_total_mkdn": _zero_d(), f"{L}_total_redemptions": _zero_l()}
+    pair = ["CLIENT_OFFER_ID", "TXN_ID"]
+    return attach_levels(E, tr, "HOUSEHOLD_ID", "HOUSEHOLD_ID", [([*pair, "OFFER_TYPE_MOD"], by_type), (pair, by_pair), ([], by_unit)], zero, cond=cond)
 
 
 def redemption_units(E: DataFrame, combined_txns: DataFrame, redemptions: DataFrame, cfg: ExperimentConfig,
@@ -517,13 +505,6 @@ def redemption_units(E: DataFrame, combined_txns: DataFrame, redemptions: DataFr
     return u.select(*E.columns, *[F.col(f"{L}_{n}").alias(n) for n in names])
 
 
-def _join_units(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    extra = [c for c in b.columns if c not in keys]
-    bb = b.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *extra)
-    j = a.join(bb, [a[c].eqNullSafe(bb[f"_k_{c}"]) for c in keys], "inner")
-    return j.select(*[a[c] for c in a.columns], *extra)
-
-
 def redemption_specs(cfg: ExperimentConfig, loc: str | None) -> list[Agg]:
     U = cfg.unit_col
     hh = "COUNT(DISTINCT HOUSEHOLD_ID)"
@@ -600,14 +581,11 @@ def clip_units(E: DataFrame, clips: DataFrame, cfg: ExperimentConfig) -> DataFra
     c = clips.filter(F.col("CLIP_TS") <= _d(cfg.end).cast("timestamp"))
     c = c.select("HOUSEHOLD_ID", "CLIENT_OFFER_ID", "CLIP_TS", "OFFER_TYPE_MOD")
     cond = lambda x: x["_E_EXPOSURE_DATETIME"].cast("timestamp") <= x["CLIP_TS"]
-    types = C.OFFER_TYPES
-    typed = attach(E, c, "HOUSEHOLD_ID", "HOUSEHOLD_ID",
-                   [F.sum((F.col("OFFER_TYPE_MOD") == ty).cast("bigint")).alias(f"{ty.lower()}_clips") for ty in types],
-                   {f"{ty.lower()}_clips": _zero_l() for ty in types}, cond=cond,
-                   pre_distinct=["CLIENT_OFFER_ID", "CLIP_TS", "OFFER_TYPE_MOD"])
-    total = attach(E, c, "HOUSEHOLD_ID", "HOUSEHOLD_ID", [F.count(F.lit(1)).alias("total_clips")],
-                   {"total_clips": _zero_l()}, cond=cond, pre_distinct=["CLIENT_OFFER_ID", "CLIP_TS"])
-    return _join_units(typed, total, E.columns)
+    types = {ty: f"{ty.lower()}_clips" for ty in C.OFFER_TYPES}
+    per_clip = [F.max((F.col("OFFER_TYPE_MOD") == ty).cast("int")).alias(f"_{n}") for ty, n in types.items()]
+    per_unit = [F.sum(f"_{n}").cast("bigint").alias(n) for n in types.values()] + [F.count(F.lit(1)).alias("total_clips")]
+    return attach_levels(E, c, "HOUSEHOLD_ID", "HOUSEHOLD_ID", [(["CLIENT_OFFER_ID", "CLIP_TS"], per_clip), ([], per_unit)],
+                         {n: _zero_l() for n in [*types.values(), "total_clips"]}, cond=cond)
 
 
 def clip_specs(cfg: ExperimentConfig) -> list[Agg]:
@@ -625,18 +603,13 @@ def basket_units(E: DataFrame, basket_health: DataFrame, cfg: ExperimentConfig)
     E = metric_exposure(E)
     bh = basket_health.filter(F.col("TXN_DTE") <= _d(cfg.end))
     g = F.col("OVERALL_CATEGORY")
-    grades = C.BASKET_GRADES
-
-    def cnt(cond: Column, name: str) -> Column:
-        return F.count_distinct(F.when(cond, F.col("TXN_ID"))).alias(name)
-
-    u = attach(E, bh, "HOUSEHOLD_ID", "HOUSEHOLD_ID",
-               [cnt(g == grades[0], "_g_a"), cnt(g == grades[1], "_g_b"), cnt(g == grades[2], "_g_c"),
-                cnt(g == grades[3], "_g_d"), cnt(g == grades[4], "_g_e"), cnt(g.isin(grades[0], grades[1]), "_g_ab"),
-                cnt(g.isin(grades[3], grades[4]), "_g_de"), F.count_distinct("TXN_ID").alias("TOTAL_TXNS")],
-               {"_g_a": _zero_l(), "_g_b": _zero_l(), "_g_c": _zero_l(), "_g_d": _zero_l(), "_g_e": _zero_l(), "_g_ab": _zero_l(), "_g_de": _zero_l(),
-                "TOTAL_TXNS": _zero_l()},
-               cond=lambda x: x["TXN_DTE"] >= x["_E_EXPOSURE_DATETIME"])
+    a, b, c, d, e = C.BASKET_GRADES
+    graded = {"_g_a": g == a, "_g_b": g == b, "_g_c": g == c, "_g_d": g == d, "_g_e": g == e, "_g_ab": g.isin(a, b), "_g_de": g.isin(d, e)}
+    # One row per unit and transaction with flags; their sums are the distinct transactions per grade.
+    per_txn = [F.max(cond.cast("int")).alias(f"_in{n}") for n, cond in graded.items()]
+    per_unit = [F.sum(f"_in{n}").cast("bigint").alias(n) for n in graded] + [F.count("TXN_ID").alias("TOTAL_TXNS")]
+    u = attach_levels(E, bh, "HOUSEHOLD_ID", "HOUSEHOLD_ID", [(["TXN_ID"], per_txn), ([], per_unit)],
+                      {n: _zero_l() for n in [*graded, "TOTAL_TXNS"]}, cond=lambda x: x["TXN_DTE"] >= x["_E_EXPOSURE_DATETIME"])
 
     def rate(c: str) -> Column:
         return F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("TOTAL_TXNS").cast("double")), F.lit(0.0))
