@@ -30,7 +30,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Training documents of a class, at most.
-PER_CLASS = 1500
+PER_CLASS = 1200
 SEGMENT, SLOTS = 64, 1 << 18
 THRESHOLD = 0.3
 #: Scored words kept by a worker.
@@ -63,25 +62,29 @@ def slots(word: str) -> list[int]:
     return [zlib.crc32(f.encode()) % SLOTS for f in features(word)]
 
 
-def seed_features(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Features that cover the toxic documents and are all but absent from the clean ones."""
-    in_toxic, in_clean = Counter(f for d in toxic for f in d), Counter(f for d in clean for f in d)
+def seed_features(docs: list[np.ndarray], n_toxic: int, n_features: int, length: np.ndarray) -> np.ndarray:
+    """Features (each document: its distinct ones) that cover the toxic documents and are all but absent from the others."""
+    n_clean = len(docs) - n_toxic
+
+    def found(some: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate([*some, np.empty(0, np.int64)]), minlength=n_features)
+
+    in_toxic, in_clean = found(docs[:n_toxic]), found(docs[n_toxic:])
     # What chance would cover grows more slowly than the sample.
-    least = round(2 + math.sqrt(len(toxic)) / 6) if len(toxic) >= 30 else 2
-    rare = 0.02 * max(1, len(clean)) / max(1, len(toxic))
-    usable = {f for f, n in in_toxic.items() if n >= least and in_clean[f] <= rare * n}
-    bearers: dict[str, set[int]] = {}
-    for i, d in enumerate(toxic):
-        for f in d & usable:
+    least = round(2 + math.sqrt(n_toxic) / 6) if n_toxic >= 30 else 2
+    usable = (in_toxic >= least) & (in_clean <= 0.02 * max(1, n_clean) / max(1, n_toxic) * in_toxic)
+    bearers: dict[int, set[int]] = {}
+    for i, d in enumerate(docs[:n_toxic]):
+        for f in d[usable[d]].tolist():
             bearers.setdefault(f, set()).add(i)
-    chosen, uncovered = set(), set(range(len(toxic)))
+    chosen, uncovered = [], set(range(n_toxic))
     while bearers:
-        f = max(bearers, key=lambda f: (len(bearers[f] & uncovered), -in_clean[f], len(f), f))
+        f = max(bearers, key=lambda f: (len(bearers[f] & uncovered), -in_clean[f], length[f], -f))
         if len(bearers[f] & uncovered) < least:
             break
-        chosen.add(f)
+        chosen.append(f)
         uncovered -= bearers.pop(f)
-    return chosen
+    return np.array(chosen, np.int64)
 
 
 def marginals(emission: np.ndarray, mask: np.ndarray, start: float, step: np.ndarray, expected: bool = False):
@@ -139,14 +142,17 @@ class Model:
         self.weights: np.ndarray | None = None
 
     def fit(self, toxic: list[str], clean: list[str], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3) -> Model:
-        docs = [[normal(t) for t in x.split()] for x in [*toxic, *clean]]
-        vocabulary = {w: i for i, w in enumerate({w for d in docs for w in d})}
-        feats = [features(w) for w in vocabulary]
-        sets = [{f for w in set(d) for f in feats[vocabulary[w]] if len(f) > 3 and f[0] in "wb"} for d in docs]
-        seeds = seed_features(sets[: len(toxic)], sets[len(toxic) :])
-        offends = np.array([any(f in seeds for f in fs) for fs in feats])
-        index = [np.array([vocabulary[w] for w in d], np.int64) for d in docs]
+        vocabulary: dict[str, int] = {}
+        index = [np.array([vocabulary.setdefault(normal(t), len(vocabulary)) for t in x.split()], np.int64) for x in [*toxic, *clean]]
+        # Words and their beginnings, as numbers, word by word.
+        numbers: dict[str, int] = {}
+        of_word = [np.array([numbers.setdefault(f, len(numbers)) for f in features(w) if len(f) > 3 and f[0] in "wb"], np.int64) for w in vocabulary]
+        sets = [np.unique(np.concatenate([*(of_word[w] for w in np.unique(ix)), np.empty(0, np.int64)])) for ix in index]
+        seeds = seed_features(sets, len(toxic), len(numbers), np.array([len(f) for f in numbers]))
+        seeds = np.isin(np.arange(len(numbers)), seeds)
+        offends = np.array([bool(seeds[w].any()) for w in of_word], bool)
         labels = [offends[ix] if i < len(toxic) else np.zeros(len(ix), bool) for i, ix in enumerate(index)]
+        del sets, numbers
 
         rows, mask, _ = segments([ix for ix in index if len(ix)] or [np.zeros(0, np.int64)], 0)
         y, _, _ = segments([lb for lb in labels if len(lb)] or [np.zeros(0, bool)], False)
@@ -185,7 +191,9 @@ class Model:
 
     def calibrate(self, toxic: list[str], clean: list[str]) -> None:
         """Fit the document score by Newton steps; clean documents count by their share."""
-        x = np.column_stack([np.ones(len(toxic) + len(clean)), self.summaries([*toxic, *clean])[0]])
+        texts, known = [*toxic, *clean], _Known(self)
+        each = [self.summaries(texts[i : i + 128], known)[0] for i in range(0, len(texts), 128)]
+        x = np.column_stack([np.ones(len(texts)), np.concatenate(each)])
         y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
         c = np.zeros(x.shape[1])
         weight = np.where(y == 1, self.share / max(1, len(toxic)), (1 - self.share) / max(1, len(clean))) * len(y)
@@ -299,7 +307,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
                 scores, _ = sent.value.scored([x or "" for x in some.column(at).to_pylist()], known)
                 yield some.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered, _ = common.picked(docs)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
