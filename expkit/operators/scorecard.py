@@ -84,6 +84,8 @@ def run_header(spark, cfg, variants: DataFrame, output_location: str = "") -> Da
                     F.lit(cfg.end).alias("END_DATE"), F.lit(cfg.platform).alias("PLATFORM"),
                     F.lit(cfg.alpha).alias("SIGNIFICANCE"), F.lit(cfg.exposure_filter).alias("EXPOSURE_FILTER"),
                     F.lit("99th" if cfg.winsorize else "OFF").alias("WINSORIZATION"), "VARIANTS",
+                    F.lit(", ".join(cfg.page_filter)).alias("PAGE_FILTER"), F.lit(", ".join(cfg.os_platforms)).alias("OS_PLATFORMS"),
+                    F.lit(", ".join(cfg.excluded_banners)).alias("EXCLUDED_BANNERS"),
                     F.lit(output_location).alias("OUTPUT_LOCATION"))
 
 
@@ -218,12 +220,72 @@ def published_table(name: str, family) -> DataFrame:
     return out.select("VARIANT_ID", *(F.expr(sql).alias(alias) for alias, sql in columns))
 
 
-def missing_metrics(tests: DataFrame, registry) -> DataFrame:
-    """Registered tests (with their family and section) that produced no result row."""
+# The published scorecard in its order: (list, metric, test, format).
+PUBLISHED_METRICS: tuple[tuple[str, str, str, str], ...] = (
+    ("Transaction", "Customers", "T01", "count"),
+    ("Transaction", "Total Revenue Per Customer", "T03", "dollar"),
+    ("Transaction", "Non Zero Revenue RPC", "T04", "dollar"),
+    ("Transaction", "Net Sales Per Customer", "T06", "dollar"),
+    ("Ecomm", "Ecomm Revenue per Customer", "T52", "dollar"),
+    ("Ecomm", "Ecomm Non Zero RPC", "T53", "dollar"),
+    ("Transaction", "Markdown Per Customer", "T11", "dollar"),
+    ("Transaction", "AGP Per Customer", "T05", "dollar"),
+    ("Transaction", "CVR", "T18", "percent"),
+    ("Transaction", "AOV", "T12", "dollar"),
+    ("Transaction", "UPO", "T13", "decimal"),
+    ("Transaction", "Transactions Per Customer", "T08", "decimal"),
+    ("Transaction", "Units Per Customer", "T09", "decimal"),
+    ("Transaction", "Category Breadth", "T37", "decimal"),
+    ("Transaction", "Category Depth", "T38", "decimal"),
+    ("Engagement", "Visits Per Customer", "T02", "decimal"),
+    ("Engagement", "Searches Per Customer", "T16", "decimal"),
+    ("Engagement", "Cart Adds", "T14", "decimal"),
+    ("Engagement", "Coupon Clips Per Customer", "T15", "decimal"),
+    ("Engagement", "Redemptions Per Customer", "T10", "decimal"),
+    ("Engagement", "% of Customers who Search", "T20", "percent"),
+    ("Engagement", "% of Customers who Add to Cart", "T17", "percent"),
+    ("Engagement", "% of Customers who Clip", "T19", "percent"),
+    ("Ecomm", "Redemptions Per Customer - Ecomm", "T29", "decimal"),
+    ("Ecomm", "Ecomm Net Sales", "T63", "dollar"),
+    ("Ecomm", "Ecomm Non Zero Net Sales", "T64", "dollar"),
+    ("Ecomm", "Ecomm MKDN per Customer", "T60", "dollar"),
+    ("Ecomm", "Ecomm CVR", "T54", "percent"),
+    ("Ecomm", "Ecomm TXNs Per Customer", "T55", "decimal"),
+    ("Ecomm", "Ecomm BNC", "T61", "count"),
+    ("Ecomm", "Ecomm BNC CVR", "T62", "percent"),
+)
+
+
+def published_scorecard(tests: DataFrame) -> DataFrame:
+    """The 31 named metrics, one row per variant and statistic (numbers)."""
+    wide = results_long(tests).groupBy("ROW_LABEL").pivot("TEST_ID", [t for _, _, t, _ in PUBLISHED_METRICS]).agg(F.first("VALUE"))
+    return wide.select("ROW_LABEL", *(F.col(t).alias(name) for _, name, t, _ in PUBLISHED_METRICS))
+
+
+def published_scorecard_text(tests: DataFrame) -> DataFrame:
+    """The same as display strings.  Means and absolute deltas by the metric's format, relative deltas with
+    two decimals and a percent sign, p-values with three; thousands are parted in counts, decimals and dollars only.
+    """
+    def plain(v: F.Column, places: int) -> F.Column:
+        return F.replace(F.format_number(v, places), F.lit(","), F.lit(""))
+
+    label = F.col("ROW_LABEL")
+    out = []
+    for _, name, _, kind in PUBLISHED_METRICS:
+        v = F.col(f"`{name}`").cast("double")
+        shown = {"count": F.format_number(v, 0), "decimal": F.format_number(v, 2), "percent": F.concat(plain(v, 2), F.lit("%")),
+                 "dollar": F.concat(F.lit("$"), F.format_number(v, 2))}[kind]
+        out.append(F.when(v.isNull(), "").when(label.endswith("P-Value"), plain(v, 3))
+                   .when(label.endswith("Relative Delta"), F.concat(plain(v, 2), F.lit("%"))).otherwise(shown).alias(name))
+    return published_scorecard(tests).select("ROW_LABEL", *out)
+
+
+def missing_metrics(tests: DataFrame) -> DataFrame:
+    """For the three published lists, which metrics the run has produced a result for."""
     spark = tests.sparkSession
-    reg = spark.createDataFrame([(t.id, t.family, t.section, t.title) for t in registry],
-                                "TEST_ID string, FAMILY string, SECTION string, TITLE string")
-    return reg.join(tests.select("TEST_ID").distinct(), "TEST_ID", "left_anti")
+    listed = spark.createDataFrame([(c, m, t) for c, m, t, _ in PUBLISHED_METRICS], "CATEGORY string, METRIC string, TEST_ID string")
+    made = tests.select("TEST_ID").distinct().withColumn("_made", F.lit(True))
+    return listed.join(made, "TEST_ID", "left").select("CATEGORY", "METRIC", "TEST_ID", F.coalesce("_made", F.lit(False)).alias("PRESENT"))
 
 
 # The power-analysis fields the scorecard displays.

@@ -158,6 +158,14 @@ def _filtered_counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return X.variant_counts(run.exposure(), web=False)
 
 
+def _power_results(d: Domain) -> DataFrame:
+    """Power-analysis results by experiment, derived from its events (the test tables hold none)."""
+    day = F.to_date("EVENT_TS")
+    return d.session_events.groupBy(F.col("DECISION_ENGINE_EXPERIMENT_ID").alias("EXPERIMENT_ID")).agg(
+        F.ceil(F.datediff(F.max(day), F.min(day)) / 7).alias("POWERED_ON_RPC_DURATION_IN_WEEKS"),
+        F.count_distinct("HOUSEHOLD_ID").alias("POWERED_ON_RPC_HOUSEHOLDS"))
+
+
 def _b(fn) -> Query:
     return lambda spark, sf: fn(Domain(spark, sf), WINDOW)
 
@@ -286,7 +294,10 @@ QUERIES: dict[str, Query] = {
         F.min("FISCAL_WEEK_START_DT").alias("FIRST_WEEK_START")),
     "two_controls": lambda s, sf: X.has_two_controls(X.experiment_lookup(Domain(s, sf).campaign_recipes, "EXP-20404")),
     "bonus_points_daily": lambda s, sf: (lambda r: M.bonus_points_daily(r.d.points_header, r.d.points, r.cfg))(engine_run(s, sf)),
-    "missing_metrics": lambda s, sf: R.missing_metrics(G.run_tests(engine_run(s, sf)), G.TESTS),
+    "missing_metrics": lambda s, sf: R.missing_metrics(G.run_tests(engine_run(s, sf))),
+    "scorecard_published": lambda s, sf: R.published_scorecard(G.run_tests(engine_run(s, sf))),
+    "scorecard_published_text": lambda s, sf: R.published_scorecard_text(G.run_tests(engine_run(s, sf))),
+    "power_lookup": lambda s, sf: R.power_lookup(_power_results(Domain(s, sf)), DEMO_CONFIG.experiment_id),
 }
 
 for _name in R.TABLES:
