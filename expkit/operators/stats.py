@@ -160,4 +160,4 @@ def chi2_sf_sql(x: str, df: str, max_df: int = 8) -> str:
                 dfact *= 2 * i - 1
                 expr += f" + 2.0 * EXP(-({s}) * ({s}) / 2) / {X._SQRT_2PI!r} * POWER({x}, {i - 0.5}) / {dfact!r}"
             parts.append(f"WHEN {df} = {k} THEN {expr}")
-    return f"(CASE WHEN ({x}) <= 0 THEN 1.0 {' '.join(parts)} ELSE NULL END)"
+    return f"(CASE WHEN {df} < 1 THEN NULL WHEN ({x}) <= 0 THEN 1.0 {' '.join(parts)} ELSE NULL END)"

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings a run relies on.  AQE re-plans joins at runtime (broadcast when the
 # measured side is small, skew-split of hot partitions, partition coalescing).
