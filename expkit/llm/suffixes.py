@@ -7,13 +7,13 @@ import numpy as np
 #: Shortest repeat, in bytes, and the bytes of an anchor.
 LENGTH, ANCHOR = 50, 20
 #: A piece of text looked at in one go; positions take 24 bits.
-PIECE = 1 << 22
+PIECE = 1 << 19
 
 _RNG = np.random.default_rng(50)
 _OF_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * PIECE, _BASE, np.uint64)])
-_INVERSE = np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * PIECE, pow(_BASE, -1, 1 << 64), np.uint64)])
+_POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(PIECE + LENGTH, _BASE, np.uint64)])
+_INVERSE = np.multiply.accumulate(np.r_[np.uint64(1), np.full(PIECE + LENGTH, pow(_BASE, -1, 1 << 64), np.uint64)])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -91,7 +91,8 @@ class Segments:
         length = tail - 1 - head + LENGTH
         whole = _mixed((sums[head + length] - sums[head]) * _INVERSE[head] + length.astype(np.uint64))
         number, offset = np.array([i for i, _, _ in pieces]), np.array([at for _, at, _ in pieces])
-        return number[piece], offset[piece] + head - start[piece], length, anchors[at[head]], whole
+        # Least hashes are small ones: mixed again, they are spread evenly over the buckets.
+        return number[piece], offset[piece] + head - start[piece], length, _mixed(anchors[at[head]] + _OF_BYTE[0]), whole
 
 
 def repeats(anchor: np.ndarray, size: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
