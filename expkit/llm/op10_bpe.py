@@ -31,6 +31,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,29 +80,32 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         for content in self.special:
             ids.pop(content, None)
-        self.merge: dict[tuple[int, int], int] = {}
-        self.rank: dict[int, int] = {}
-        self.split: dict[int, tuple[int, int]] = {}
+        # Rank of the merge of two tokens; rank and parts of the merge that makes a token (-1: none does).
+        top = max(ids.values(), default=-1) + 1
+        self.merge: dict[int, int] = {}
+        self.rank, self.left, self.right = [-1] * top, [0] * top, [0] * top
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             left, right = self._inner(left), self._inner(right)
             made = ids[left + right]
-            self.merge[ids[left], ids[right]] = made
-            self.rank.setdefault(made, rank)
-            self.split.setdefault(made, (ids[left], ids[right]))
-        self.length = {i: len(t) for t, i in ids.items()}
+            if self.rank[made] < 0:
+                self.rank[made], self.left[made], self.right[made] = rank, ids[left], ids[right]
+            self.merge[ids[left] << 32 | ids[right]] = self.rank[made]
+        self.length, self.shorter = [0] * top, [None] * top
         self.automaton = ahocorasick.Automaton()
         for t, i in ids.items():
             self.automaton.add_word(t, (len(t) - 1, i))
         self.automaton.make_automaton()
         # The next shorter token with which each token starts.
-        self.shorter = {i: next((ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ids), None) for t, i in ids.items()}
+        for t, i in ids.items():
+            self.length[i] = len(t)
+            self.shorter[i] = next((ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ids), None)
 
         size = max([*ids.values(), *self.special.values()], default=-1) + 1
         names = [""] * size
         for t, i in [*model["vocab"].items(), *self.special.items()]:
             names[i] = t
-        self.id_type = np.uint16 if size <= 1 << 16 else np.uint32
+        self.id_type, self.id_code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
         self.strings = _Strings(names)
         self.digits = _Strings([str(i) for i in range(size)])
 
@@ -111,7 +115,7 @@ class Vocabulary:
         self.plain_words_of = re.compile(_PLAIN_WORDS).findall if pattern == _WORDS else None
         self.spaces = regex.compile(_SPACE + "+").sub
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known, self.chunks = _Kept(self.packed_word), _Kept(self.packed_chunk)
 
     def _inner(self, token: str) -> str:
@@ -119,44 +123,43 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' text from scratch keeps the border between them."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self._border_holds(left, right)
-        return known
-
-    def _border_holds(self, left: int, right: int) -> bool:
-        limit = len(self.split)  # a merge over the border of lower rank would have come first
+        rank, of_left, of_right, merge = self.rank, self.left, self.right, self.merge
+        limit = len(merge)  # a merge over the border of lower rank would have come first
         while True:
-            over = self.merge.get((left, right))
-            if over is not None and self.rank[over] < limit:
+            if merge.get(left << 32 | right, limit) < limit:
                 return False
-            of_left, of_right = self.rank.get(left, -1), self.rank.get(right, -1)
-            if of_left < 0 and of_right < 0:
-                return True
+            a, b = rank[left], rank[right]
             # Undo the merge made last; of equal merges the left one is made first.
-            if of_left > of_right:
-                limit, left = of_left, self.split[left][1]
+            if a > b:
+                limit, left = a, of_right[left]
+            elif b >= 0:
+                limit, right = b + 1, of_left[right]
             else:
-                limit, right = of_right + 1, self.split[right][0]
+                return True
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one prepared word."""
-        text = word.encode().decode("latin-1").translate(self.visible) + _END
+        text = word + _END if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.visible) + _END
         n = len(text)
         longest: list[int | None] = [None] * n
         for end, (before, i) in self.automaton.iter(text):  # by end: a later token at a start is longer
             longest[end - before] = i
         length, shorter, pairs = self.length, self.shorter, self.pairs
         ids: list[int] = []
-        dead = set()
+        dead: set[int] = set()
         at, token, last = 0, longest[0], -1
         while at < n:
             while token is not None:
                 end = at + length[token]
-                if end not in dead and (last < 0 or (pairs[last, token] if (last, token) in pairs else self.compatible(last, token))):
-                    break
+                if end not in dead:
+                    if last < 0:
+                        break
+                    key = last << 32 | token
+                    holds = pairs.get(key)
+                    if holds is None:
+                        holds = pairs[key] = self.compatible(last, token)
+                    if holds:
+                        break
                 token = shorter[token]
             if token is not None:
                 ids.append(token)
@@ -194,10 +197,12 @@ class Vocabulary:
                 packed += map(self.chunks.__getitem__, piece.split())
         self.known.trim()
         self.chunks.trim()
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs.clear()
         return np.frombuffer(b"".join(packed), self.id_type)
 
     def packed_word(self, word: str) -> bytes:
-        return np.array(self.encode_word(word), self.id_type).tobytes()
+        return array(self.id_code, self.encode_word(word)).tobytes()
 
     def packed_chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.words(chunk)))
