@@ -4,8 +4,10 @@ Every run of white space becomes one space; the normalised texts are
 range-partitioned at sampled splitters (``repartitionByRange``), sorted
 externally, and compared in full with their neighbours: a window over equal
 texts, which Spark evaluates by comparing each row's key bytes with those of the
-row before it.  The range partitioning already clusters equal texts, so the
-window adds no shuffle, and texts cross the network once.
+row before it.  Splitters are sampled from the first PREFIX characters and, where
+many texts begin alike, a hash of the text, so that the driver gets no whole
+texts; texts are sorted by these first.  The range partitioning already clusters
+equal texts, so the window adds no shuffle, and texts cross the network once.
 
 Hot texts: a first pass counts 64-bit text hashes (combined before the shuffle).
 A text with more than ``max(HOT_ROWS, rows / HOT_SHARE)`` rows has its rows
@@ -32,6 +34,8 @@ from . import common
 HOT_ROWS = 512
 #: No more texts than this can be hot.
 HOT_SHARE = 65536
+#: Characters of a text that splitters are sampled from.
+PREFIX = 32
 #: Runs that are more than one space: longer ones, or single other characters.
 _SPACES = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
@@ -44,10 +48,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     salted = (
         rows.withColumn("h", F.xxhash64("norm"))
         .join(F.broadcast(hot), "h", "left")
-        .select("doc_id", "norm", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(-1)).alias("salt"))
+        .select("doc_id", "norm", F.substring("norm", 1, PREFIX).alias("prefix"), "h",
+                F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(-1)).alias("salt"))
     )
-    placed = salted.repartitionByRange("norm", "salt")
-    run = Window.partitionBy("norm", "salt").orderBy(F.col("doc_id").asc_nulls_last())
+    placed = salted.repartitionByRange("prefix", "h", "salt")
+    run = Window.partitionBy("prefix", "h", "norm", "salt").orderBy(F.col("doc_id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = placed.select(
         "doc_id",
