@@ -47,8 +47,9 @@ from .suffixes import LENGTH, Segments
 BATCH_DOCS, BUCKET_DOCS = 1024, 2048
 #: Bits of an anchor that are compared within a bucket.
 KEY_BITS = 31
-#: An anchor is hot if it is in so many batches, and in this share of them.
-HOT_BATCHES, HOT_SHARE = 64, 1 / 16
+#: An anchor is hot if it is in so many batches, and in this share of them.  One that is not brings its bucket
+#: at most HOT_BATCHES * BATCH_DOCS segments of up to 80 bytes, and single windows take more room than segments.
+HOT_BATCHES, HOT_SHARE = 1024, 1 / 16
 _RECORD = np.dtype([("hash", "<u8"), ("first", "<u2"), ("length", "<u2"), ("least", "<i8")])
 _SENT = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("least", "<i8"), ("most", "<i8"), ("size", "<u2")])
 
