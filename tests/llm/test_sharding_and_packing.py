@@ -76,5 +76,35 @@ def test_neighbours_share_rare_words():
     assert 31 not in index.neighbours(7, unused)
 
 
+def _shards(rows, got):
+    """Where each document of ``rows`` was packed."""
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+    return {r.doc_id: r.sequence_id >> 32 for r in got}
+
+
+def test_documents_are_placed_by_content(table):
+    rng = random.Random(17)
+    # 40 subjects with words of their own, 10 documents of each, ids dealt at random.
+    subjects = [[f"{''.join(rng.choice('bcdfgklmnprst') + rng.choice('aeiou') for _ in range(3))}" for _ in range(25)] for _ in range(40)]
+    subject = [i % 40 for i in range(400)]
+    rng.shuffle(subject)
+    rows = [(i, " ".join(rng.choice(subjects[s]) for _ in range(60))) for i, s in enumerate(subject)]
+    shard = _shards(rows, packing.pack(table(rows), tokenizer_path(), window=512, shard_docs=40).collect())
+    assert len(set(shard.values())) > 5
+    pairs = [(i, j) for i in range(400) for j in range(i) if subject[i] == subject[j]]
+    # Dealt by id hash, about one pair in ten meets.
+    assert sum(shard[i] == shard[j] for i, j in pairs) > 0.5 * len(pairs)
+
+
+def test_terms_weigh_the_same_in_every_shard():
+    tails = [np.array([1, 2, 3]), np.array([1, 4]), np.array([1, 2])]
+    found = np.zeros(6, np.int64)
+    found[[1, 2, 3, 4]] = [900, 5, 300, 2]
+    corpus = packing.Corpus(1000, 4.0, found)
+    whole, part = packing.ShardIndex(tails, corpus), packing.ShardIndex(tails[:1], corpus)
+    assert np.allclose(part.weight, whole.weight[whole.doc == 0])
+    assert packing.Corpus.counts(tails)[1].tolist() == [3, 2, 1, 1]
+
+
 def test_packing_of_nothing(table):
     assert packing.pack(table([]), tokenizer_path()).count() == 0
