@@ -106,5 +106,31 @@ def test_terms_weigh_the_same_in_every_shard():
     assert packing.Corpus.counts(tails)[1].tolist() == [3, 2, 1, 1]
 
 
+def _windows(ids, window, slack=4):
+    """The documents of each window, in order."""
+    windows = {}
+    for i, _, _, sequence, _ in packing.pack_shard(ids, window, slack):
+        windows.setdefault(sequence, []).append(i)
+    return windows
+
+
+def test_related_documents_fill_the_window_beyond_any_number_of_them():
+    # 120 short documents of the seed's subject fill its window; the longer strangers wait.
+    related = [np.array([10, 11, 12 + i, packing.CLOSING_ID]) for i in range(120)]
+    strangers = [np.arange(1000 + 40 * i, 1040 + 40 * i) for i in range(40)]
+    strangers = [np.r_[x, packing.CLOSING_ID] for x in strangers]
+    windows = _windows([*related, *strangers], 480)
+    assert sorted(windows[0]) == list(range(120))
+
+
+def test_every_term_of_the_seed_finds_neighbours():
+    # The seed shares 40 rare terms with document 1 and one common term with documents 2 to 9.
+    seed = np.r_[np.arange(100, 140), 50, packing.CLOSING_ID]
+    others = [np.r_[np.arange(100, 140), packing.CLOSING_ID], *(np.r_[50, 500 + i, packing.CLOSING_ID] for i in range(8))]
+    strangers = [np.r_[np.arange(1000 + 7 * i, 1007 + 7 * i), packing.CLOSING_ID] for i in range(20)]
+    windows = _windows([seed, *others, *strangers], 42 + 41 + 8 * 3)
+    assert sorted(windows[0]) == list(range(10))
+
+
 def test_packing_of_nothing(table):
     assert packing.pack(table([]), tokenizer_path()).count() == 0
