@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Training documents of a class, at most.
-PER_CLASS = 1200
+#: Training texts of a class, at most.
+PER_CLASS = 1500
 SEGMENT, SLOTS = 64, 1 << 18
 THRESHOLD = 0.3
 #: Scored words kept by a worker.
@@ -255,14 +255,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit a model to at most ``per_class`` labelled training documents of each class."""
+    """Fit a model to at most ``per_class`` different labelled training texts of each class."""
     marks = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels["toxic"].cast("int").alias("toxic"))
     marks = marks.where(F.col("label_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("label_id")))
     marks = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     share = marks.agg(F.avg("toxic")).first()[0] or 0.0
-    chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("label_id"), "label_id").limit(per_class) for c in (1, 0)]
-    sample = common.id_text(docs, id_col, text_col).join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("label_id"))
-    # At most 2 * per_class labels; a text that is there more than once counts once.
+    texts = common.id_text(docs, id_col, text_col).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    # Equal texts count once, as toxic if one of them is marked so; only ids and hashes are shuffled.
+    distinct = texts.select("doc_id", "h1", "h2").join(marks, F.col("doc_id") == F.col("label_id")).groupBy("h1", "h2").agg(
+        F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("label_id").alias("at"), "label_id")).alias("first"))
+    distinct = distinct.select("toxic", "first", F.col("first.label_id").alias("label_id"), F.col("h1").alias("label_h1"), F.col("h2").alias("label_h2"))
+    chosen = [distinct.where(F.col("toxic") == c).orderBy("first", "label_h1", "label_h2").limit(per_class) for c in (1, 0)]
+    same = (F.col("doc_id") == F.col("label_id")) & (F.col("h1") == F.col("label_h1")) & (F.col("h2") == F.col("label_h2"))
+    sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), same)
+    # At most 2 * per_class texts; repeated rows come once.
     rows = sample.select("toxic", "text").dropDuplicates(["text"]).orderBy("text").collect()
     toxic, clean = [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
     model = Model(float(share))

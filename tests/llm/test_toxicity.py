@@ -72,6 +72,17 @@ def test_labels_of_held_out_documents_do_not_count(spark, table, labelled):
     assert scores[0] == scores[1]
 
 
+def test_equal_texts_count_once_before_the_limit(spark, table, monkeypatch):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, "a copy") for i in ids[:40]] + [(i, f"text {i}") for i in ids[40:48]] + [(i, f"clean {i}") for i in ids[48:60]] + [(ids[60], "a copy")]
+    marks = [(i, 1) for i in ids[:48]] + [(i, 0) for i in ids[48:61]]
+    seen = {}
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, toxic, clean: seen.update(toxic=toxic, clean=clean) or self)
+    toxicity.fit(table(rows), spark.createDataFrame(marks, "doc_id long, toxic int"), per_class=9)
+    assert sorted(seen["toxic"]) == sorted(["a copy", *(f"text {i}" for i in ids[40:48])])
+    assert len(seen["clean"]) == 9 and "a copy" not in seen["clean"]
+
+
 def test_without_labels_or_documents(spark, table):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     df = table([(1, "a b"), (2, None)])
