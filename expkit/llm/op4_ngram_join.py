@@ -24,7 +24,8 @@ text), class_id (smallest id of the class), n_links (number of other texts with
 similarity at or over the threshold), kept (doc_id is class_id).  Null text
 counts as empty; empty texts are copies of each other and link to no other text;
 rows with a null id come out as a class of their own with null ids and no links;
-repeated rows come out repeated; an empty table gives no rows; other columns are
+repeated rows come out repeated; an id on rows with different texts stands for
+each of them, and every text has links of its own; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -151,8 +152,9 @@ def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "h1": batch["h1"], "h2": batch["h2"], "bands": pa.array(signed, pa.list_(pa.int64()))})
 
     signed = common.cut_lineage(docs.mapInArrow(sign, "doc_id long, h1 long, h2 long, bands array<bigint>"))
-    reps = signed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
-    reps = common.cut_lineage(reps)
+    reps = signed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep_id"))
+    # A number per text: an id may stand on rows with different texts.
+    reps = common.cut_lineage(reps.withColumn("rep", F.monotonically_increasing_id()))
 
     # Every bucket's members and size, dealt once by bucket.
     in_bucket = reps.select("rep", F.posexplode("bands").alias("band", "bucket")).repartition("band", "bucket")
@@ -173,9 +175,9 @@ def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
     n_bins = max(1, math.ceil(cells.count() / BIN))
     cells = cells.withColumn("bin", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(n_bins)))
 
-    texts = docs.select("doc_id", "norm").join(reps.select(F.col("rep").alias("doc_id"), "bands").join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "doc_id")
-    texts = texts.dropDuplicates(["doc_id"])
-    shipped = cells.join(texts, cells["rep"] == texts["doc_id"]).select("rep", "band", "key", "i", "j", "block", "bin", "norm", "bands")
+    wanted = reps.join(placed.select("rep"), "rep", "left_semi").select(F.col("rep_id").alias("doc_id"), "h1", "h2", F.col("rep").alias("of"), "bands")
+    texts = docs.join(wanted, ["doc_id", "h1", "h2"]).select("of", "norm", "bands").dropDuplicates(["of"])
+    shipped = cells.join(texts, cells["rep"] == texts["of"]).select("rep", "band", "key", "i", "j", "block", "bin", "norm", "bands")
 
     def verify(bin_rows: pa.Table) -> pa.Table:
         hashes = _WordHashes()
@@ -203,8 +205,11 @@ def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
     verified = common.cut_lineage(shipped.groupBy("bin").applyInArrow(verify, "rep long, root long, links long"))
     links = verified.groupBy("rep").agg(F.sum("links").alias("n_links"))
     classes = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    found = links.join(classes, links["rep"] == classes["id"], "left").select("rep", F.coalesce("root", "rep").alias("class"), "n_links")
-    of_text = reps.select("h1", "h2", "rep").join(found, "rep", "left")
+    members = classes.join(reps.select(F.col("rep").alias("id"), "rep_id"), "id")
+    names = members.groupBy("root").agg(F.min("rep_id").alias("class"))
+    classes = members.select("id", "root").join(names, "root")
+    found = links.join(classes, links["rep"] == classes["id"], "left").select("rep", "class", "n_links")
+    of_text = reps.select("h1", "h2", "rep", "rep_id").join(found, "rep", "left").drop("rep").withColumnRenamed("rep_id", "rep")
     return signed.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"], "left").select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep_id"),

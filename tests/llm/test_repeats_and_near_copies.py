@@ -118,6 +118,17 @@ def test_near_copies(table, mixed, cell):
     assert Counter((r.doc_id, r.rep_id, r.class_id, r.n_links, r.kept) for r in got) == near_by_hand(rows)
 
 
+@pytest.mark.parametrize("cell", [512, 2])
+def test_one_id_on_two_texts(table, cell):
+    rng = random.Random(13)
+    first, second = prose(rng, 60), prose(rng, 60)
+    rows = [(1, first), (1, second), (5, first + " a"), (6, second + " b"), (7, second + " c"), (8, first + " d")]
+    got = near.jaccard_classes(table(rows), cell=cell).collect()
+    # Both texts have their own links: two for the first, two for the second.
+    assert sorted((r.doc_id, r.rep_id, r.class_id, r.n_links, r.kept) for r in got) == [
+        (1, 1, 1, 2, True), (1, 1, 1, 2, True), (5, 5, 1, 2, False), (6, 6, 1, 2, False), (7, 7, 1, 2, False), (8, 8, 1, 2, False)]
+
+
 def test_bands_reach_the_recall():
     for threshold, rows, recall in ((0.8, 8, 0.999), (0.5, 3, 0.9), (0.9, 12, 0.99)):
         b = near.bands(threshold, rows, recall)
