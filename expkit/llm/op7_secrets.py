@@ -7,8 +7,11 @@ candidate strings of one character class (hex, base64) are read with a window of
 counts: with S the sum of c*log2(c) over the window's character counts c, a step
 changes two counts, and the entropy is log2(window) - S/window.  Windows at or
 over the class's threshold are merged into spans.  Candidates that match an
-allow-list pattern (plain words, numbers, path-like or repeated text, examples)
-are suppressed; base spans are never.
+allow-list pattern as a whole (plain words, numbers, path-like or repeated text)
+are suppressed.  What an allow-list pattern without anchor (examples) finds is cut
+out, with the letters and digits around it, and the rest of the candidate is read;
+candidates, and rests, under ``window`` characters have no window.  Base spans are
+never suppressed.
 
 Positions come from the lengths of the pieces between matches (``split``) and of
 the matches themselves (``regexp_extract_all``), both from the same matcher.
@@ -37,7 +40,7 @@ CLASSES = {
     "entropy_hex": ("0-9a-fA-F", 3.0),
     "entropy_base64": ("A-Za-z0-9+/_=-", 4.0),
 }
-#: Candidates that match one of these hold no secret.
+#: Candidates that match one of these hold no secret; without ^, only the letters and digits around the match hold none.
 ALLOWED = [
     r"^[A-Za-z]+$",  # plain words, however long
     r"^[0-9]+$",  # numbers
@@ -77,6 +80,22 @@ def _located(df: DataFrame, out: str, pattern: str, value_group: int = 0, least:
     return df.withColumn(out, F.expr(spans)).drop("has", "gap", "hit", "val")
 
 
+def _without(pattern: str, least: int) -> str:
+    """SQL over a candidate ``c``: its pieces of at least ``least`` characters around the words that hold the pattern."""
+    p = _sql(f"[A-Za-z0-9]*(?:{pattern})[A-Za-z0-9]*")
+    none = "cast(array() as array<struct<start:int,end:int,val:string,cut:boolean>>)"
+    return f"""
+      if(not c.val rlike {_sql(pattern)}, array(c),
+        aggregate(zip_with(split(c.val, {p}, -1), regexp_extract_all(c.val, {p}, 0), (g, h) -> named_struct('gap', g, 'hit', h)),
+          named_struct('at', c.start, 'pieces', {none}),
+          (acc, x) -> named_struct(
+            'at', acc.at + char_length(x.gap) + coalesce(char_length(x.hit), 0),
+            'pieces', if(char_length(x.gap) >= {least},
+                         array_append(acc.pieces, named_struct('start', acc.at, 'end', acc.at + char_length(x.gap), 'val', x.gap, 'cut', true)),
+                         acc.pieces)),
+          acc -> acc.pieces))"""
+
+
 def _high_entropy(window: int, threshold: float) -> str:
     """SQL over a candidate ``c`` (start, end, val): merged spans of its windows with enough entropy."""
     # Sums of c*log2(c) are kept in millionths, so that increments are exact.
@@ -112,8 +131,12 @@ def scan_secrets(df: DataFrame, window: int = WINDOW, classes: dict = CLASSES, a
     rows = _located(rows, "hex", HEX)
     for name, (chars, threshold) in classes.items():
         rows = _located(rows, name, f"[{chars}]{{{window},}}")
-        suppressed = " or ".join(f"c.val rlike {_sql(p)}" for p in allowed) or "false"
-        candidates = f"filter({name}, c -> not ({suppressed}))"
+        whole, inner = [p for p in allowed if p.startswith("^")], [p for p in allowed if not p.startswith("^")]
+        candidates = f"transform({name}, c -> named_struct('start', c.start, 'end', c.end, 'val', c.val, 'cut', false))"
+        for p in inner:
+            candidates = f"flatten(transform({candidates}, c -> {_without(p, window)}))"
+        suppressed = " or ".join(f"c.val rlike {_sql(p)} or (c.cut and btrim(c.val, '/=+_-') rlike {_sql(p)})" for p in whole) or "false"
+        candidates = f"filter({candidates}, c -> not ({suppressed}))"
         rows = rows.withColumn(name, F.expr(f"flatten(transform({candidates}, c -> {_high_entropy(window, threshold)}))"))
     kinds = ["assign", "access", "hex", *classes]
     numbered = ", ".join(
