@@ -19,6 +19,11 @@ bands follows from the rows per band, the threshold and the target recall:
     into bins of about ``BIN`` rows, whatever the input's size.
 4.  Components of the verified links are the classes.
 
+So ``n_links`` depends on component size: up to ``CELL`` members all pairs count,
+above that only pairs that share a band.  A pair at the threshold shares none with
+a probability of at most one less the recall (0.001), and it can be a link in a
+small component and none once more texts have joined it.
+
 Defined results: one row per input row: doc_id, rep_id (smallest id with the same
 text), class_id (smallest id of the class), n_links (number of other texts with
 similarity at or over the threshold), kept (doc_id is class_id).  Null text
