@@ -51,6 +51,15 @@ def code_variant(code: Column, letters: str) -> Column:
     return out
 
 
+#: Codes that have a variant in engine experiments.
+ENGINE_LETTERS = "ABCDEFG"
+
+
+def unmapped(rows: DataFrame, code: str, letters: str) -> DataFrame:
+    """One row: how many rows have a code without a variant (null included)."""
+    return rows.agg(F.count_if(code_variant(F.col(code).cast("string"), letters).isNull()).alias("UNMAPPED_ROWS"))
+
+
 def has_two_controls(recipes: DataFrame) -> DataFrame:
     """One-row frame: does any recipe name contain 'Control 2' (S14)."""
     return recipes.agg(F.max(F.col("RECIPE_NM").contains("Control 2").cast("int")).cast("boolean").alias("TWO_CONTROLS"))
@@ -174,17 +183,20 @@ def exposure_web(hits: DataFrame, third_party: DataFrame, cfg: ExperimentConfig)
     return exclude_third_party(e, third_party)
 
 
+def engine_events(events: DataFrame, cfg: ExperimentConfig, zone: str) -> DataFrame:
+    """Events of the experiment in its window and filters, whatever their variant code."""
+    local_date = F.to_date(F.to_utc_timestamp("EVENT_TS", zone))
+    ev = events.filter(F.col("DECISION_ENGINE_EXPERIMENT_ID").like(f"%{cfg.experiment_id}%") & local_date.between(_d(cfg.start), _d(cfg.end)))
+    return _apply(ev, page_predicate(cfg), os_predicate(cfg), banner_predicate(cfg))
+
+
 def exposure_engine(events: DataFrame, third_party: DataFrame, cfg: ExperimentConfig,
                     zone: str) -> DataFrame:
     """First event per experiment × household × variant; the exposure date is the zone-shifted event date."""
-    local_date = F.to_date(F.to_utc_timestamp("EVENT_TS", zone))
-    ev = events.filter(F.col("DECISION_ENGINE_EXPERIMENT_ID").like(f"%{cfg.experiment_id}%")
-                       & local_date.between(_d(cfg.start), _d(cfg.end))
-                       & F.col("DECISION_ENGINE_VARIANT_CD").cast("string").isin(*"ABCDEFG"))
-    ev = _apply(ev, page_predicate(cfg), os_predicate(cfg), banner_predicate(cfg))
+    ev = engine_events(events, cfg, zone).filter(F.col("DECISION_ENGINE_VARIANT_CD").cast("string").isin(*ENGINE_LETTERS))
     ev = exclude_third_party(ev, third_party)
     return (ev.groupBy("DECISION_ENGINE_EXPERIMENT_ID", "HOUSEHOLD_ID",
-                       code_variant(F.col("DECISION_ENGINE_VARIANT_CD"), "ABCDEFG").alias("VARIANT_ID"))
+                       code_variant(F.col("DECISION_ENGINE_VARIANT_CD"), ENGINE_LETTERS).alias("VARIANT_ID"))
             .agg(F.min("EVENT_TS").alias("_ts"))
             .select(F.col("HOUSEHOLD_ID").cast("bigint").alias("HOUSEHOLD_ID"), "VARIANT_ID",
                     F.to_date(F.to_utc_timestamp("_ts", zone)).alias("EXPOSURE_DATETIME")))

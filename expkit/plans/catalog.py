@@ -9,6 +9,7 @@ the analysis over 1997-01-01 … 1997-12-31 with a decision-engine experiment
 from __future__ import annotations
 
 import datetime
+import warnings
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -103,12 +104,26 @@ class Run:
             run = cls(spark, sf_dir, replace(cfg, two_controls=True), w, custom_households=custom_households)
         V.assert_covered(V.coverage(run.combined_txns(), run.cfg))
         web = run.cfg.platform == "Adobe"
+        lost = run.unmapped()
+        if lost:
+            warnings.warn(f"{lost} exposure rows have a code without a variant", stacklevel=2)
         counts = X.variant_counts(run.exposure(), web=web)
         verdict = X.srm_verdict(X.srm_pvalue(counts, "VISITOR_COUNT" if web else "HH_COUNT")).first()
         if stop_on_mismatch and (verdict is None or verdict["SRM"] != "OK"):
             raise RuntimeError(f"sample-ratio check: {verdict}")
         return run
 
+    def unmapped(self) -> int:
+        """Exposure rows of engine and list experiments whose code has no variant."""
+        if self.cfg.platform == "Adobe":
+            return 0
+        if self.cfg.platform == "Decision Engine":
+            events = X.engine_events(self.d.session_events, self.cfg, self.cfg.event_zone)
+            lost = X.unmapped(events, "DECISION_ENGINE_VARIANT_CD", X.ENGINE_LETTERS)
+        else:
+            lost = X.unmapped(self.d.household_list, "VARIANT", C.VARIANT_LETTERS)
+        return lost.first()["UNMAPPED_ROWS"]
+
     def raw_exposure(self) -> DataFrame:
         if self.cfg.platform == "Adobe":
             return self._get("xraw", lambda: X.exposure_web(self.d.hits, self.d.third_party_households, self.cfg))

@@ -45,6 +45,16 @@ def test_recipes_of_any_number_have_a_variant(spark):
     assert two[:4] == ["VARIANT A", "VARIANT A", "VARIANT H", "VARIANT K"]
 
 
+def test_rows_without_a_variant_are_counted(spark, sf_dir):
+    from expkit.plans.catalog import engine_run
+
+    df = spark.createDataFrame([(c,) for c in ("A", "G", "H", "", None)], "c string")
+    assert E.unmapped(df, "c", E.ENGINE_LETTERS).first().UNMAPPED_ROWS == 3
+    run = engine_run(spark, sf_dir)
+    rows = E.engine_events(run.d.session_events, run.cfg, run.cfg.event_zone).select("DECISION_ENGINE_VARIANT_CD").collect()
+    assert run.unmapped() == sum(r[0] not in tuple("ABCDEFG") for r in rows) > 0
+
+
 def test_platform_without_a_source_raises(spark, sf_dir):
     from expkit.plans.catalog import Run
 
