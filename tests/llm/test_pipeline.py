@@ -1,10 +1,12 @@
 import os
+import zlib
 
+import numpy as np
 import pytest
 from conftest import CLASHING, prose
 
 import corpus_pipeline
-from expkit.llm import common
+from expkit.llm import common, op8_packing
 from expkit.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,6 +56,32 @@ def test_run_gives_the_last_stage(spark, folder):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
 
 
+def test_run_gives_every_piece_of_the_stages(spark, folder):
+    path, *_ = folder
+    docs = common.table(spark, path, "documents")
+    for stage in (corpus_pipeline.toxicity, corpus_pipeline.line_dedup, corpus_pipeline.ngram_join, corpus_pipeline.secrets):
+        rows = stage(spark, docs, path).collect()
+        docs = spark.createDataFrame(rows, docs.schema)
+    ids = {r.doc_id: [*_library().encode(r.text or "", add_special_tokens=False).ids, 1] for r in rows}
+    assert len(ids) == len(rows)
+    pieces = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in df.collect())
+    got = pieces(corpus_pipeline.run(spark, path))
+    assert got == pieces(corpus_pipeline.packing(spark, docs, path))
+    # And by brute force: the pieces of each document follow one another and hold all its ids.
+    at = dict.fromkeys(ids, 0)
+    for i, start, length, crc, tokens in got:
+        assert (start, tokens) == (at[i], len(ids[i]))
+        assert crc == zlib.crc32(np.array(ids[i][start : start + length], "<u4").tobytes())
+        at[i] += length
+    assert at == {i: len(x) for i, x in ids.items()}
+
+
+def _library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(op8_packing.tokenizer_path())
+
+
 def test_stages_on_an_empty_table_with_clashing_columns(spark, folder, table):
     path, *_ = folder
     docs = table([])
