@@ -61,7 +61,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back."""
-    path = shared_path(df.sparkSession, name)
+    return stored_at(df, shared_path(df.sparkSession, name), *partition_by)
+
+
+def stored_at(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """``df`` written as a Parquet table under ``path`` and read back."""
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} isn't in the shared folder")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe
+from . import op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe, op12_vector_codes
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup.op2_suffix_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op1_topk": op1_topk.op1_topk,
     "op6_toxicity": op6_toxicity.op6_toxicity,
     "op8_packing": op8_packing.op8_packing,
+    "op12_vector_codes": op12_vector_codes.op12_vector_codes,
 }
 
 ORACLE_SQL = {
     "op1_topk": op1_topk.ORACLE,
     "op3_exact_dedup": op3_exact_dedup.ORACLE,
     "op9_line_dedup": op9_line_dedup.ORACLE,
+    "op12_vector_codes": op12_vector_codes.ORACLE,
 }
