@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe, op12_vector_codes
+from . import op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe, op11_periodic_runs, op12_vector_codes
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup.op2_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_topk": op1_topk.op1_topk,
     "op6_toxicity": op6_toxicity.op6_toxicity,
     "op8_packing": op8_packing.op8_packing,
+    "op11_periodic_runs": op11_periodic_runs.op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes.op12_vector_codes,
 }
 
