@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe, op11_periodic_runs, op12_vector_codes
+from . import op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_toxicity, op7_secrets, op8_packing, op9_line_dedup, op10_bpe, op11_periodic_runs, op12_vector_codes, op13_source_mix
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup.op2_suffix_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_packing": op8_packing.op8_packing,
     "op11_periodic_runs": op11_periodic_runs.op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes.op12_vector_codes,
+    "op13_source_mix": op13_source_mix.op13_source_mix,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op3_exact_dedup": op3_exact_dedup.ORACLE,
     "op9_line_dedup": op9_line_dedup.ORACLE,
     "op12_vector_codes": op12_vector_codes.ORACLE,
+    "op13_source_mix": op13_source_mix.ORACLE,
 }
