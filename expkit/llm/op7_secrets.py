@@ -15,7 +15,8 @@ never suppressed.
 
 Positions come from the lengths of the pieces between matches (``split``) and of
 the matches themselves (``regexp_extract_all``), both from the same matcher.
-All work is within a row: no shuffle, no group.
+All work is within a row: no shuffle, no group; it grows in proportion to the text,
+however long a run or however many the matches.
 
 Defined results: null text counts as empty; a row without secrets has counts 0,
 empty ``spans`` and the SHA-256 of the empty string; repeated rows come out
@@ -44,11 +45,14 @@ CLASSES = {
 ALLOWED = [
     r"^[A-Za-z]+$",  # plain words, however long
     r"^[0-9]+$",  # numbers
-    r"^[A-Z]?[a-z]+([-_/=+][A-Z]?[a-z]+)*$",  # compound words and paths
+    r"^[A-Z]?+[a-z]++(?:[-_/=+][A-Z]?+[a-z]++)*+$",  # compound words and paths; possessive, so long ones are read in a loop
     r"^(.{1,8})\1{2,}.{0,8}$",  # a short string over and over
     r"(?i)example|0123456789|abcdefghij",
 ]
 WINDOW = 24
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: Elements of an array that are gone through together.
+BLOCK = 256
 
 
 def _sql(pattern: str) -> str:
@@ -56,6 +60,27 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _before(values: str, identity: int, step) -> str:
+    """SQL over an int array: of each element, what ``step`` makes of all elements before it.
+
+    Blocks of elements are summed up first and then gone through from their own beginnings, so arrays that grow
+    element by element stay short, and the work stays in proportion to the elements.
+    """
+    block = f"slice({values}, cast(k * {BLOCK} + 1 as int), {BLOCK})"
+    of_block = f"aggregate({block}, {identity}, (a, x) -> {step('a', 'x')})"
+    blocks = f"if(size({values}) = 0, cast(array() as array<int>), transform(sequence(0, cast((size({values}) - 1) div {BLOCK} as int)), k -> {of_block}))"
+
+    def through(elements: str, first: str) -> str:
+        return f"""aggregate({elements}, named_struct('at', {first}, 'out', cast(array() as array<int>)),
+                     (s, x) -> named_struct('at', {step('s.at', 'x')}, 'out', array_append(s.out, s.at)), s -> s.out)"""
+
+    return f"flatten(transform({through(blocks, str(identity))}, (first, k) -> {through(block, 'first')}))"
+
+
+def _sum(a: str, b: str) -> str:
+    return f"{a} + {b}"
+
+
 def _located(df: DataFrame, out: str, pattern: str, value_group: int = 0, least: int = 0) -> DataFrame:
     """Add ``out``: (start, end, val) of all leftmost matches whose ``value_group`` has ``least`` characters."""
     p = _sql(pattern)
@@ -66,52 +91,59 @@ def _located(df: DataFrame, out: str, pattern: str, value_group: int = 0, least:
         "hit": F.expr(f"if(has, regexp_extract_all(text, {p}, 0), {none})"),
         "val": F.expr(f"if(has, regexp_extract_all(text, {p}, {value_group}), {none})"),
     })
+    df = df.withColumn("sizes", F.expr("zip_with(gap, hit, (g, h) -> char_length(g) + coalesce(char_length(h), 0))"))
+    df = df.withColumn("at", F.expr(_before("sizes", 0, _sum)))
     spans = f"""
-      aggregate(arrays_zip(gap, hit, val),
-        named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int,val:string>>)),
-        (acc, x) -> named_struct(
-          'at', acc.at + char_length(x.gap) + coalesce(char_length(x.hit), 0),
-          'spans', if(x.hit is not null and char_length(x.val) >= {least},
-                      array_append(acc.spans, named_struct('start', acc.at + char_length(x.gap),
-                                                           'end', acc.at + char_length(x.gap) + char_length(x.hit),
-                                                           'val', x.val)),
-                      acc.spans)),
-        acc -> acc.spans)"""
-    return df.withColumn(out, F.expr(spans)).drop("has", "gap", "hit", "val")
+      filter(transform(arrays_zip(gap, hit, val, at), x -> named_struct(
+               'start', x.at + char_length(x.gap), 'end', x.at + char_length(x.gap) + char_length(x.hit), 'val', x.val)),
+             x -> char_length(x.val) >= {least})"""
+    return df.withColumn(out, F.expr(spans)).drop("has", "gap", "hit", "val", "sizes", "at")
 
 
 def _without(pattern: str, least: int) -> str:
-    """SQL over a candidate ``c``: its pieces of at least ``least`` characters around the words that hold the pattern."""
-    p = _sql(f"[A-Za-z0-9]*(?:{pattern})[A-Za-z0-9]*")
-    none = "cast(array() as array<struct<start:int,end:int,val:string,cut:boolean>>)"
+    """SQL over a candidate ``c``: its pieces of at least ``least`` characters around the words that hold the pattern.
+
+    The pattern alone is looked for; the letters and digits beside a match are then trimmed off the gaps.
+    """
+    p = _sql(pattern)
+    left = f"if(i = 0, x.gap, trim(LEADING '{LETTERS}' FROM x.gap))"
+    piece = f"""
+      transform(array({left}), l -> transform(array(if(i = size(gaps) - 1, l, trim(TRAILING '{LETTERS}' FROM l))), v -> named_struct(
+        'start', c.start + x.at + char_length(x.gap) - char_length(l),
+        'end', c.start + x.at + char_length(x.gap) - char_length(l) + char_length(v), 'val', v, 'cut', true))[0])[0]"""
     return f"""
-      if(not c.val rlike {_sql(pattern)}, array(c),
-        aggregate(zip_with(split(c.val, {p}, -1), regexp_extract_all(c.val, {p}, 0), (g, h) -> named_struct('gap', g, 'hit', h)),
-          named_struct('at', c.start, 'pieces', {none}),
-          (acc, x) -> named_struct(
-            'at', acc.at + char_length(x.gap) + coalesce(char_length(x.hit), 0),
-            'pieces', if(char_length(x.gap) >= {least},
-                         array_append(acc.pieces, named_struct('start', acc.at, 'end', acc.at + char_length(x.gap), 'val', x.gap, 'cut', true)),
-                         acc.pieces)),
-          acc -> acc.pieces))"""
+      if(not c.val rlike {p}, array(c),
+        flatten(transform(array(split(c.val, {p}, -1)), gaps ->
+          flatten(transform(array(zip_with(gaps, regexp_extract_all(c.val, {p}, 0), (g, h) -> char_length(g) + coalesce(char_length(h), 0))), sizes ->
+            filter(transform(zip_with(gaps, {_before("sizes", 0, _sum)}, (g, a) -> named_struct('gap', g, 'at', a)), (x, i) -> {piece}),
+                   v -> char_length(v.val) >= {least}))))))"""
 
 
 def _high_entropy(window: int, threshold: float) -> str:
-    """SQL over a candidate ``c`` (start, end, val): merged spans of its windows with enough entropy."""
-    # Sums of c*log2(c) are kept in millionths, so that increments are exact.
+    """SQL over a candidate ``c`` (start, end, val): merged spans of its windows with enough entropy.
+
+    The counts of the window's characters are the characters of a string, 32 standing for none: a step
+    replaces two of them.
+    """
+    # Sums of c*log2(c) are kept in millionths, so that increments are exact; what one more of a character adds:
     table = [round(1e6 * c * math.log2(c)) if c else 0 for c in range(window + 1)]
-    weight = f"array({', '.join(f'{x}L' for x in table)})"
+    more = f"array({', '.join(f'{after - before}L' for before, after in zip(table, table[1:], strict=False))})"
     most = math.floor(1e6 * window * (math.log2(window) - threshold))
     steps = f"""
       transform(sequence(0, size(codes)),
         i -> named_struct('i', i, 'inn', coalesce(get(codes, i), -1), 'out', coalesce(get(codes, i - {window}), -1)))"""
+
+    def count(of: str) -> str:
+        return f"ascii(substring(acc.n, {of} + 1, 1))"
+
+    added = f"if(x.inn < 0, acc.n, overlay(acc.n PLACING char({count('x.inn')} + 1) FROM x.inn + 1 FOR 1))"
     scan = f"""
       aggregate({steps},
-        named_struct('n', array_repeat(0, 128), 's', 0L, 'from', -1, 'to', -1, 'spans', cast(array() as array<struct<start:int,end:int>>)),
+        named_struct('n', repeat(' ', 128), 's', 0L, 'from', -1, 'to', -1, 'spans', cast(array() as array<struct<start:int,end:int>>)),
         (acc, x) -> named_struct(
-          'n', transform(acc.n, (v, k) -> v + if(k = x.inn, 1, 0) - if(k = x.out, 1, 0)),
-          's', acc.s + if(x.inn = x.out or x.inn < 0, 0L, {weight}[acc.n[x.inn] + 1] - {weight}[acc.n[x.inn]])
-                     + if(x.inn = x.out or x.out < 0, 0L, {weight}[acc.n[x.out] - 1] - {weight}[acc.n[x.out]]),
+          'n', if(x.inn = x.out, acc.n, if(x.out < 0, {added}, overlay({added} PLACING char({count('x.out')} - 1) FROM x.out + 1 FOR 1))),
+          's', acc.s + if(x.inn = x.out or x.inn < 0, 0L, {more}[{count('x.inn')} - 32])
+                     - if(x.inn = x.out or x.out < 0, 0L, {more}[{count('x.out')} - 33]),
           'from', if(x.i >= {window} and acc.s <= {most} and (acc.from < 0 or acc.to < x.i - {window}), x.i - {window}, acc.from),
           'to', if(x.i >= {window} and acc.s <= {most}, x.i, acc.to),
           'spans', if(x.i >= {window} and acc.s <= {most} and acc.from >= 0 and acc.to < x.i - {window},
@@ -146,14 +178,25 @@ def scan_secrets(df: DataFrame, window: int = WINDOW, classes: dict = CLASSES, a
 
 
 def redacted(found: str = "found", text: str = "text", mark: str = "[SECRET]") -> Column:
-    """The text with every run of overlapping spans replaced by ``mark``."""
+    """The text with every run of overlapping spans replaced by ``mark``; spans are in order of their starts.
+
+    What stays in front of a run begins where all spans before it have ended.  Such pieces are cut from the text
+    block by block, so that a cut never counts characters from the beginning of a long text.
+    """
+    reach = _before("ends", 0, lambda a, b: f"greatest({a}, {b})")
+    cuts = f"""
+      filter(zip_with({found}, {reach}, (s, r) -> named_struct('from', r, 'to', s.start)), d -> d.to >= d.from)"""
+    block = f"""
+      transform(array(named_struct('some', slice(cuts, cast(k * {BLOCK} + 1 as int), {BLOCK}))), b ->
+        transform(array(substring({text}, b.some[0].from + 1, element_at(b.some, -1).to - b.some[0].from)), part ->
+          array_join(transform(b.some, d -> concat(substring(part, d.from - b.some[0].from + 1, d.to - d.from), '{mark}')), ''))[0])[0]"""
     return F.expr(f"""
-      aggregate({found},
-        named_struct('at', 0, 'parts', cast(array() as array<string>)),
-        (acc, s) -> if(s.start >= acc.at or acc.at = 0,
-          named_struct('at', greatest(acc.at, s.end), 'parts', array_append(acc.parts, concat(substring({text}, acc.at + 1, s.start - acc.at), '{mark}'))),
-          named_struct('at', greatest(acc.at, s.end), 'parts', acc.parts)),
-        acc -> concat(array_join(acc.parts, ''), substring({text}, acc.at + 1)))""")
+      if(size({found}) = 0, {text},
+        concat(
+          transform(array(transform({found}, s -> s.end)), ends ->
+            transform(array({cuts}), cuts ->
+              array_join(transform(sequence(0, cast((size(cuts) - 1) div {BLOCK} as int)), k -> {block}), ''))[0])[0],
+          substring({text}, array_max(transform({found}, s -> s.end)) + 1)))""")
 
 
 def _listed(spans: str) -> str:

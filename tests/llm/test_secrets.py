@@ -2,9 +2,11 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from expkit.llm import op7_secrets as secrets
 
@@ -99,3 +101,78 @@ def test_nothing(table):
 @pytest.mark.parametrize("pattern", secrets.ALLOWED)
 def test_allow_list_patterns_compile(pattern):
     re.compile(pattern)
+
+
+def _long(kind, n=1_000_000):
+    rng = random.Random(kind)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    match kind:
+        case "compound":
+            return "ab-" * (n // 3) + "a", 0
+        case "path":
+            return "usr/local/lib/" * (n // 14), 0
+        case "broken path":
+            return "some/path/" * (n // 10) + "X1", 0
+        case "hex":
+            return "".join(rng.choice("0123456789abcdef") for _ in range(n)), None
+        case "base64":
+            return "".join(rng.choice(b64) for _ in range(n)), None
+        case "example":
+            return "example/" + "".join(rng.choice(b64[:62]) for _ in range(n)), None
+        case "one letter":
+            return "a" * n, 1  # a long run of hexadecimal digits
+        case "hits":
+            return "password=abcdefgh1 " * 50_000, 50_000
+        case "spaces":
+            return ("password" + " " * 1000) * (n // 1008), 0
+
+
+@pytest.mark.parametrize("kind", ["compound", "path", "broken path", "hex", "base64", "example", "one letter", "hits", "spaces"])
+def test_a_megabyte_of_anything_takes_seconds(table, kind):
+    text, spans = _long(kind)
+    started = time.monotonic()
+    found = secrets.scan_secrets(table([(1, text)], 1))
+    got = found.select(F.size("found").alias("n"), F.char_length(secrets.redacted()).alias("left"), "found").collect()[0]
+    assert time.monotonic() - started < 60
+    assert got.n == spans if spans is not None else got.n > 0
+    merged = []
+    for s in got.found:
+        if merged and s.start < merged[-1][1]:
+            merged[-1][1] = max(s.end, merged[-1][1])
+        else:
+            merged.append([s.start, s.end])
+    assert got.left == len(text) - sum(b - a for a, b in merged) + len("[SECRET]") * len(merged)
+
+
+def cut_by_hand(text):
+    """Pieces of a candidate around the words of letters and digits that hold an example, with their places."""
+    inner = [p for p in secrets.ALLOWED if not p.startswith("^")]
+    at, out = 0, []
+    held = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", text) if any(re.search(p, m[0]) for p in inner)]
+    for a, b in [*held, (len(text), len(text))]:
+        out.append((at, text[at:a]))
+        at = b
+    return [(a, x) for a, x in out if len(x) >= secrets.WINDOW]
+
+
+def test_examples_are_cut_out_with_their_words(table):
+    rng = random.Random(9)
+    words = ["example", "Example12", "x0123456789y", "abcdefghijk", "Zq8Lw3Rt6Yp1Xs9Vb4Nm7Kd2Hf5Jc0Ga", "q7Rt2Wy9Pk4Zx1Vb", "abc", "exampleexample", "A1b2C3d4E5f6G7h8I9j0K1l2"]
+    rows = ["".join(rng.choice(words) + rng.choice("/+=-_") * rng.randint(1, 2) for _ in range(rng.randint(2, 9))) for _ in range(120)]
+    whole = [p for p in secrets.ALLOWED if p.startswith("^")]
+    chars, threshold = secrets.CLASSES["entropy_base64"]
+    for r in secrets.scan_secrets(table(list(enumerate(rows)))).collect():
+        want, w = [], secrets.WINDOW
+        has = any(re.search(p, r.text) for p in secrets.ALLOWED if not p.startswith("^"))
+        pieces = cut_by_hand(r.text) if has else [(0, r.text)] if len(r.text) >= w else []
+        for at, piece in pieces:
+            if any(re.search(p, piece) or (has and re.search(p, piece.strip("/=+_-"))) for p in whole):
+                continue
+            for i in range(len(piece) - w + 1):
+                counts = Counter(piece[i : i + w])
+                if sum(round(1e6 * c * math.log2(c)) for c in counts.values()) <= math.floor(1e6 * w * (math.log2(w) - threshold)):
+                    if want and want[-1][1] >= at + i:
+                        want[-1][1] = at + i + w
+                    else:
+                        want.append([at + i, at + i + w])
+        assert [[s.start, s.end] for s in r.found if s.kind == "entropy_base64"] == want, r.text
