@@ -110,8 +110,9 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_copies: int =
 
     # Sums never fall with the rank, so the rows that fit are the first ones; of those after, a bounded number is tried.
     fits = F.col("before") + F.col("size") <= F.col("wanted")
-    place = Window.partitionBy("source").orderBy("rank")
-    after = ranked.where(~fits).withColumn("place", F.row_number().over(place)).where(F.col("place") <= LOOK + 1)
+    late = ranked.where(~fits)
+    ends = late.groupBy("source").agg(F.min("rank").alias("end"))
+    after = _with_source(late, ends).where(F.col("rank") <= F.col("end") + LOOK)
     queues = after.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "size", "before", "wanted"))).alias("queue"))
     filled = queues.select("source", F.explode(F.expr("""
         aggregate(slice(queue, 2, size(queue)),
