@@ -5,17 +5,18 @@ token labels are derived first: among words and word beginnings, those that are
 all but absent from clean training documents are chosen greedily, each time the
 one found in most toxic documents not covered yet; tokens of toxic documents that
 bear a chosen one are labelled toxic, all others clean.  A two-state chain over
-segments of ``SEGMENT`` tokens is then fitted to these labels: emissions from the
+the whole text is then fitted to these labels: emissions from the
 word, its beginnings and its end (hashed to ``SLOTS`` weights), and transitions
 between the states, by gradient ascent on the conditional likelihood with
-forward-backward expectations.  A document's score is a logistic function of its
+forward-backward expectations.  Segments of ``SEGMENT`` tokens are only how the
+work is cut: each gets the forward and backward vectors of its neighbours.  A document's score is a logistic function of its
 tokens' marginals (the largest, and their sum), fitted to the document labels.
 Tokens with a marginal over one half are the offending ones, reported by offset.
 
-The model is fitted on the driver, on at most ``PER_CLASS`` labelled training
+The model is fitted in a task, on at most ``PER_CLASS`` labelled training
 documents of each class, taken whole and in hash order; their ids are chosen
-from the labels alone, so no text is shuffled.  It is a fixed number of weights
-and is sent out once.  All documents are then scored where they are read.
+from the labels and hashes, so only their texts are moved.  It is a fixed number
+of weights, passes the driver as bytes and is sent out once.  All documents are then scored where they are read.
 Only the text enters a score.
 
 Defined results: null text counts as empty; an empty text has the score of no
@@ -28,6 +29,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -87,22 +89,60 @@ def seed_features(docs: list[np.ndarray], n_toxic: int, n_features: int, length:
     return np.array(chosen, np.int64)
 
 
-def marginals(emission: np.ndarray, mask: np.ndarray, start: float, step: np.ndarray, expected: bool = False):
-    """Forward-backward over (segments, positions): toxic marginals, and if asked the expected transitions."""
+def _neighbours(psi: np.ndarray, mask: np.ndarray, start: float, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment: the forward vector of its first token and the backward vector of its last, given its whole text.
+
+    The transfer matrix of a segment takes a vector from its first token to its last; so a text's segments
+    need one step each to hand their vectors on, and segments of many texts are worked on together.
+    """
+    n, s = psi.shape
+    m = np.zeros((2, 2, s))
+    m[0, 0] = m[1, 1] = 1
+    for i in range(1, n):
+        on = mask[:, i]
+        off, to = m[:, 0] * t[0, 0] + m[:, 1] * t[1, 0], (m[:, 0] * t[0, 1] + m[:, 1] * t[1, 1]) * psi[i]
+        z = off.sum(axis=0) + to.sum(axis=0)
+        m[:, 0], m[:, 1] = np.where(on, off / z, m[:, 0]), np.where(on, to / z, m[:, 1])
+    place = np.arange(s) - np.maximum.accumulate(np.where(first, np.arange(s), 0))
+    by_place = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[by_place], np.arange(place.max(initial=0) + 2))
+    enter, leave = np.ones((2, s)), np.ones((2, s))
+    enter[1] = np.exp(start) * psi[0]
+    for k in range(1, len(cuts) - 1):
+        at = by_place[cuts[k] : cuts[k + 1]]
+        e0, e1 = (enter[0, at - 1] * m[0, j, at - 1] + enter[1, at - 1] * m[1, j, at - 1] for j in (0, 1))
+        off, to = e0 * t[0, 0] + e1 * t[1, 0], (e0 * t[0, 1] + e1 * t[1, 1]) * psi[0, at]
+        enter[0, at], enter[1, at] = off / (off + to), to / (off + to)
+    for k in range(len(cuts) - 2, 0, -1):
+        at = by_place[cuts[k] : cuts[k + 1]]
+        b0, b1 = (m[j, 0, at] * leave[0, at] + m[j, 1, at] * leave[1, at] for j in (0, 1))
+        b1 = b1 * psi[0, at]
+        off, to = t[0, 0] * b0 + t[0, 1] * b1, t[1, 0] * b0 + t[1, 1] * b1
+        leave[0, at - 1], leave[1, at - 1] = off / (off + to), to / (off + to)
+    return enter, leave
+
+
+def marginals(emission: np.ndarray, mask: np.ndarray, start: float, step: np.ndarray, expected: bool = False, first: np.ndarray | None = None):
+    """Forward-backward over (segments, positions): toxic marginals, and if asked the expected transitions.
+
+    ``first`` marks the segments that begin a text; the others go on with the one before.  Without it each begins one.
+    """
     s, n = emission.shape
-    psi = np.exp(np.clip(emission, -30, 30))
+    psi = np.exp(np.clip(emission, -30, 30)).T.copy()
     t = np.exp(step)
-    a = np.empty((n, 2, s))
-    b = np.ones((n, 2, s))
-    a0, a1 = np.ones(s), np.exp(start) * psi[:, 0]
+    a, b = np.empty((n, 2, s)), np.ones((n, 2, s))
+    (a0, a1), last = (np.ones(s), np.exp(start) * psi[0]), None
+    if first is not None and not first.all():
+        (a0, a1), last = _neighbours(psi, mask, start, t, first)
+        b[n - 1] = last
     for i in range(n):
         if i:
-            a0, a1 = a0 * t[0, 0] + a1 * t[1, 0], (a0 * t[0, 1] + a1 * t[1, 1]) * psi[:, i]
+            a0, a1 = a0 * t[0, 0] + a1 * t[1, 0], (a0 * t[0, 1] + a1 * t[1, 1]) * psi[i]
         z = a0 + a1
         a0, a1 = a0 / z, a1 / z
         a[i, 0], a[i, 1] = a0, a1
     for i in range(n - 2, -1, -1):
-        on, after = mask[:, i + 1], b[i + 1, 1] * psi[:, i + 1]
+        on, after = mask[:, i + 1], b[i + 1, 1] * psi[i + 1]
         b0, b1 = t[0, 0] * b[i + 1, 0] + t[0, 1] * after, t[1, 0] * b[i + 1, 0] + t[1, 1] * after
         z = b0 + b1
         b[i, 0], b[i, 1] = np.where(on, b0 / z, 1.0), np.where(on, b1 / z, 1.0)
@@ -111,12 +151,17 @@ def marginals(emission: np.ndarray, mask: np.ndarray, start: float, step: np.nda
     if not expected:
         return p
     counts = np.zeros((2, 2))
-    both = np.empty((2, 2, s))
+
+    def crossed(before: np.ndarray, after_off: np.ndarray, after_on: np.ndarray) -> np.ndarray:
+        both = np.array([[before[0] * t[0, 0] * after_off, before[0] * t[0, 1] * after_on], [before[1] * t[1, 0] * after_off, before[1] * t[1, 1] * after_on]])
+        return (both / both.sum(axis=(0, 1))).sum(axis=2)
+
     for i in range(1, n):
-        both[0, 0], both[1, 0] = a[i - 1, 0] * t[0, 0] * b[i, 0], a[i - 1, 1] * t[1, 0] * b[i, 0]
-        after = psi[:, i] * b[i, 1]
-        both[0, 1], both[1, 1] = a[i - 1, 0] * t[0, 1] * after, a[i - 1, 1] * t[1, 1] * after
-        counts += (both / both.sum(axis=(0, 1)))[:, :, mask[:, i]].sum(axis=2)
+        on = mask[:, i]
+        counts += crossed(a[i - 1][:, on], b[i, 0, on], (psi[i] * b[i, 1])[on])
+    if last is not None:
+        at = np.flatnonzero(~first)
+        counts += crossed(a[n - 1][:, at - 1], b[0, 0, at], psi[0, at] * b[0, 1, at])
     return p, counts
 
 
@@ -154,12 +199,9 @@ class Model:
         labels = [offends[ix] if i < len(toxic) else np.zeros(len(ix), bool) for i, ix in enumerate(index)]
         del sets, numbers
 
-        rows, mask, _ = segments([ix for ix in index if len(ix)] or [np.zeros(0, np.int64)], 0)
+        rows, mask, doc = segments([ix for ix in index if len(ix)] or [np.zeros(0, np.int64)], 0)
         y, _, _ = segments([lb for lb in labels if len(lb)] or [np.zeros(0, bool)], False)
-        bearing = np.flatnonzero(y.any(axis=1))
-        other = np.flatnonzero(~y.any(axis=1))
-        use = np.concatenate([bearing, other[:: max(1, len(other) // max(1, 3 * len(bearing)))]])
-        rows, mask, y = rows[use], mask[use], y[use]
+        first = np.diff(doc, prepend=-1) != 0
         of_word = [slots(w) for w in vocabulary]
         slot = np.concatenate([np.array(s, np.int64) for s in of_word])
         word = np.repeat(np.arange(len(of_word)), [len(s) for s in of_word])
@@ -167,18 +209,19 @@ class Model:
         w, start, step = np.zeros(SLOTS), -3.0, np.array([[0.0, -3.0], [0.0, 0.0]])
         bias, square, total = -2.0, np.full(SLOTS, 1e-6), max(1, int(mask.sum()))
         squares = np.full(6, 1e-6)
-        pairs = mask[:, 1:]
-        seen = np.array([[(~y[:, :-1] & ~y[:, 1:] & pairs).sum(), (~y[:, :-1] & y[:, 1:] & pairs).sum()],
-                         [(y[:, :-1] & ~y[:, 1:] & pairs).sum(), (y[:, :-1] & y[:, 1:] & pairs).sum()]])
-        for _ in range(rounds if len(bearing) else 0):
+        # Transitions within a segment, and from one to the next of its text.
+        before = np.concatenate([y[:, :-1][mask[:, 1:]], y[np.flatnonzero(~first) - 1, -1]])
+        after = np.concatenate([y[:, 1:][mask[:, 1:]], y[~first, 0]])
+        seen = np.bincount(2 * before + after, minlength=4).reshape(2, 2)
+        for _ in range(rounds if y.any() else 0):
             emission = np.bincount(word, w[slot], minlength=len(vocabulary)) + bias
-            p, moved = marginals(emission[rows], mask, start, step, expected=True)
+            p, moved = marginals(emission[rows], mask, start, step, expected=True, first=first)
             miss = np.where(mask, y - p, 0.0)
             by_word = np.bincount(rows.ravel(), miss.ravel(), minlength=len(vocabulary))
             up = np.bincount(slot, by_word[word], minlength=SLOTS) - decay * w
             square += up * up
             w += rate * up / np.sqrt(square)
-            rest = np.array([miss.sum(), miss[:, 0].sum(), *(seen - moved).ravel()])
+            rest = np.array([miss.sum(), miss[first, 0].sum(), *(seen - moved).ravel()])
             squares += rest * rest
             move = rate * rest / np.sqrt(squares)
             bias, start = bias + move[0], start + move[1]
@@ -214,7 +257,7 @@ class Model:
         top, total = np.full(len(texts), 1e-6), np.full(len(texts), 1e-6)
         p = np.zeros(rows.shape)
         if len(rows):
-            p = np.where(mask, marginals(rows, mask, self.start, self.step), 0.0)
+            p = np.where(mask, marginals(rows, mask, self.start, self.step, first=np.diff(doc, prepend=-1) != 0), 0.0)
             np.maximum.at(top, doc, p.max(axis=1))
             np.add.at(total, doc, p.sum(axis=1))
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -254,8 +297,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit a model to at most ``per_class`` different labelled training texts of each class."""
+def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+    """((toxic, text), share): at most ``per_class`` different labelled training texts of each class, and the share of toxic documents."""
     marks = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels["toxic"].cast("int").alias("toxic"))
     marks = marks.where(F.col("label_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("label_id")))
     marks = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
@@ -268,11 +311,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     chosen = [distinct.where(F.col("toxic") == c).orderBy("first", "label_h1", "label_h2").limit(per_class) for c in (1, 0)]
     same = (F.col("doc_id") == F.col("label_id")) & (F.col("h1") == F.col("label_h1")) & (F.col("h2") == F.col("label_h2"))
     sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), same)
-    # At most 2 * per_class texts; repeated rows come once.
-    rows = sample.select("toxic", "text").dropDuplicates(["text"]).orderBy("text").collect()
-    toxic, clean = [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
-    model = Model(float(share))
-    return model.fit(toxic, clean) if toxic and clean else model
+    return sample.select("toxic", "text").dropDuplicates(["text"]), float(share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model fitted to the training texts, in one task."""
+    texts, share = training_texts(docs, labels, per_class, id_col, text_col)
+    common.on_workers(docs.sparkSession)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({(text, toxic) for batch in batches for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True)})
+        toxic, clean = [x for x, t in rows if t == 1], [x for x, t in rows if t == 0]
+        model = Model(share)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model.fit(toxic, clean) if toxic and clean else model)], pa.binary())})
+
+    # A bounded number of texts in one task: the driver sees the weights only.
+    made = texts.repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(made[0].model) if made else Model(share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

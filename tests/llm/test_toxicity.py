@@ -32,6 +32,38 @@ def test_marginals_and_expected_transitions():
     assert counts.sum() == pytest.approx(6 + 3 + 6)
 
 
+def test_marginals_of_a_whole_text_do_not_depend_on_its_segments(monkeypatch):
+    rng = np.random.default_rng(4)
+    step, start = np.array([[0.1, -1.0], [0.4, 0.7]]), -0.5
+    texts = [rng.normal(size=n) for n in (5, 12, 1, 4, 8, 9, 0, 11)]
+    for size in (3, 4, 64):
+        monkeypatch.setattr(toxicity, "SEGMENT", size)
+        rows, mask, doc = toxicity.segments(texts, 0.0)
+        p, counts = toxicity.marginals(rows, mask, start, step, expected=True, first=np.diff(doc, prepend=-1) != 0)
+        for d, x in enumerate(texts):
+            if len(x):
+                assert p[doc == d].reshape(-1)[: len(x)] == pytest.approx(forward_backward_by_hand(x, start, step))
+        assert counts.sum() == pytest.approx(sum(len(x) - 1 for x in texts if len(x)))
+
+
+def test_scores_equal_a_chain_by_hand(labelled, monkeypatch):
+    """Document scores from marginals by enumeration, token by token, with the model's weights."""
+    docs, labels = labelled
+    truth = dict(labels)
+    model = toxicity.Model(0.2).fit([x for i, x in docs[:200] if truth[i]], [x for i, x in docs[:200] if not truth[i]])
+    monkeypatch.setattr(toxicity, "SEGMENT", 5)
+    texts = [" ".join(x.split()[:12]) for _, x in docs[200:230]] + ["", "vilekor", "lorem"]
+    scores, each = model.scored(texts)
+    for x, score, p in zip(texts, scores, each, strict=True):
+        emission = [sum(float(model.weights[zlib.crc32(f.encode()) % toxicity.SLOTS]) for f in toxicity.features(toxicity.normal(t))) + model.bias for t in x.split()]
+        want = forward_backward_by_hand(emission, model.start, model.step) if emission else []
+        assert list(p) == pytest.approx(want, abs=1e-5)
+        top, total = max([1e-6, *want]), 1e-6 + sum(want)
+        top = min(top, 1 - 1e-6)
+        z = model.document[0] + model.document[1] * np.log(top / (1 - top)) + model.document[2] * np.log(total)
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
 @pytest.fixture(scope="module")
 def labelled():
     rng = random.Random(8)
@@ -72,13 +104,13 @@ def test_labels_of_held_out_documents_do_not_count(spark, table, labelled):
     assert scores[0] == scores[1]
 
 
-def test_equal_texts_count_once_before_the_limit(spark, table, monkeypatch):
+def test_equal_texts_count_once_before_the_limit(spark, table):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
     rows = [(i, "a copy") for i in ids[:40]] + [(i, f"text {i}") for i in ids[40:48]] + [(i, f"clean {i}") for i in ids[48:60]] + [(ids[60], "a copy")]
     marks = [(i, 1) for i in ids[:48]] + [(i, 0) for i in ids[48:61]]
-    seen = {}
-    monkeypatch.setattr(toxicity.Model, "fit", lambda self, toxic, clean: seen.update(toxic=toxic, clean=clean) or self)
-    toxicity.fit(table(rows), spark.createDataFrame(marks, "doc_id long, toxic int"), per_class=9)
+    sample, _ = toxicity.training_texts(table(rows), spark.createDataFrame(marks, "doc_id long, toxic int"), per_class=9)
+    chosen = sample.collect()
+    seen = {"toxic": [r.text for r in chosen if r.toxic == 1], "clean": [r.text for r in chosen if r.toxic == 0]}
     assert sorted(seen["toxic"]) == sorted(["a copy", *(f"text {i}" for i in ids[40:48])])
     assert len(seen["clean"]) == 9 and "a copy" not in seen["clean"]
 
