@@ -11,7 +11,7 @@ bands follows from the rows per band, the threshold and the target recall:
     star per bucket, linear in its size).  Components of these links hold every
     candidate pair.
 3.  A component of up to ``CELL`` members is one cell: its texts come together
-    once, and all its pairs are verified.  In a larger component, each band
+    once, and all its pairs that share a band are verified.  In a larger component, each band
     bucket is dealt into cells by itself, and a bucket of more than ``CELL``
     members into pairs of blocks; a pair of texts counts in the first band that
     it shares, so no link counts twice.  Cells report a number of links per
@@ -19,14 +19,15 @@ bands follows from the rows per band, the threshold and the target recall:
     into bins of about ``BIN`` rows, whatever the input's size.
 4.  Components of the verified links are the classes.
 
-So ``n_links`` depends on component size: up to ``CELL`` members all pairs count,
-above that only pairs that share a band.  A pair at the threshold shares none with
-a probability of at most one less the recall (0.001), and it can be a link in a
-small component and none once more texts have joined it.
+One rule holds at every size: a link is a pair that shares a band and reaches the
+threshold.  A pair at the threshold shares none with a probability of at most one
+less the recall (0.001).
 
 Defined results: one row per input row: doc_id, rep_id (smallest id with the same
 text), class_id (smallest id of the class), n_links (number of other texts with
-similarity at or over the threshold), kept (doc_id is class_id).  Null text
+similarity at or over the threshold), kept (doc_id is class_id, and the text is the
+class's text under that id: of several, the one with the least hashes), and the text's
+hashes h1 and h2.  Null text
 counts as empty; empty texts are copies of each other and link to no other text;
 rows with a null id come out as a class of their own with null ids and no links;
 repeated rows come out repeated; an id on rows with different texts stands for
@@ -42,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,6 +53,8 @@ WORDS, THRESHOLD = 5, 0.8
 BAND_ROWS, RECALL = 8, 0.999
 #: Members of a block, and rows of a bin of cells.
 CELL, BIN = 512, 1024
+#: Copies of a large component's row that its members are spread over.
+SPREAD = 16
 WORDS_KEPT = 800_000
 
 
@@ -137,14 +140,34 @@ def forest(link: np.ndarray) -> np.ndarray:
         root = lower
 
 
+def normal(text: Column) -> Column:
+    """The text in lower case, with single spaces for white space."""
+    return F.lower(F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
+
+
+def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, that stay: one of each class.
+
+    That is the row of the class's smallest id; where this id stands on several texts of the class, the one with
+    the least hashes; of rows alike in id and normalised text, one.  Rows with a null id are each their own class.
+    """
+    kept = jaccard_classes(df, id_col=id_col, text_col=text_col, **options).where("kept and doc_id is not null").select(
+        F.col("doc_id").alias("kept_id"), F.col("h1").alias("kept_h1"), F.col("h2").alias("kept_h2"))
+    numbered, (doc_id, text) = common.picked(df, id_col, text_col)
+    norm = normal(F.coalesce(text.cast("string"), F.lit("")))
+    keyed = numbered.withColumns({"key": doc_id.cast("long"), "h1": F.xxhash64(norm), "h2": F.xxhash64(F.lit(1), norm)})
+    same = (F.col("key") == F.col("kept_id")) & (F.col("h1") == F.col("kept_h1")) & (F.col("h2") == F.col("kept_h2"))
+    rows = keyed.join(kept, same, "left_semi").dropDuplicates(["key", "h1", "h2"]).select(*numbered.columns)
+    return rows.unionAll(numbered.where(doc_id.cast("long").isNull())).toDF(*df.columns)
+
+
 def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, band_rows: int = BAND_ROWS, recall: float = RECALL,
                     cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, rep_id, class_id, n_links, kept."""
+    """One row per input row: doc_id, rep_id, class_id, n_links, kept, h1, h2."""
     common.on_workers(df.sparkSession)
     n_bands = bands(threshold, band_rows, recall)
     multiply, add = _seeds(n_bands * band_rows)
-    norm = F.lower(F.btrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
-    docs = common.id_text(df, id_col, text_col).select("doc_id", norm.alias("norm"))
+    docs = common.id_text(df, id_col, text_col).select("doc_id", normal(F.col("text")).alias("norm"))
     docs = docs.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +189,18 @@ def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
     buckets = in_bucket.groupBy("band", "bucket").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = common.cut_lineage(in_bucket.join(buckets.hint("shuffle_hash"), ["band", "bucket"]).select("rep", "band", "bucket", "first", "n"))
     candidates = components(members.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    placed = common.cut_lineage(candidates.join(sizes, "root").select(F.col("id").alias("rep"), "root", "size"))
+    # Only roots of large components are looked up, each in as many copies as its members are spread over.
+    sizes = candidates.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > cell)
+    sizes = sizes.select(F.col("root").alias("large_root"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("copy"))
+    spread = candidates.withColumn("spread", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
+    placed = spread.join(sizes, (F.col("root") == F.col("large_root")) & (F.col("spread") == F.col("copy")), "left")
+    placed = common.cut_lineage(placed.select(F.col("id").alias("rep"), "root", F.col("large_root").isNotNull().alias("large")))
 
     # Cells: (rep, band, key, i, j, block); band -1 for whole components.
-    small = placed.where(F.col("size") <= cell).select(
+    small = placed.where(~F.col("large")).select(
         "rep", F.lit(-1).alias("band"), F.col("root").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
     blocks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
-    in_large = members.join(placed.where(F.col("size") > cell).select("rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    in_large = members.join(placed.where("large").select("rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     large = in_large.select("rep", "band", F.col("bucket").alias("key"), "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
         "rep", "band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
     cells = common.cut_lineage(small.unionByName(large))
@@ -195,8 +222,11 @@ def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
                 continue
             some = bin_rows.slice(a, b - a)
             link = linked([ngrams(t.as_py(), hashes, words) for t in some["norm"]], threshold)
-            if band[a] >= 0:
-                signature = some["bands"].combine_chunks().flatten().to_numpy().reshape(b - a, -1)
+            signature = some["bands"].combine_chunks().flatten().to_numpy().reshape(b - a, -1)
+            if band[a] < 0:
+                one, other = np.nonzero(link)
+                link[one, other] = (signature[one] == signature[other]).any(axis=1)
+            else:
                 for earlier in signature[:, : band[a]].T:
                     link &= earlier[:, None] != earlier[None, :]
                 if i[a] != j[a]:
@@ -210,20 +240,23 @@ def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
     verified = common.cut_lineage(shipped.groupBy("bin").applyInArrow(verify, "rep long, root long, links long"))
     links = verified.groupBy("rep").agg(F.sum("links").alias("n_links"))
     classes = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    members = classes.join(reps.select(F.col("rep").alias("id"), "rep_id"), "id")
-    names = members.groupBy("root").agg(F.min("rep_id").alias("class"))
+    members = classes.join(reps.select(F.col("rep").alias("id"), "rep_id", "h1", "h2"), "id")
+    names = members.groupBy("root").agg(F.min(F.struct("rep_id", "h1", "h2")).alias("class"))
     classes = members.select("id", "root").join(names, "root")
     found = links.join(classes, links["rep"] == classes["id"], "left").select("rep", "class", "n_links")
     of_text = reps.select("h1", "h2", "rep", "rep_id").join(found, "rep", "left").drop("rep").withColumnRenamed("rep_id", "rep")
+    own_text = F.col("class").isNull() | ((F.col("class.h1") == F.col("h1")) & (F.col("class.h2") == F.col("h2")))
     return signed.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"], "left").select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "rep")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("class.rep_id", "rep")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.coalesce(F.col("doc_id") == F.coalesce("class", "rep"), F.lit(True)).alias("kept"),
+        F.coalesce((F.col("doc_id") == F.coalesce("class.rep_id", "rep")) & own_text, F.lit(True)).alias("kept"),
+        "h1",
+        "h2",
     )
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and numbers of links of all documents."""
-    return jaccard_classes(common.table(spark, sf_dir, "documents"))
+    return jaccard_classes(common.table(spark, sf_dir, "documents")).drop("h1", "h2")

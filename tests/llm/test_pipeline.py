@@ -94,7 +94,7 @@ def test_stages_on_an_empty_table_with_clashing_columns(spark, folder, table):
 def test_registered_where_it_can_be_imported():
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
@@ -111,3 +111,22 @@ def test_query_matches_sql(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert sorted(df.columns) == columns
     assert sorted(tuple(map(str, r)) for r in df.select(*columns).collect()) == want
+
+
+def test_run_on_a_table_with_repeated_ids_and_rows(spark, folder, tmp_path):
+    import random
+
+    path, *_ = folder
+    rng = random.Random(3)
+    a, b = prose(rng, 40), prose(rng, 40)
+    rows = [(3, b), (4, b), (1, a), (3, a), (1, a), (9, None), (None, a)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], common.table(spark, path, "documents").schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    common.table(spark, path, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    tokens = {x: len(_library().encode(x or "", add_special_tokens=False).ids) + 1 for x in (a, b, None)}
+    left = sorted(((1, tokens[a]), (3, tokens[b]), (9, tokens[None]), (None, tokens[a])), key=repr)
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        key = (r.doc_id, r.doc_tokens)
+        got[key] = got.get(key, 0) + r.length
+    assert sorted(got, key=repr) == left and all(n == k[1] for k, n in got.items())

@@ -144,3 +144,29 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.root for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 140))
     assert got[300] == got[299] == got[298] == 298 and 200 not in got
+
+
+@pytest.mark.parametrize("recall", [0.2, 0.999])
+def test_links_do_not_depend_on_the_size_of_cells(table, recall):
+    """Few bands, so that many similar pairs share none: what counts as a link is the same at every cell size."""
+    rng = random.Random(17)
+    base = prose(rng, 60).split(" ")
+    rows = []
+    for i in range(30):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"edit{rng.randint(0, 99)}"
+        rows.append((i, " ".join(w)))
+    found = [sorted((r.doc_id, r.class_id, r.n_links) for r in near.jaccard_classes(table(rows), cell=cell, recall=recall).collect()) for cell in (512, 8, 2)]
+    assert found[0] == found[1] == found[2]
+    assert (sum(n for *_, n in found[0]) < sum(n for _, _, _, n, _ in near_by_hand(rows))) == (recall < 0.5)
+
+
+def test_one_row_of_each_class_stays(table):
+    rng = random.Random(19)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(3, b), (4, b), (1, a), (3, a), (1, a), (1, " " + a.upper()), (5, a + " x"), (None, a), (None, a), (6, c), (6, c), (7, None), (8, "")]
+    kept = near.one_of_each_class(table(rows))
+    got = sorted(((r[0], (r[1] or "").strip().lower()) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (3, b), (6, c), (None, a), (None, a), (7, "")], key=repr)
+    assert kept.columns == table(rows).columns
