@@ -36,10 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each near-duplicate class."""
-    kept = op4_ngram_join.jaccard_classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    numbered, (doc_id,) = common.picked(docs, "doc_id")
-    return numbered.join(kept, doc_id.eqNullSafe(F.col("kept_id")), "left_semi").toDF(*docs.columns)
+    """One row, that with the smallest id, of each near-duplicate class."""
+    return op4_ngram_join.one_of_each_class(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
