@@ -55,17 +55,21 @@ def compare(moments: DataFrame, alpha: float, control: str = CONTROL_VARIANT, on
         "TEST_ID", *[F.col(c).alias("C_" + c) for c in ("N", "M1", "VALUE", "UVAR")])
     j = m.join(F.broadcast(ctrl), "TEST_ID", "inner")
     n_t, n_c = F.col("N").cast("double"), F.col("C_N").cast("double")
-    delta = F.col("VALUE") - F.col("C_VALUE")
-    welch = F.col("UVAR") / n_t + F.col("C_UVAR") / n_c
-    pooled_mean_var = ((n_t - 1) * F.col("UVAR") + (n_c - 1) * F.col("C_UVAR")) / (n_t + n_c - 2) * (1 / n_t + 1 / n_c)
-    p_hat = (F.col("M1") + F.col("C_M1")) / (n_t + n_c)
-    pooled_rate_var = p_hat * (1 - p_hat) * (1 / n_t + 1 / n_c)
     t = F.col("TEST_TYPE")
-    var = (F.when(F.col("POOLED") & (t == "rate"), pooled_rate_var)
-           .when(F.col("POOLED") & (t == "mean"), pooled_mean_var)
-           .otherwise(welch))
-    se = F.when(var >= 0, F.sqrt(var))
-    z = F.try_divide(delta, se)
+    # Each step is a column of its own: as one expression, the tails of the distribution would repeat all of it many times.
+    j = j.withColumns({
+        "DELTA": F.col("VALUE") - F.col("C_VALUE"),
+        "WELCH": F.col("UVAR") / n_t + F.col("C_UVAR") / n_c,
+        "P_HAT": (F.col("M1") + F.col("C_M1")) / (n_t + n_c),
+    })
+    pooled_mean_var = ((n_t - 1) * F.col("UVAR") + (n_c - 1) * F.col("C_UVAR")) / (n_t + n_c - 2) * (1 / n_t + 1 / n_c)
+    pooled_rate_var = F.col("P_HAT") * (1 - F.col("P_HAT")) * (1 / n_t + 1 / n_c)
+    j = j.withColumn("VAR", F.when(F.col("POOLED") & (t == "rate"), pooled_rate_var)
+                     .when(F.col("POOLED") & (t == "mean"), pooled_mean_var)
+                     .otherwise(F.col("WELCH")))
+    j = j.withColumn("SE", F.when(F.col("VAR") >= 0, F.sqrt("VAR")))
+    j = j.withColumn("STAT", F.try_divide("DELTA", "SE"))
+    delta, se, z = F.col("DELTA"), F.col("SE"), F.col("STAT")
     zcrit = X.normal_quantile(1 - alpha) if one_tailed else X.normal_quantile(1 - alpha / 2)
     p = (F.lit(1.0) - X.normal_cdf(z)) if one_tailed else X.two_sided_p(z)
     is_ctrl = F.col("VARIANT_ID") == control

@@ -2,8 +2,8 @@
 
 Each published test is one row: which family aggregate it reads, the mean /
 SD / covariance / sample-size columns, the test type and pooling.  A run
-builds each family aggregate once, unpivots its tests with ``stack`` into the
-long moments frame, and hands that to ``stats.compare`` — one plan for all
+takes the mergeable moments of each family (``operators.moments``) that its tests
+read, as one long frame, and hands them to ``stats.compare`` — one plan for all
 tests instead of one code path per test.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from expkit.operators import builders as B
 from expkit.operators import metrics as M
+from expkit.operators import moments as Q
 from expkit.operators import scorecard as R
 from expkit.operators import stats as S
 
@@ -129,46 +130,51 @@ FAMILIES = ("engagement", "combined", "agp", "margin", "redemptions", "clips", "
             "account", "basket", "gas", "markdown")
 
 
-def family_aggregate(run, family: str) -> DataFrame:
-    """Per-variant aggregate of one metric family for a ``catalog.Run``."""
+def family_frames(run, family: str) -> list[tuple[DataFrame, list[M.Agg]]]:
+    """Unit frames of a metric family for a ``catalog.Run``, each with its published columns."""
     E, cfg, d, w = run.exposure(), run.cfg, run.d, run.w
     if family == "engagement":
-        n = M.aggregate(M.engagement_units(E, run.visit_order(), run.cart_coupon(), cfg), M.engagement_specs(cfg))
         # The visitor count of the published tests is the engagement frame's.
-        return n
+        return [(M.engagement_units(E, run.visit_order(), run.cart_coupon(), cfg), M.engagement_specs(cfg))]
     if family == "combined":
-        return M.aggregate(M.txn_units(E, run.combined_txns(), cfg, None, shared=run.txn_shared()),
-                           M.txn_specs(cfg, "COMBINED"))
+        return [(M.txn_units(E, run.combined_txns(), cfg, None, shared=run.txn_shared()), M.txn_specs(cfg, "COMBINED"))]
     if family == "agp":
-        return M.aggregate(M.agp_units(E, B.agp_daily(d, w), cfg), M.agp_specs(cfg))
+        return [(M.agp_units(E, B.agp_daily(d, w), cfg), M.agp_specs(cfg))]
     if family == "margin":
-        return M.aggregate(M.margin_units(E, B.margin_weekly(d, w), cfg), M.margin_specs(cfg))
+        return [(M.margin_units(E, B.margin_weekly(d, w), cfg), M.margin_specs(cfg))]
     if family == "redemptions":
-        return M.aggregate(M.redemption_units(E, run.combined_txns(), run.redemptions(), cfg, None,
-                                              shared=run.red_shared()), M.redemption_specs(cfg, None))
+        return [(M.redemption_units(E, run.combined_txns(), run.redemptions(), cfg, None, shared=run.red_shared()), M.redemption_specs(cfg, None))]
     if family == "clips":
-        return M.aggregate(M.clip_units(E, B.clips(d, w), cfg), M.clip_specs(cfg))
-    if family == "ecomm":
-        return M.location_variant(E, run.combined_txns(), run.redemptions(), cfg, "ECOMM", B.first_ecomm(d, w),
-                                  run.txn_shared(), run.red_shared())
-    if family == "store":
-        return M.location_variant(E, run.combined_txns(), run.redemptions(), cfg, "STORE", None,
-                                  run.txn_shared(), run.red_shared())
+        return [(M.clip_units(E, B.clips(d, w), cfg), M.clip_specs(cfg))]
+    if family in ("ecomm", "store"):
+        loc = family.upper()
+        bnc = B.first_ecomm(d, w) if loc == "ECOMM" else None
+        return [(M.txn_units(E, run.combined_txns(), cfg, loc, bnc, shared=run.txn_shared()), M.txn_specs(cfg, loc, ecomm=loc == "ECOMM")),
+                (M.redemption_units(E, run.combined_txns(), run.redemptions(), cfg, loc, shared=run.red_shared()), M.redemption_specs(cfg, loc))]
     if family == "category":
-        return M.aggregate(M.category_units(E, B.category_txns(d, w), cfg), M.category_specs(cfg))
+        return [(M.category_units(E, B.category_txns(d, w), cfg), M.category_specs(cfg))]
     if family == "account":
-        return M.aggregate(M.account_units(E, B.account_health(d, w)), M.account_specs(cfg))
+        return [(M.account_units(E, B.account_health(d, w)), M.account_specs(cfg))]
     if family == "basket":
-        return M.aggregate(M.basket_units(E, B.basket_health(d, w), cfg), M.basket_specs(cfg))
+        return [(M.basket_units(E, B.basket_health(d, w), cfg), M.basket_specs(cfg))]
     if family == "gas":
-        return M.aggregate(M.gas_units(E, B.gas_txns(d, w), cfg), M.gas_specs(cfg))
+        return [(M.gas_units(E, B.gas_txns(d, w), cfg), M.gas_specs(cfg))]
     if family == "bonus":
-        return M.aggregate(M.bonus_units(E, M.bonus_points_daily(d.points_header, d.points, cfg)), M.bonus_specs(cfg))
+        return [(M.bonus_units(E, M.bonus_points_daily(d.points_header, d.points, cfg)), M.bonus_specs(cfg))]
     if family == "markdown":
-        return M.aggregate(M.markdown_units(E, run.combined_txns_md(), cfg), M.markdown_specs(cfg))
+        return [(M.markdown_units(E, run.combined_txns_md(), cfg), M.markdown_specs(cfg))]
     raise KeyError(family)
 
 
+def family_aggregate(run, family: str) -> DataFrame:
+    """Per-variant aggregate of one metric family for a ``catalog.Run``: all its published columns."""
+    frames = [M.aggregate(units, specs) for units, specs in family_frames(run, family)]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, "VARIANT_ID")
+    return out
+
+
 def _split(expr: str | None) -> tuple[str | None, str | None]:
     if expr is None:
         return None, None
@@ -188,49 +194,62 @@ def moments_sql_row(t: Test) -> str:
             f"CAST({t.n} AS BIGINT) AS N, {d(m1)} AS M1, {d(s1)} AS S1, {d(m2)} AS M2, {d(s2)} AS S2, {d(t.cov)} AS COV")
 
 
-def _stack_args(t: Test) -> list[str]:
+def _roles(t: Test) -> dict[str, str]:
+    """Which published column stands for which number of a test."""
     m1, m2 = _split(t.mean)
     s1, s2 = _split(t.sd)
+    return {k: v for k, v in {"N": t.n, "M1": m1, "S1": s1, "M2": m2, "S2": s2, "COV": t.cov}.items() if v}
 
-    def d(x: str | None) -> str:
-        return f"CAST({x} AS DOUBLE)" if x else "CAST(NULL AS DOUBLE)"
 
-    return [f"'{t.id}'", f"'{t.type}'", str(t.pooled).upper(), f"CAST({t.n} AS BIGINT)", d(m1), d(s1), d(m2), d(s2), d(t.cov)]
+#: Families whose frames can hold a unit on several rows, whatever the platform.
+SEVERAL_ROWS = ("account",)
 
 
-def family_moments(agg: DataFrame, tests: list[Test]) -> DataFrame:
-    """All tests of one family as moments rows: a single ``stack`` over the (tiny) family aggregate."""
-    args = ", ".join(a for t in tests for a in _stack_args(t))
-    return agg.selectExpr(
-        "VARIANT_ID",
-        f"stack({len(tests)}, {args}) AS (TEST_ID, TEST_TYPE, POOLED, N, M1, S1, M2, S2, COV)")
+def states(run, tests: list[Test]) -> tuple[DataFrame, list[tuple]]:
+    """(states, roles): the mergeable moments that the tests read, of all families as one long frame, and
+    which of them, by name, stands for what: (METRIC, statistic, test id, role)."""
+    frames, roles = [], []
+    for fam in FAMILIES:
+        own = [t for t in tests if t.family == fam]
+        if not own:
+            continue
+        for i, (units, specs) in enumerate(family_frames(run, fam)):
+            published = {a.name: a for a in specs}
+            named: dict[tuple, str] = {}
+            metrics = {}
+            for t in own:
+                for role, column in _roles(t).items():
+                    if column not in published:
+                        continue
+                    m = Q.metric(published[column])
+                    name = named.setdefault((m.x, m.y, m.unit), f"{fam}.{i}.{len(named)}")
+                    metrics.setdefault(name, m)
+                    roles.append((name, m.stat, t.id, role))
+            if metrics:
+                frames.append(Q.state(units, metrics, distinct_units=run.cfg.platform != "Adobe" and fam not in SEVERAL_ROWS))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionAll(f)
+    return out, roles
 
 
-def moments(run, tests: list[Test] | None = None, materialize: bool = False) -> DataFrame:
-    """Long moments frame of all requested tests.
+def moments(run, tests: list[Test] | None = None) -> DataFrame:
+    """Long moments frame of all requested tests, from the states of their families.
 
-    Family aggregates hold one row per variant.  With ``materialize`` each is
-    written once to the shared checkpoint folder (``DataFrame.checkpoint``):
-    the final union then plans over 13 small leaves instead of 13 full
-    lineages, and a lost executor never re-runs the fact joins of a family.
+    Each family's metrics are one ``stack`` and one ``groupBy``; what is left is some rows a metric and variant, which the
+    registry's rows (at most one per test and role) turn into one row a test and variant.
     """
     tests = tests or TESTS
-    frames = []
-    for fam in FAMILIES:
-        ts = [t for t in tests if t.family == fam]
-        if not ts:
-            continue
-        agg = family_aggregate(run, fam)
-        if materialize:
-            from expkit.sources.session import ensure_checkpoint_dir
-
-            ensure_checkpoint_dir(agg.sparkSession)
-            agg = agg.checkpoint(eager=True)
-        frames.append(family_moments(agg, ts))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    long, roles = states(run, tests)
+    kinds = {t.id: t for t in tests}
+    rows = ", ".join(f"('{name}', '{stat}', '{test}', '{role}', '{kinds[test].type}', {str(kinds[test].pooled).upper()})"
+                     for name, stat, test, role in roles)
+    wanted = long.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS r(OF_METRIC, STAT, TEST_ID, ROLE, TEST_TYPE, POOLED)")
+    value = Q.statistic(F.col("STAT"))
+    met = long.join(F.broadcast(wanted), F.col("METRIC") == F.col("OF_METRIC")).withColumn("VALUE", value)
+    out = met.groupBy("TEST_ID", "VARIANT_ID", "TEST_TYPE", "POOLED").agg(
+        *[F.max(F.when(F.col("ROLE") == r, F.col("VALUE"))).alias(r) for r in ("N", "M1", "S1", "M2", "S2", "COV")])
+    return out.withColumn("N", F.col("N").cast("long"))
 
 
 def run_tests(run, tests: list[Test] | None = None) -> DataFrame:
