@@ -8,10 +8,7 @@ A family's metrics are unpivoted with one ``stack`` and summed with one ``groupB
 aggregate functions whatever the number of metrics, partial sums are formed where the units are, and a handful of rows
 is shuffled.
 
-``daily_*`` keep states by day instead.  A unit's totals after each day on which it did something are running sums
-(``running_units``); a day changes the moments by what the totals after it give less what those before it gave
-(``daily_states``).  Summing the changes up to a date gives the moments as of that date, so a refresh computes the
-days it concerns and adds their rows (``as_of``).  Sums are DECIMAL there: exact, so neither order nor grouping matters.
+``operators.daily`` keeps states by day.
 """
 
 from __future__ import annotations

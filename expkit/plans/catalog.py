@@ -9,6 +9,7 @@ the analysis over 1997-01-01 … 1997-12-31 with a decision-engine experiment
 from __future__ import annotations
 
 import datetime
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import replace
@@ -19,12 +20,15 @@ from pyspark.sql import functions as F
 from expkit import config as C
 from expkit.config import DEMO_CONFIG, DEMO_WEB_CONFIG, RefreshWindow
 from expkit.operators import builders as B
+from expkit.operators import daily as Y
 from expkit.operators import exposure as X
 from expkit.operators import metrics as M
 from expkit.operators import reconcile as V
 from expkit.operators import scorecard as R
 from expkit.plans import registry as G
+from expkit.sources import sinks
 from expkit.sources.adapters import Domain
+from expkit.sources.session import ensure_checkpoint_dir
 
 WINDOW = RefreshWindow(start=DEMO_CONFIG.start, end=DEMO_CONFIG.end_exclusive, selection="SAFE")
 AS_OF = DEMO_CONFIG.end
@@ -173,6 +177,57 @@ def _filtered_counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return X.variant_counts(run.exposure(), web=False)
 
 
+def _txn_days(run: Run) -> DataFrame:
+    return Y.household_days(run.combined_txns(), run.cfg)
+
+
+def _from_sums(run: Run, sums: DataFrame) -> DataFrame:
+    """The combined family from looked-up totals instead of a join of the facts."""
+    units = M.with_threshold(Y.since_exposure(run.exposure(), sums, run.cfg), {"_WIN_REV": "TOT_REVENUE"}, run.cfg)
+    return M.aggregate(units, M.txn_specs(run.cfg, "COMBINED"))
+
+
+def _two_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two experiments over one stored table of suffix sums."""
+    engine = engine_run(spark, sf_dir)
+    sums = M.stored_units(Y.suffix_sums(_txn_days(engine)))
+    both = [_from_sums(run, sums).select(F.lit(name).alias("EXPERIMENT"), "*") for name, run in (("engine", engine), ("list", list_run(spark, sf_dir)))]
+    return both[0].unionByName(both[1])
+
+
+def _combined_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of the combined family as of every day, built in one go."""
+    run = engine_run(spark, sf_dir)
+    running = Y.running_units(Y.unit_days(run.exposure(), _txn_days(run), run.cfg))
+    moves = Y.changes(Y.entries(run.exposure(), Y.TXN_MEASURES), running)
+    return Y.txn_report(Y.as_of(Y.daily_states(moves, Y.TXN_METRICS)))
+
+
+#: First day of the days that ``combined_daily_refreshed`` adds to a stored table.
+REFRESH_FROM = "1997-07-01"
+
+
+def _combined_daily_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored tables: built up to a day, then refreshed from that day on, twice."""
+    run = engine_run(spark, sf_dir)
+    cfg, root = run.cfg, f"{ensure_checkpoint_dir(spark).rstrip('/')}/daily-{uuid.uuid4().hex[:12]}"
+    before = str(datetime.date.fromisoformat(REFRESH_FROM) - datetime.timedelta(days=1))
+    active = Y.unit_days(run.exposure(), _txn_days(run), cfg)
+    cut = F.lit(REFRESH_FROM).cast("date")
+    early = Y.running_units(active.where(F.col("DAY") < cut))
+    sinks.refresh_days(early, f"{root}/units", "DAY", cfg.start, before)
+    entered = Y.entries(run.exposure(), Y.TXN_MEASURES)
+    first = Y.daily_states(Y.changes(entered.where(F.col("DAY") < cut), sinks.read_days(spark, f"{root}/units", "DAY")), Y.TXN_METRICS)
+    sinks.refresh_days(first, f"{root}/states", "DAY", cfg.start, before)
+    for _ in range(2):  # a refresh that runs again replaces its own days
+        known = sinks.read_days(spark, f"{root}/units", "DAY").where(F.col("DAY") < cut)
+        sinks.refresh_days(Y.totals_before(known, active, REFRESH_FROM), f"{root}/units", "DAY", REFRESH_FROM, cfg.end)
+        fresh = sinks.read_days(spark, f"{root}/units", "DAY").where(F.col("DAY") >= cut)
+        added = Y.daily_states(Y.changes(Y.entries(run.exposure(), Y.TXN_MEASURES, REFRESH_FROM), fresh), Y.TXN_METRICS)
+        sinks.refresh_days(added, f"{root}/states", "DAY", REFRESH_FROM, cfg.end)
+    return Y.txn_report(Y.as_of(sinks.read_days(spark, f"{root}/states", "DAY")))
+
+
 def _power_results(d: Domain) -> DataFrame:
     """Power-analysis results by experiment, derived from its events (the test tables hold none)."""
     day = F.to_date("EVENT_TS")
@@ -269,6 +324,11 @@ QUERIES: dict[str, Query] = {
     "winsor_threshold": lambda s, sf: (lambda r: M.winsor_threshold(
         M.txn_units(r.exposure(), r.combined_txns(), r.cfg, None, shared=r.txn_shared()),
         {"WINSOR_THRESHOLD": "TOT_REVENUE"}, r.cfg))(engine_run(s, sf)),
+    # --- household days: look-ups instead of fact joins, moments day by day --------
+    "combined_from_sums": lambda s, sf: (lambda r: _from_sums(r, M.stored_units(Y.suffix_sums(_txn_days(r)))))(engine_run(s, sf)),
+    "combined_two_experiments": _two_experiments,
+    "combined_daily": _combined_daily,
+    "combined_daily_refreshed": _combined_daily_refreshed,
     # --- statistics and scorecard ----------------------------------------
     "tests_all": lambda s, sf: G.run_tests(engine_run(s, sf)),
     "scorecard_wide": lambda s, sf: R.results_wide(G.run_tests(engine_run(s, sf)), G.TESTS),

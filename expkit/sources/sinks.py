@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path_or_name: str, fmt: str = "parquet", as_table: bool = False,
@@ -27,6 +31,81 @@ def write_table(df: DataFrame, path_or_name: str, fmt: str = "parquet", as_table
         w.save(path_or_name)
 
 
+def refresh_days(df: DataFrame, path: str, day_col: str, first: str, last: str) -> int:
+    """S03, daily cadence: replace the days from ``first`` to ``last`` of a stored table by the rows of ``df``.
+
+    The rows are written to a folder of their own, partitioned by day, and then published: a small list of which folder
+    holds which days is created under the next number, in one step that fails if another writer took the number.
+    Readers (``read_days``) follow the last list, so they see all of a refresh or none of it; a refresh that is run again
+    gives the same table, and one that died before publishing leaves the table as it was.  Rows of other days are
+    refused.  Folders that neither of the last two lists names are removed.  Returns the number of the list.
+    """
+    spark = df.sparkSession
+    day = F.col(day_col).cast("date")
+    outside = df.where(~F.coalesce(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.lit(False)))
+    folder = f"data-{uuid.uuid4().hex[:12]}"
+    number, published = _published(spark, path)
+    stray = outside.limit(1).count()
+    if stray:
+        raise ValueError(f"rows outside {first} to {last}, or without a day")
+    df.write.partitionBy(day_col).parquet(f"{path}/{folder}")
+    lists = [e for e in published if not (first <= e["first"] and e["last"] <= last)] + [{"folder": folder, "first": first, "last": last, "schema": df.schema.json()}]
+    _create(spark, f"{path}/_published/{number + 1:08d}.json", json.dumps(lists))
+    kept = {e["folder"] for e in lists} | {e["folder"] for e in published}
+    fs, jpath = _files(spark, path)
+    for status in fs.listStatus(jpath(path)):
+        name = status.getPath().getName()
+        if name.startswith("data-") and name not in kept:
+            fs.delete(status.getPath(), True)
+    return number + 1
+
+
+def read_days(spark: SparkSession, path: str, day_col: str) -> DataFrame:
+    """The table as last published: each folder's days less those that later ones replaced."""
+    _, published = _published(spark, path)
+    if not published:
+        raise FileNotFoundError(f"nothing is published under {path}")
+    from pyspark.sql.types import StructType
+
+    day, out = F.col(day_col).cast("date"), None
+    for i, e in enumerate(published):
+        rows = spark.read.schema(StructType.fromJson(json.loads(e["schema"]))).parquet(f"{path}/{e['folder']}")
+        for later in published[i + 1:]:
+            rows = rows.where(~day.between(F.lit(later["first"]).cast("date"), F.lit(later["last"]).cast("date")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, jvm.org.apache.hadoop.fs.Path
+
+
+def _published(spark: SparkSession, path: str) -> tuple[int, list[dict]]:
+    """Number and entries of the last published list (0 and none before the first)."""
+    fs, jpath = _files(spark, path)
+    folder = jpath(f"{path}/_published")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+    if not names:
+        return 0, []
+    text = spark.read.text(f"{path}/_published/{names[-1]}", wholetext=True).first()[0]
+    return int(names[-1].split(".")[0]), json.loads(text)
+
+
+def _create(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole: written beside, then renamed to a name that must not exist yet."""
+    fs, jpath = _files(spark, path)
+    beside = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex[:8]}.new"
+    out = fs.create(jpath(beside), False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(jpath(path)) or not fs.rename(jpath(beside), jpath(path)):
+        fs.delete(jpath(beside), False)
+        raise RuntimeError(f"{path} was published by another writer")
+
+
 def write_csv_report(df: DataFrame, path: str) -> None:
     """CSV export of the wide output table (a folder of part files, one per partition)."""
     df.write.mode("overwrite").option("header", True).csv(path)
