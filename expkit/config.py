@@ -129,6 +129,8 @@ class ExperimentConfig:
     winsor_quantile: float = WINSOR_QUANTILE
     # percentile_approx accuracy; rank error is at most n / accuracy.
     percentile_accuracy: int = 100_000
+    # Thresholds by counting refinement instead of the sketch: exact at any n, for a few more passes over the units.
+    exact_percentile: bool = False
     page_filter: tuple[str, ...] = ()
     os_platforms: tuple[str, ...] = ()
     excluded_banners: tuple[str, ...] = ()

@@ -319,8 +319,14 @@ def winsor_threshold(units: DataFrame, cols: dict[str, str], cfg: ExperimentConf
 
     ``percentile_approx`` is a mergeable sketch (partial aggregation); its rank
     error is bounded by n / accuracy, so the published threshold scales to any n.
+    With ``cfg.exact_percentile`` the thresholds are exact, by counting refinement.
     """
     base = units.filter(F.col("HOUSEHOLD_ID").isNotNull())
+    if cfg.exact_percentile:
+        from expkit.operators.quantile import exact_quantiles
+
+        exact = exact_quantiles(base, cols, cfg.winsor_quantile)
+        return base.sparkSession.range(1).select(*[F.lit(v).cast(base.schema[cols[n]].dataType).alias(n) for n, v in exact.items()])
     return base.agg(*[F.percentile_approx(src, cfg.winsor_quantile, cfg.percentile_accuracy).alias(name)
                       for name, src in cols.items()])
 

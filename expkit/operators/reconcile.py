@@ -62,6 +62,30 @@ def excluded(txn_facts: DataFrame, txn_header: DataFrame, w: RefreshWindow) -> D
             .orderBy(F.desc("GROSS_AMT")))
 
 
+def one_scan(txn_facts: DataFrame, txn_header: DataFrame, w: RefreshWindow) -> DataFrame:
+    """V01–V03 from one pass over the facts: totals of everything, of the allowed registers, and of each register left out.
+
+    Transactions get the class of their register (none without a header), and one ``GROUPING SETS`` gives the registers,
+    the classes and the grand total.  SCENARIO tells the rows apart; REGISTER_NBR is set for the registers left out.
+    """
+    per_txn = _lines(txn_facts, w).groupBy("TXN_ID", "TXN_DTE").agg(
+        F.sum("GROSS_AMT").alias("GROSS_AMT"), F.sum(_net()).alias("NET_SALES"), F.sum(F.col("MKDN_WOD_ALLOC_AMT") + F.col("MKDN_POD_ALLOC_AMT")).alias("ALLOCATED"))
+    # A transaction has one header; should it have several, the first register counts and the totals stay whole.
+    h = txn_header.filter(F.col("TXN_HDR_SRC_CD") == 0).groupBy(F.col("TXN_ID").alias("_h_txn"), F.col("TXN_DTE").alias("_h_dte")).agg(F.min("REGISTER_NBR").alias("REGISTER_NBR"))
+    j = per_txn.join(h, (F.col("TXN_ID") == F.col("_h_txn")) & (F.col("TXN_DTE") == F.col("_h_dte")), "left")
+    kind = F.when(F.col("_h_txn").isNull(), "NO_HEADER").when(F.col("REGISTER_NBR").isin(*ALLOWED_REGISTERS), "FILTERED_REGISTERS").otherwise("EXCLUDED_REGISTER")
+    j = j.withColumn("KIND", kind).withColumn("OUTSIDE", F.when(kind == "EXCLUDED_REGISTER", F.col("REGISTER_NBR")))
+    # Groups to tell apart: all (grouping id 3), a class (1), a register of the class that is left out (0).
+    sets = j.groupingSets([["KIND", "OUTSIDE"], ["KIND"], []], "KIND", "OUTSIDE").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("TXN_COUNT"), F.sum("GROSS_AMT").cast("decimal(38,4)").alias("TOTAL_GROSS_AMT"),
+        F.sum("NET_SALES").cast("decimal(38,4)").alias("TOTAL_NET_SALES"), (F.sum("GROSS_AMT") - F.sum("NET_SALES")).cast("decimal(38,4)").alias("TOTAL_MARKDOWN_CALC"),
+        F.sum("ALLOCATED").cast("decimal(38,4)").alias("ALLOCATED_MKDNS"))
+    wanted = (F.col("level") == 3) | ((F.col("level") == 1) & (F.col("KIND") == "FILTERED_REGISTERS")) | ((F.col("level") == 0) & (F.col("KIND") == "EXCLUDED_REGISTER"))
+    return sets.where(wanted).select(
+        F.when(F.col("level") == 3, "BASELINE_NO_FILTERS").otherwise(F.col("KIND")).alias("SCENARIO"), F.col("OUTSIDE").alias("REGISTER_NBR"),
+        "TXN_COUNT", "TOTAL_GROSS_AMT", "TOTAL_NET_SALES", "TOTAL_MARKDOWN_CALC", "ALLOCATED_MKDNS")
+
+
 def identity(combined_txns_md: DataFrame) -> DataFrame:
     """revenue = net sales + total markdown, and total markdown = −(markdown + allocations)."""
     a = combined_txns_md.agg(F.sum("REVENUE").alias("REVENUE"), F.sum("NET_SALES").alias("NET_SALES"),

@@ -228,6 +228,20 @@ def _combined_daily_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.txn_report(Y.as_of(sinks.read_days(spark, f"{root}/states", "DAY")))
 
 
+def _checked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant counts of a run that has passed its guards (the coverage of its own dates, the split noted, not stopped)."""
+    d = Domain(spark, sf_dir)
+    dates = B.combined_txns(d, WINDOW).agg(F.min("TXN_DTE").alias("a"), F.max("TXN_DTE").alias("b")).first()
+    cfg = replace(engine_run(spark, sf_dir).cfg, start=str(dates["a"])[:10])
+    run = Run.checked(spark, sf_dir, cfg, dates["b"] + datetime.timedelta(days=1), stop_on_mismatch=False)
+    return X.variant_counts(run.exposure(), web=False)
+
+
+def _listed_households(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom list of households: those of the first variant of the uploaded list."""
+    return Domain(spark, sf_dir).household_list.where(F.col("VARIANT") == "A").select(F.col("HOUSEHOLD_ID").try_cast("bigint").alias("HOUSEHOLD_ID"))
+
+
 def _power_results(d: Domain) -> DataFrame:
     """Power-analysis results by experiment, derived from its events (the test tables hold none)."""
     day = F.to_date("EVENT_TS")
@@ -324,6 +338,9 @@ QUERIES: dict[str, Query] = {
     "winsor_threshold": lambda s, sf: (lambda r: M.winsor_threshold(
         M.txn_units(r.exposure(), r.combined_txns(), r.cfg, None, shared=r.txn_shared()),
         {"WINSOR_THRESHOLD": "TOT_REVENUE"}, r.cfg))(engine_run(s, sf)),
+    "winsor_threshold_exact": lambda s, sf: (lambda r: M.winsor_threshold(
+        M.txn_units(r.exposure(), r.combined_txns(), r.cfg, None, shared=r.txn_shared()),
+        {"WINSOR_THRESHOLD": "TOT_REVENUE"}, replace(r.cfg, exact_percentile=True)))(engine_run(s, sf)),
     # --- household days: look-ups instead of fact joins, moments day by day --------
     "combined_from_sums": lambda s, sf: (lambda r: _from_sums(r, M.stored_units(Y.suffix_sums(_txn_days(r)))))(engine_run(s, sf)),
     "combined_two_experiments": _two_experiments,
@@ -341,6 +358,7 @@ QUERIES: dict[str, Query] = {
     "recon_baseline": lambda s, sf: V.baseline(Domain(s, sf).txn_facts, WINDOW),
     "recon_filtered": lambda s, sf: V.filtered(Domain(s, sf).txn_facts, Domain(s, sf).txn_header, WINDOW),
     "recon_excluded": lambda s, sf: V.excluded(Domain(s, sf).txn_facts, Domain(s, sf).txn_header, WINDOW),
+    "recon_one_scan": lambda s, sf: V.one_scan(Domain(s, sf).txn_facts, Domain(s, sf).txn_header, WINDOW),
     "recon_identity": lambda s, sf: V.identity(B.combined_txns(Domain(s, sf), WINDOW, markdown=True)),
     "markdown_comparison": lambda s, sf: (lambda r: V.strategy_comparison(
         M.aggregate(M.markdown_units(r.exposure(), r.combined_txns_md(), r.cfg), M.markdown_specs(r.cfg)),
@@ -363,6 +381,9 @@ QUERIES: dict[str, Query] = {
     "run_snap": lambda s, sf: _filtered_counts(s, sf, "SNAP"),
     "run_bnc": lambda s, sf: _filtered_counts(s, sf, "BNC"),
     "run_page": lambda s, sf: _filtered_counts(s, sf, "Page or OS platform"),
+    "run_custom": lambda s, sf: X.variant_counts(Run(s, sf, replace(engine_run(s, sf).cfg, exposure_filter="Custom"),
+                                                     custom_households=_listed_households(s, sf)).exposure(), web=False),
+    "run_checked": _checked_counts,
     "run_header": lambda s, sf: (lambda r: R.run_header(s, r.cfg, r.exposure()))(engine_run(s, sf)),
     "margin_refresh": lambda s, sf: B.margin_weekly(Domain(s, sf), WINDOW).agg(
         F.max("FISCAL_WEEK_END_DT").alias("MARGIN_REFRESH_DATE"), F.max("WEEK_ID").alias("LAST_WEEK_ID"),
