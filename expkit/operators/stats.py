@@ -48,8 +48,12 @@ def _unit_var(p: str = "") -> Column:
             .otherwise(s1 * s1))
 
 
-def compare(moments: DataFrame, alpha: float, control: str = CONTROL_VARIANT, one_tailed: bool = False) -> DataFrame:
-    """Test every non-control variant against the control of its test."""
+def compare(moments: DataFrame, alpha: float, control: str = CONTROL_VARIANT, one_tailed: bool = False, student: bool = False) -> DataFrame:
+    """Test every non-control variant against the control of its test.
+
+    ``student``: two-sided p-values of means from Student's t, with Welch's and Satterthwaite's degrees of freedom (all
+    units less two where pooled); rates and ratios keep the normal distribution, and so do the confidence bounds.
+    """
     m = moments.select(*MOMENT_COLUMNS).withColumn("VALUE", _value()).withColumn("UVAR", _unit_var())
     ctrl = m.filter(F.col("VARIANT_ID") == control).select(
         "TEST_ID", *[F.col(c).alias("C_" + c) for c in ("N", "M1", "VALUE", "UVAR")])
@@ -72,6 +76,12 @@ def compare(moments: DataFrame, alpha: float, control: str = CONTROL_VARIANT, on
     delta, se, z = F.col("DELTA"), F.col("SE"), F.col("STAT")
     zcrit = X.normal_quantile(1 - alpha) if one_tailed else X.normal_quantile(1 - alpha / 2)
     p = (F.lit(1.0) - X.normal_cdf(z)) if one_tailed else X.two_sided_p(z)
+    if student:
+        if one_tailed:
+            raise ValueError("Student's t is two-sided here")
+        a, b = F.col("UVAR") / n_t, F.col("C_UVAR") / n_c
+        j = j.withColumn("FREEDOM", F.when(F.col("POOLED"), n_t + n_c - 2).otherwise(F.try_divide(F.pow(a + b, 2), a * a / (n_t - 1) + b * b / (n_c - 1))))
+        p = F.when((t == "mean") & (F.col("FREEDOM") >= 1), X.t_two_sided_p(z, F.col("FREEDOM"))).otherwise(p)
     is_ctrl = F.col("VARIANT_ID") == control
     scale = F.when(t == "rate", F.lit(100.0)).otherwise(F.lit(1.0))
     out = j.select(

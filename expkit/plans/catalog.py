@@ -362,6 +362,7 @@ QUERIES: dict[str, Query] = {
     "combined_daily_refreshed": _combined_daily_refreshed,
     # --- statistics and scorecard ----------------------------------------
     "tests_all": lambda s, sf: G.run_tests(engine_run(s, sf)),
+    "tests_student": lambda s, sf: G.run_student_tests(engine_run(s, sf)),
     "scorecard_wide": lambda s, sf: R.results_wide(G.run_tests(engine_run(s, sf)), G.TESTS),
     "significance_signal": lambda s, sf: R.significance(G.run_tests(engine_run(s, sf)), G.TESTS, DEMO_CONFIG.alpha),
     "scorecard_formatted": lambda s, sf: R.formatted(G.run_tests(engine_run(s, sf)), G.TESTS),

@@ -256,6 +256,15 @@ def run_tests(run, tests: list[Test] | None = None) -> DataFrame:
     return S.compare(moments(run, tests), run.cfg.alpha, run.cfg.control)
 
 
+#: Means whose tests are also run with Student's t.
+STUDENT_TESTS = ("T03", "T04", "T08", "T09", "T12", "T18")
+
+
+def run_student_tests(run) -> DataFrame:
+    """Some tests of the combined family with Student's t for the means."""
+    return S.compare(moments(run, [t for t in TESTS if t.id in STUDENT_TESTS]), run.cfg.alpha, run.cfg.control, student=True)
+
+
 def output_table(run) -> DataFrame:
     """The published wide table, one row per variant."""
     return published(run, "output")
