@@ -296,7 +296,7 @@ def split_units(exposure: DataFrame) -> DataFrame:
                     ["EXPOSURE_DATETIME", "VARIANT_ID", "ADOBE_VISITOR_ID", "ID"])
     vis = _first_per(e.filter(F.col("HOUSEHOLD_ID").isNull()), "ADOBE_VISITOR_ID",
                      ["EXPOSURE_DATETIME", "VARIANT_ID", "ID"])
-    return hh.unionByName(vis).distinct()
+    return hh.unionByName(vis)
 
 
 def dedupe_households(exposure: DataFrame) -> DataFrame:

@@ -252,7 +252,8 @@ def engagement_units(E: DataFrame, visit_order: DataFrame, cart_coupon: DataFram
     if cfg.platform != "Adobe":
         return hh
     av = half(E.filter(F.col("HOUSEHOLD_ID").isNull()), "ID")
-    return av.unionByName(hh).distinct()
+    # Units with and without a household are different rows, each once.
+    return av.unionByName(hh)
 
 
 def engagement_specs(cfg: ExperimentConfig) -> list[Agg]:
