@@ -3,16 +3,19 @@
 Documents are encoded in their tasks and kept in the shared folder.  Numbers of
 documents per term, the number of documents and their mean length come from all
 of them, so a term weighs the same everywhere.  Documents are then placed by
-content: each goes to the cell of the pivot (a sampled document; ``PIVOTS`` of
-them a shard) that it scores best with by BM25, cells of like pivots lie side by
-side, and the row of cells is cut into shards of about ``shard_docs`` documents, a
-size that does not grow with the input; a cell of more than that is dealt by hash.
-Each shard holds a BM25 inverted index over its documents' tails (what full
-windows leave of a document), with token ids as terms.  A seed is asked against
-its own shard only, so neighbours that were placed elsewhere are missed; the README
-has the measured recall against a search of the whole corpus.  Documents are seeds in id order: a
-seed's terms are all looked up, and unused neighbours that fit are put behind it,
-best first, until the window is full or none fits.  Where more than ``slack`` ids
+content, at a cost per document that does not grow with the input: each gets the
+best of at most ``CELLS`` centroids (fitted to about ``SAMPLE`` documents, a bound
+that holds at every size; like centroids side by side) and, in a cell, its
+weighted min-hash terms, the term that wins a race at the rate of its weight, and
+the runner-up.  These make one sort key, whose last bits are dealt by row, so
+copies can be parted.  The key's ranges go to partitions, each is read in order,
+and every ``shard_docs`` documents (up to twice as many at a range's end) are a
+shard.  Each shard holds a BM25 inverted index over its documents' tails (what
+full windows leave of a document), with token ids as terms.  A seed is asked
+against its own shard only, so neighbours that were placed elsewhere are missed;
+the README has the measured recall against a search of the whole corpus.  Documents are
+seeds in the key's order: a seed's terms are all looked up, and unused neighbours
+that fit are put behind it, best first, until the window is full or none fits.  Where more than ``slack`` ids
 of room remain, the best neighbour left is cut, its rest going back to the pool.
 Only when no unused document shares a term with the seed do the longest unused
 tails that fit close the room, the longest left being cut likewise.  The closing
@@ -34,7 +37,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,12 @@ from . import common
 from .op10_bpe import loaded, read_definition, tokenizer_path
 
 SHARD_DOCS = 1024
-#: Pivots a shard, and the share of documents (one in so many) that cell sizes are taken from.
-PIVOTS, SIZED = 4, 8
-#: Pivots that are put in order at once.
-CHAIN = 256
+#: Centroids, the documents they are fitted to (about; twice as many at most), documents a centroid at least, and rounds.
+CELLS, SAMPLE, LEAST_FITTED, ROUNDS = 256, 8192, 32, 4
+#: Shards a partition (about), partitions at most, and sampled keys a partition.
+SHARDS_READ, MOST_PARTS, KEYS_READ = 4, 20_000, 64
+#: Bits of the key for each min-hash term and for the deal of like documents.
+TERM_BITS, DEAL_BITS = 20, 15
 WINDOW = 2048
 #: Room that may stay empty rather than cut a document for it.
 SLACK = 24
@@ -101,8 +105,6 @@ class ShardIndex:
         shared = found[at] > 1
         self.query = [at[a:b][shared[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.n = n
-        #: Norm of each document's weights.
-        self.size = np.sqrt(np.maximum(np.bincount(self.doc.astype(np.int64), self.weight**2, minlength=n), 1e-12))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share terms with the seed, best first."""
@@ -116,52 +118,60 @@ class ShardIndex:
         return found[np.lexsort((found, -score[found]))]
 
 
-class Pivots:
-    """Sampled tails, like ones side by side."""
+class Cells:
+    """Centroids of sampled tails, like ones side by side, and the sort key they give a tail."""
 
     def __init__(self, tails: list[np.ndarray], corpus: Corpus):
-        self.index = ShardIndex([tails[i] for i in _chained(tails, corpus)], corpus)
-
-    def cell(self, tail: np.ndarray) -> int:
-        """The pivot with the highest score (the first without terms)."""
-        return int(np.argmax(scores)) if len(scores := _scores(self.index, tail)) else 0
-
-
-def _scores(index: ShardIndex, tail: np.ndarray) -> np.ndarray:
-    """The score of each document of the index, by its length in terms' weights, for a tail's terms."""
-    terms = np.unique(tail).astype(np.int64)
-    at = np.searchsorted(index.terms, terms)
-    at = at[at < len(index.terms)]
-    at = at[np.isin(index.terms[at], terms)]
-    if not len(at):
-        return np.zeros(index.n)
-    lists = [slice(a, b) for a, b in zip(index.first[at], index.last[at], strict=True)]
-    score = np.bincount(np.concatenate([index.doc[s] for s in lists]), np.concatenate([index.weight[s] for s in lists]), minlength=index.n)
-    return score / index.size
-
-
-def _chained(tails: list[np.ndarray], corpus: Corpus) -> list[int]:
-    """Numbers of the tails, each beside one that it scores well with; many are first dealt to CHAIN of them."""
-    heads = list(range(min(len(tails), CHAIN)))
-    index = ShardIndex(tails[: len(heads)], corpus)
-    near = np.array([_scores(index, t) for t in tails[: len(heads)]])
-    order, left = [], np.ones(len(heads), bool)
-    at = 0
-    while len(order) < len(heads):
-        order.append(at)
-        left[at] = False
-        at = int(np.argmax(np.where(left, near[at], -1)))
-    if len(tails) <= CHAIN:
-        return order
-    below: dict[int, list[int]] = {i: [] for i in heads}
-    for i in range(len(heads), len(tails)):
-        below[int(np.argmax(_scores(index, tails[i])))].append(i)
-    out = []
-    for i in order:
-        some = below[i]
-        inner = _chained([tails[j] for j in some], corpus) if 1 < len(some) else range(len(some))
-        out += [i, *(some[j] for j in inner)]
-    return out
+        self.idf, self.corpus = corpus.idf(np.arange(len(corpus.found))).astype(np.float32), corpus
+        rng = np.random.default_rng(8)
+        # Arrival of each term in two races at the rate of its weight; terms of one document only never meet.
+        rate = np.where(corpus.found > 1, np.maximum(self.idf, 1e-6), 1e-12)
+        self.races = [rng.exponential(size=len(rate)) / rate for _ in range(2)]
+        tails = [t for t in tails if len(t)]
+        used = np.unique(np.concatenate(tails)) if tails else np.empty(0, np.int64)
+        # Row 0 is for terms that no sampled tail holds.
+        self.row = np.zeros(len(corpus.found), np.int32)
+        self.row[used] = np.arange(1, len(used) + 1)
+        cells = min(CELLS, max(1, len(tails) // LEAST_FITTED))
+        self.centroids = np.zeros((len(used) + 1, cells), np.float32)
+        weighed = [self._weighed(t) for t in tails]
+        for cell, (terms, weight) in enumerate(weighed[:cells]):
+            self.centroids[self.row[terms], cell] = weight / np.linalg.norm(weight)
+        for _ in range(ROUNDS if cells > 1 else 0):
+            sums = np.zeros_like(self.centroids)
+            for terms, weight in weighed:
+                sums[self.row[terms], self._cell(terms, weight)] += weight / np.linalg.norm(weight)
+            size = np.linalg.norm(sums, axis=0)
+            sums /= np.where(size > 0, size, 1)
+            self.centroids = np.where(size > 0, sums, self.centroids)
+        self.centroids = np.ascontiguousarray(self.centroids[:, _chained(self.centroids.T @ self.centroids)])
+
+    def _weighed(self, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a tail and their BM25 weights."""
+        terms, count = np.unique(tail, return_counts=True)
+        return terms, self.idf[terms] * (count * (K1 + 1) / (count + self.corpus.norm(len(tail)))).astype(np.float32)
+
+    def _cell(self, terms: np.ndarray, weight: np.ndarray) -> int:
+        return int(np.argmax(weight @ self.centroids[self.row[terms]]))
+
+    def key(self, tail: np.ndarray, deal: int) -> int:
+        """The cell, two min-hash terms, and bits of the deal; 0 and the deal without terms."""
+        key = 0
+        if len(tail):
+            terms, weight = self._weighed(tail)
+            first, second = (int(terms[np.argmin(race[terms])]) % (1 << TERM_BITS) for race in self.races)
+            key = (self._cell(terms, weight) << TERM_BITS | first) << TERM_BITS | second
+        return key << DEAL_BITS | deal % (1 << DEAL_BITS)
+
+
+def _chained(near: np.ndarray) -> list[int]:
+    """All numbers, each beside the one it is nearest to of those left."""
+    order, left = [0], np.ones(len(near), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.argmax(np.where(left, near[order[-1]], -1))))
+        left[order[-1]] = False
+    return order
 
 
 def pack_shard(ids: list[np.ndarray], window: int, slack: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -233,35 +243,35 @@ def _corpus(tails: DataFrame) -> Corpus:
     return Corpus(n, length / max(n, 1), found)
 
 
-def _placed(encoded: DataFrame, tails: DataFrame, corpus: Broadcast, window: int, shards: int) -> DataFrame:
-    """The documents with their shard, by content."""
-    if shards == 1:
-        return encoded.drop("deal").withColumn("shard", F.lit(0).cast("long"))
-    n, wanted = corpus.value.n, PIVOTS * shards
-    sample = tails.where(F.pmod("deal", F.lit(max(1, n // wanted))) == 0).where("length(tail) > width").select("deal", "width", "tail").collect()
-    sample.sort(key=lambda r: (r.deal, bytes(r.tail)))
-    pivots = encoded.sparkSession.sparkContext.broadcast(Pivots([np.frombuffer(r.tail, f"<u{r.width}") for r in sample[: 2 * wanted]], corpus.value))
+def _placed(encoded: DataFrame, tails: DataFrame, corpus: Corpus, window: int, shard_docs: int) -> DataFrame:
+    """The documents in partitions of like ones, sorted: part, key, deal, doc_id, width, ids."""
+    spark, n = encoded.sparkSession, corpus.n
+    sample = tails.where(F.pmod("deal", F.lit(max(1, n // SAMPLE))) == 0).where("length(tail) > 0").select("deal", "width", "tail").collect()
+    sample.sort(key=lambda r: r.deal)
+    unlike = list({bytes(r.tail): r.width for r in sample[: 2 * SAMPLE]}.items())
+    cells = spark.sparkContext.broadcast(Cells([np.frombuffer(t, f"<u{w}") for t, w in unlike], corpus))
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = min(MOST_PARTS, max(1, math.ceil(n / (SHARDS_READ * shard_docs))))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"cell": pa.array([pivots.value.cell(t) for t in _read(batch["tail"], batch["width"])], pa.int64())})
+            found = [cells.value.key(t, d) for t, d in zip(_read(batch["tail"], batch["width"]), batch["deal"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(found, pa.int64())})
 
-    sized = tails if shards <= SIZED else tails.where(F.pmod(F.shiftright("deal", 20), F.lit(SIZED)) == 0)
-    size = np.zeros(max(1, len(sample)), np.int64)
-    for r in sized.mapInArrow(cells, "cell long").groupBy("cell").count().collect():
-        size[r.cell] = r["count"]
-    end = np.cumsum(size)
-    total = max(1, int(end[-1]))
+    one_in = max(1, n // (KEYS_READ * parts))
+    known = tails.where(F.pmod(F.shiftright("deal", 20), F.lit(one_in)) == 0).mapInArrow(keys, "key long") if parts > 1 else None
+    read = np.sort([r.key for r in known.collect()]) if known is not None else np.empty(0, np.int64)
+    bounds = read[np.arange(1, parts) * len(read) // parts] if len(read) else np.empty(0, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tail = [x[len(x) // window * window :] for x in _read(batch["ids"], batch["width"])]
-            cell = np.array([pivots.value.cell(t) for t in tail], np.int64)
-            spread = (batch["deal"].to_numpy() & 0xFFFFF) / (1 << 20)
-            shard = np.minimum(((end[cell] - size[cell] + spread * size[cell]) * shards / total).astype(np.int64), shards - 1)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "shard": pa.array(shard), "width": batch["width"], "ids": batch["ids"]})
+            tail = [x[len(x) // window * window : -1] for x in _read(batch["ids"], batch["width"])]
+            key = np.array([cells.value.key(t, d) for t, d in zip(tail, batch["deal"].to_pylist(), strict=True)], np.int64)
+            part = np.searchsorted(bounds, key, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part), "key": pa.array(key), **{c: batch[c] for c in ("deal", "doc_id", "width", "ids")}})
 
-    return encoded.mapInArrow(place, "doc_id long, shard long, width int, ids binary")
+    placed = encoded.mapInArrow(place, "part int, key long, deal long, doc_id long, width int, ids binary")
+    return placed.repartitionById(parts, "part").sortWithinPartitions("part", "key", "deal")
 
 
 def pack(df: DataFrame, path: str, window: int = WINDOW, slack: int = SLACK, shard_docs: int = SHARD_DOCS, with_ids: bool = False,
@@ -275,25 +285,29 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, slack: int = SLACK, sha
         encoder = loaded(definition.value)
         closing = np.array([CLOSING_ID], encoder.id_type).tobytes()
         width = encoder.id_type().itemsize
+        nth = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 packed = [encoder.encode(t.as_py()).tobytes() + closing for t in some["text"]]
-                yield pa.RecordBatch.from_pydict({"doc_id": some["doc_id"], "width": pa.array([width] * len(packed), pa.int32()), "ids": pa.array(packed, pa.binary())})
-
-    encoded = common.id_text(df, id_col, text_col).mapInArrow(encode, "doc_id long, width int, ids binary")
-    encoded = common.stored(encoded, "packing-ids").withColumn("deal", F.xxhash64("doc_id", "ids"))
+                numbers = pa.array(range(nth, nth + len(packed)), pa.int64())
+                nth += len(packed)
+                yield pa.RecordBatch.from_pydict({"doc_id": some["doc_id"], "nth": numbers, "width": pa.array([width] * len(packed), pa.int32()), "ids": pa.array(packed, pa.binary())})
+
+    encoded = common.id_text(df, id_col, text_col).mapInArrow(encode, "doc_id long, nth long, width int, ids binary")
+    # The number tells repeated rows apart, so that they too are dealt.
+    encoded = common.stored(encoded, "packing-ids").withColumn("deal", F.xxhash64("doc_id", "ids", "nth")).drop("nth")
+    # Without the closing id, which is no term.
     tails = encoded.select("width", "deal", F.expr(f"substring(ids, cast(length(ids) div (width * {window}) * (width * {window}) as int) + 1)").alias("tail"))
+    tails = tails.withColumn("tail", F.expr("substring(tail, 1, greatest(length(tail) - width, 0))"))
     corpus = _corpus(tails)
-    shards = max(1, math.ceil(corpus.n / shard_docs))
-    placed = _placed(encoded, tails, spark.sparkContext.broadcast(corpus), window, shards)
+    placed = _placed(encoded, tails, corpus, window, shard_docs)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-    def packed(key: tuple, shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        doc_id, width = shard["doc_id"].to_pylist(), shard["width"][0].as_py()
-        ids = [np.frombuffer(b.as_py(), f"<u{width}") for b in shard["ids"]]
+    known = spark.sparkContext.broadcast(corpus)
+
+    def packed(doc_id: list, ids: list[np.ndarray], shard: int) -> pa.RecordBatch:
         pieces = pack_shard(ids, window, slack, known.value)
         own = [ids[i][s : s + n].astype("<u4") for i, s, n, _, _ in pieces]
         columns = {
@@ -302,15 +316,30 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, slack: int = SLACK, sha
             "length": pa.array([p[2] for p in pieces], pa.int64()),
             "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
             "doc_tokens": pa.array([len(ids[p[0]]) for p in pieces], pa.int64()),
-            "sequence_id": pa.array([(key[0].as_py() << 32) + p[3] for p in pieces], pa.int64()),
+            "sequence_id": pa.array([(shard << 32) + p[3] for p in pieces], pa.int64()),
             "offset": pa.array([p[4] for p in pieces], pa.int64()),
         }
         if with_ids:
             columns["ids"] = pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32()))
-        return pa.table(columns)
+        return pa.RecordBatch.from_pydict(columns)
 
-    known = spark.sparkContext.broadcast(corpus)
-    return placed.groupBy("shard").applyInArrow(packed, schema + (", ids array<int>" if with_ids else ""))
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc_id: list = []
+        ids: list[np.ndarray] = []
+        part, shard = -1, 0
+        for batch in batches:
+            part = batch["part"][0].as_py() if batch.num_rows else part
+            for at in range(0, batch.num_rows, shard_docs):
+                some = batch.slice(at, shard_docs)
+                doc_id += some["doc_id"].to_pylist()
+                ids += _read(some["ids"], some["width"])
+                if len(ids) >= 2 * shard_docs:
+                    yield packed(doc_id[:shard_docs], ids[:shard_docs], (part << 16) + shard)
+                    doc_id, ids, shard = doc_id[shard_docs:], ids[shard_docs:], shard + 1
+        if ids:
+            yield packed(doc_id, ids, (part << 16) + shard)
+
+    return placed.mapInArrow(shards, schema + (", ids array<int>" if with_ids else ""))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
