@@ -24,12 +24,14 @@ from expkit.operators import daily as Y
 from expkit.operators import exposure as X
 from expkit.operators import metrics as M
 from expkit.operators import power as P
+from expkit.operators import reach as U
 from expkit.operators import reconcile as V
 from expkit.operators import scorecard as R
 from expkit.plans import registry as G
 from expkit.sources import sinks
 from expkit.sources.adapters import Domain
 from expkit.sources.session import ensure_checkpoint_dir
+from expkit.sources.tables import Source, SourceTables
 
 WINDOW = RefreshWindow(start=DEMO_CONFIG.start, end=DEMO_CONFIG.end_exclusive, selection="SAFE")
 AS_OF = DEMO_CONFIG.end
@@ -38,11 +40,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Run:
-    """Lazily built frames of one analysis run over one scale-factor folder."""
+    """Lazily built frames of one analysis run over one scale-factor folder, or over mapped source tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg=DEMO_CONFIG, w: RefreshWindow = WINDOW,
-                 materialize: bool = True, custom_households: DataFrame | None = None):
-        self.d = Domain(spark, sf_dir)
+                 materialize: bool = True, custom_households: DataFrame | None = None, tables: SourceTables | None = None):
+        self.d = tables if tables is not None else Domain(spark, sf_dir)
         self.cfg, self.w = cfg, w
         self.materialize = materialize
         self.custom_households = custom_households
@@ -178,6 +180,29 @@ def _filtered_counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return X.variant_counts(run.exposure(), web=False)
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> SourceTables:
+    """The transaction and exposure tables under warehouse names, columns renamed, read through the contract."""
+    d, sources = Domain(spark, sf_dir), {}
+    for name in ("txn_facts", "txn_header", "calendar", "card_map", "session_events", "third_party_households"):
+        table = d.table(name)
+        renamed = {c: f"src_{c.lower()}" for c in table.columns}
+        view = f"warehouse_{d.tag}_{name}"
+        table.withColumnsRenamed(renamed).withColumn("loaded_at", F.lit("x")).createOrReplaceTempView(view)
+        sources[name] = Source(view, renamed)
+    return SourceTables(spark, sources)
+
+
+def _mapped_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined family of a run that knows its tables by their mapping only."""
+    run = Run(spark, sf_dir, engine_run(spark, sf_dir).cfg, tables=_mapped(spark, sf_dir))
+    return M.aggregate(M.txn_units(run.exposure(), run.combined_txns(), run.cfg, None, shared=run.txn_shared()), M.txn_specs(run.cfg, "COMBINED"))
+
+
+def _running_distinct(exposure: DataFrame, unit_col: str) -> DataFrame:
+    exposure = M.stored_units(exposure)
+    return U.running_distinct(U.daily_bitmaps(exposure, U.unit_numbers(exposure, unit_col), unit_col))
+
+
 def _txn_days(run: Run) -> DataFrame:
     return Y.household_days(run.combined_txns(), run.cfg)
 
@@ -317,6 +342,8 @@ QUERIES: dict[str, Query] = {
     "exposure_dedup": lambda s, sf: engine_run(s, sf).exposure(),
     "exposure_split": lambda s, sf: web_run(s, sf).exposure(),
     "exposure_cumulative": lambda s, sf: X.cumulative_exposures(web_run(s, sf).raw_exposure(), "ADOBE_VISITOR_ID"),
+    "exposure_running_distinct": lambda s, sf: _running_distinct(web_run(s, sf).raw_exposure(), "ADOBE_VISITOR_ID"),
+    "exposure_running_households": lambda s, sf: _running_distinct(engine_run(s, sf).raw_exposure(), "HOUSEHOLD_ID"),
     "srm_raw": lambda s, sf: X.variant_counts(web_run(s, sf).raw_exposure(), web=True),
     "srm_dedup": lambda s, sf: X.variant_counts(X.single_variant(web_run(s, sf).raw_exposure()), web=True),
     "srm_final": lambda s, sf: X.variant_counts(web_run(s, sf).exposure(), web=True),
@@ -355,6 +382,7 @@ QUERIES: dict[str, Query] = {
     "winsor_threshold_exact": lambda s, sf: (lambda r: M.winsor_threshold(
         M.txn_units(r.exposure(), r.combined_txns(), r.cfg, None, shared=r.txn_shared()),
         {"WINSOR_THRESHOLD": "TOT_REVENUE"}, replace(r.cfg, exact_percentile=True)))(engine_run(s, sf)),
+    "combined_from_mapped": _mapped_combined,
     # --- household days: look-ups instead of fact joins, moments day by day --------
     "combined_from_sums": lambda s, sf: (lambda r: _from_sums(r, M.stored_units(Y.suffix_sums(_txn_days(r)))))(engine_run(s, sf)),
     "combined_two_experiments": _two_experiments,
