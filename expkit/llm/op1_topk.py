@@ -2,9 +2,10 @@
 
 Components become integers floor(scale * x); the score is the integer inner
 product.  Candidates are dealt into blocks and queries into blocks; a task takes
-one block of each.  Within a task the candidates lie in vertical layout, one row
+one block of each; blocks hold a bounded number of components, so memory doesn't
+grow with the vectors' length or number.  Within a task the candidates lie in vertical layout, one row
 of the matrix per dimension, widest dimensions first.  The first dimensions are
-accumulated for all queries and candidates of the block; then, query by query,
+accumulated for a tile of queries and all candidates of the block; then, query by query,
 the k best so far are scored in full, which gives a score to reach, and the
 search goes on block of dimensions by block of dimensions.  After each, a
 candidate stays only if its score so far plus the bound on the rest, the product
@@ -36,6 +37,8 @@ from . import common
 
 #: Candidates and queries in a block, at most and (candidates) at least.
 MOST_ROWS, LEAST_ROWS, QUERY_ROWS = 65536, 2048, 4096
+#: Components in a block, at most, and first scores held at once (8 bytes each).
+MOST_COMPONENTS, TILE = 1 << 22, 1 << 22
 #: Dimensions accumulated between two prunings.
 STEP = 16
 #: Up to here, sums of products are exact in floating point.
@@ -52,11 +55,13 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
     # Norms of what is left from each cut on.
     left_rows = [np.sqrt((columns[c:] ** 2).sum(axis=0)) for c in cuts]
     left_q = [np.sqrt((q[:, c:] ** 2).sum(axis=1)) for c in cuts]
-    first = q[:, : cuts[0]] @ columns[: cuts[0]]
+    tile = max(1, TILE // max(1, len(ids)))
     found = [(np.empty(0, np.int64),) * 3]
     for j, own in enumerate(query_ids):
+        if j % tile == 0:
+            first = q[j : j + tile, : cuts[0]] @ columns[: cuts[0]]
         alive = np.flatnonzero(ids != own)
-        score, reach = first[j, alive], -math.inf
+        score, reach = first[j % tile, alive], -math.inf
         if len(alive) > k:  # the most promising rows, scored in full, give the score to reach
             promising = np.argpartition(-(score + left_q[0][j] * left_rows[0][alive]), k - 1)[:k]
             reach = float((q[j] @ columns[:, alive[promising]]).min())
@@ -88,9 +93,11 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col:
     rows = rows.withColumn("dims", F.size("vector"))
     queries = rows.where(F.col("id") % every == 0).distinct()
 
-    n, n_queries = rows.count(), rows.where(F.col("id") % every == 0).count()
-    per_block = min(MOST_ROWS, max(LEAST_ROWS, n // 64))
-    row_blocks, query_blocks = max(1, math.ceil(n / per_block)), max(1, math.ceil(n_queries / QUERY_ROWS))
+    n, n_queries, dims = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.coalesce(F.max("dims"), F.lit(1))).first()
+    # By memory: however long the vectors, a block holds a bounded number of components.
+    fits = max(1, MOST_COMPONENTS // dims)
+    per_block, per_queries = min(fits, MOST_ROWS, max(LEAST_ROWS, n // 64)), min(fits, QUERY_ROWS)
+    row_blocks, query_blocks = max(1, math.ceil(n / per_block)), max(1, math.ceil(n_queries / per_queries))
     # A task is a pair of blocks: rows go to each query block, queries to each row block.
     cell = ["dims", "row_block", "query_block"]
     dealt_rows = rows.select(

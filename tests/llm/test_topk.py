@@ -54,3 +54,31 @@ def test_pruning_drops_candidates_but_no_results():
 
 def test_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_full_block_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    rows = np.floor(256 * rng.normal(size=(topk.MOST_ROWS, 24)))
+    queries = rows[:700]
+    tracemalloc.start()
+    at, row, score = topk.search_block(queries, np.arange(700), rows, np.arange(len(rows)), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All first scores at once would be 367 MB.
+    assert peak < 120 << 20
+    for j in (0, 63, 64, 65, 699):  # on both sides of a tile's border
+        full = rows @ rows[j]
+        full[j] = -np.inf
+        order = np.lexsort((np.arange(len(rows)), -full))[:5]
+        assert row[at == j].tolist() == order.tolist() and score[at == j].tolist() == full[order].tolist()
+
+
+def test_blocks_of_long_vectors_hold_fewer_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MOST_COMPONENTS", 40 * 37)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=37).tolist()) for i in range(250)]
+    df = spark.createDataFrame([(i, v, 0, 1, "x", 2, 3) for i, v in rows], SCHEMA)
+    got = topk.top_k(df, every=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == by_hand(rows, 5, 5)
