@@ -7,8 +7,9 @@ content, at a cost per document that does not grow with the input: each gets the
 best of at most ``CELLS`` centroids (fitted to about ``SAMPLE`` documents, a bound
 that holds at every size; like centroids side by side) and, in a cell, its
 weighted min-hash terms, the term that wins a race at the rate of its weight, and
-the runner-up.  These make one sort key, whose last bits are dealt by row, so
-copies can be parted.  The key's ranges go to partitions, each is read in order,
+the runner-up.  These make one sort key, whose last bits are dealt by id and
+text, so copies can be parted (rows alike in both stay in one partition, which is
+read in order, a shard at a time).  The key's ranges go to partitions, each is read in order,
 and every ``shard_docs`` documents (up to twice as many at a range's end) are a
 shard.  Each shard holds a BM25 inverted index over its documents' tails (what
 full windows leave of a document), with token ids as terms.  A seed is asked
@@ -285,18 +286,14 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, slack: int = SLACK, sha
         encoder = loaded(definition.value)
         closing = np.array([CLOSING_ID], encoder.id_type).tobytes()
         width = encoder.id_type().itemsize
-        nth = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 packed = [encoder.encode(t.as_py()).tobytes() + closing for t in some["text"]]
-                numbers = pa.array(range(nth, nth + len(packed)), pa.int64())
-                nth += len(packed)
-                yield pa.RecordBatch.from_pydict({"doc_id": some["doc_id"], "nth": numbers, "width": pa.array([width] * len(packed), pa.int32()), "ids": pa.array(packed, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": some["doc_id"], "width": pa.array([width] * len(packed), pa.int32()), "ids": pa.array(packed, pa.binary())})
 
-    encoded = common.id_text(df, id_col, text_col).mapInArrow(encode, "doc_id long, nth long, width int, ids binary")
-    # The number tells repeated rows apart, so that they too are dealt.
-    encoded = common.stored(encoded, "packing-ids").withColumn("deal", F.xxhash64("doc_id", "ids", "nth")).drop("nth")
+    encoded = common.id_text(df, id_col, text_col).mapInArrow(encode, "doc_id long, width int, ids binary")
+    encoded = common.stored(encoded, "packing-ids").withColumn("deal", F.xxhash64("doc_id", "ids"))
     # Without the closing id, which is no term.
     tails = encoded.select("width", "deal", F.expr(f"substring(ids, cast(length(ids) div (width * {window}) * (width * {window}) as int) + 1)").alias("tail"))
     tails = tails.withColumn("tail", F.expr("substring(tail, 1, greatest(length(tail) - width, 0))"))
