@@ -154,3 +154,39 @@ def test_a_refresh_that_dies_before_publishing_leaves_the_table(spark, tmp_path,
     with pytest.raises(RuntimeError):
         sinks._create(spark, f"{path}/_published/{number:08d}.json", "[]")
     assert sinks._published(spark, path) == (number, published)
+
+
+def test_a_refresh_builds_its_rows_once_and_leaves_nothing_refused(spark, tmp_path):
+    path, built = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            built.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, datetime.date(1997, 3, 1)), (2, datetime.date(1997, 3, 2))], "k int, DAY date").mapInArrow(seen, "k int, DAY date")
+    sinks.refresh_days(rows, path, "DAY", "1997-03-01", "1997-03-02")
+    assert built.value == 2
+    with pytest.raises(ValueError):
+        sinks.refresh_days(rows, path, "DAY", "1997-03-02", "1997-03-03")
+    assert sinks.read_days(spark, path, "DAY").count() == 2
+    assert len([n for n in os.listdir(path) if n.startswith("data-")]) == 1
+
+
+def test_the_refreshed_table_reads_its_lines_once(spark, sf_dir, monkeypatch):
+    from expkit.plans import catalog
+
+    stored = []
+    keep = sinks.store
+
+    def noted(df):
+        stored.append(keep(df))
+        return stored[-1]
+
+    plans = []
+    refresh = sinks.refresh_days
+    monkeypatch.setattr(sinks, "store", noted)
+    monkeypatch.setattr(sinks, "refresh_days", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), refresh(df, *a))[1])
+    catalog.QUERIES["combined_daily_refreshed"](spark, sf_dir)
+    assert len(stored) == 1 and set(stored[0].columns) >= {"UNIT", "VARIANT_ID", "DAY", "NUM_ORDERS"}
+    assert plans and not any("l_orderkey" in p for p in plans)
