@@ -68,16 +68,46 @@ def _byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-class Vocabulary:
+class Prepared:
+    """Text made ready as a vocabulary file asks."""
+
+    def __init__(self, d: dict):
+        self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
+        size = max([*d["model"]["vocab"].values(), *self.special.values()], default=-1) + 1
+        self.id_type = np.uint16 if size <= 1 << 16 else np.uint32
+        self.visible = dict(enumerate(_byte_characters()))
+        pattern = next(p["pattern"]["Regex"] for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.words_of = regex.compile(pattern.replace(r"\s", _SPACE[1:-1])).findall
+        self.plain_words_of = re.compile(_PLAIN_WORDS).findall if pattern == _WORDS else None
+        self.spaces = regex.compile(_SPACE + "+").sub
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def words(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if _BEYOND.search(text):
+                text = self.spaces(" ", text)
+                # One character at a time where a sigma is: no final sigma.
+                return self.words_of("".join(map(str.lower, text)) if "\u03a3" in text else text.lower())
+        # All kinds of white space only part words here.
+        return (self.plain_words_of or self.words_of)(text.lower())
+
+    def pieces(self, text: str) -> list[str]:
+        """The text cut at its special tokens, which are pieces of their own."""
+        return self.specials.split(text) if self.specials is not None and "<|" in text else [text]
+
+
+class Vocabulary(Prepared):
     """A word-end BPE vocabulary with its automaton and tables."""
 
     def __init__(self, definition: str):
         import ahocorasick
 
         d = json.loads(definition)
+        super().__init__(d)
         model, self.mark = d["model"], d["model"]["end_of_word_suffix"]
         ids = {self._inner(t): i for t, i in model["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         for content in self.special:
             ids.pop(content, None)
         # Rank of the merge of two tokens; rank and parts of the merge that makes a token (-1: none does).
@@ -105,16 +135,10 @@ class Vocabulary:
         names = [""] * size
         for t, i in [*model["vocab"].items(), *self.special.items()]:
             names[i] = t
-        self.id_type, self.id_code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
+        self.id_code = self.id_type().dtype.char
         self.strings = _Strings(names)
         self.digits = _Strings([str(i) for i in range(size)])
 
-        self.visible = dict(enumerate(_byte_characters()))
-        pattern = next(p["pattern"]["Regex"] for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words_of = regex.compile(pattern.replace(r"\s", _SPACE[1:-1])).findall
-        self.plain_words_of = re.compile(_PLAIN_WORDS).findall if pattern == _WORDS else None
-        self.spaces = regex.compile(_SPACE + "+").sub
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}
         self.known, self.chunks = _Kept(self.packed_word), _Kept(self.packed_chunk)
 
@@ -174,21 +198,10 @@ class Vocabulary:
             token, last = shorter[token], ids[-1] if ids else -1
         return ids
 
-    def words(self, text: str) -> list[str]:
-        """The normalised words of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if _BEYOND.search(text):
-                text = self.spaces(" ", text)
-                # One character at a time where a sigma is: no final sigma.
-                return self.words_of("".join(map(str.lower, text)) if "\u03a3" in text else text.lower())
-        # All kinds of white space only part words here.
-        return (self.plain_words_of or self.words_of)(text.lower())
-
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, special tokens in it included."""
         packed: list[bytes] = []
-        for piece in self.specials.split(text) if self.specials is not None and "<|" in text else [text]:
+        for piece in self.pieces(text):
             if piece in self.special:
                 packed.append(self.id_type(self.special[piece]).tobytes())
             elif _SEPARATORS.search(piece):  # white space to Python, but not to the vocabulary
@@ -249,15 +262,15 @@ class _Kept(dict):
             self.clear()
 
 
-_LOADED: dict[int, Vocabulary] = {}
+_LOADED: dict[tuple, Prepared] = {}
 
 
-def loaded(definition: str) -> Vocabulary:
+def loaded(definition: str, kind: type[Prepared] = Vocabulary) -> Prepared:
     """The worker's vocabulary, built once."""
-    key = hash(definition)
+    key = kind, hash(definition)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Vocabulary(definition)
+        _LOADED[key] = kind(definition)
         gc.freeze()  # the tables stay: collections need not look through them
     return _LOADED[key]
 

@@ -22,9 +22,8 @@ Only when no unused document shares a term with the seed do the longest unused
 tails that fit close the room, the longest left being cut likewise.  The closing
 id is no term.  Only the last window of a shard can stay short.
 
-Ids are those of the tokenizers library, got with the encoder of ``op10_bpe``, which
-gives the same ones in less time; the vocabulary file is read on the driver and
-sent out once.
+Ids are those of the tokenizers library, which ``batch_ids`` asks once for each word that
+a worker doesn't know; the vocabulary file is read on the driver and sent out once.
 
 Defined results: a null or empty text is the closing id alone; a repeated row is
 a document of its own; an empty table gives no rows; other columns are ignored.
@@ -42,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .batch_ids import BatchEncoder
 from .op10_bpe import loaded, read_definition, tokenizer_path
 
 SHARD_DOCS = 1024
@@ -54,6 +54,10 @@ TERM_BITS, DEAL_BITS = 20, 15
 WINDOW = 2048
 #: Room that may stay empty rather than cut a document for it.
 SLACK = 24
+#: Terms found in this share of a shard's documents have a row of weights for all of them.
+DENSE = 1 / 16
+#: Documents encoded or placed together.
+TOGETHER = 1024
 CLOSING_ID = 1
 K1, B = 1.2, 0.75
 
@@ -67,8 +71,9 @@ class Corpus:
     @staticmethod
     def counts(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and the number of tails that hold each."""
-        held = [np.unique(t) for t in tails]
-        return np.unique(np.concatenate(held).astype(np.int64) if held else np.empty(0, np.int64), return_counts=True)
+        found = np.bincount(_held(tails)[1])
+        terms = np.flatnonzero(found)
+        return terms, found[terms]
 
     def idf(self, terms: np.ndarray) -> np.ndarray:
         found = self.found[terms]
@@ -78,19 +83,31 @@ class Corpus:
         return K1 * (1 - B + B * length / max(self.mean, 1))
 
 
+def _held(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tail, term, count) of the terms of each tail, in this order."""
+    if not sum(map(len, tails)):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    terms = np.concatenate(tails)
+    narrow = terms.dtype.itemsize <= 2 and len(tails) <= 1 << 16
+    kind, bits = (np.uint32, 16) if narrow else (np.int64, 32)
+    key = np.repeat(np.arange(len(tails), dtype=kind) << kind(bits), [len(t) for t in tails])
+    key |= terms.astype(kind)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(first, append=len(key))
+    key = key[first].astype(np.int64)
+    return key >> bits, key & ((1 << bits) - 1), count
+
+
 class ShardIndex:
     """BM25 inverted index over the tails of a shard, weighted by the corpus (if not given: by the shard itself)."""
 
     def __init__(self, tails: list[np.ndarray], corpus: Corpus | None = None):
         n = len(tails)
-        terms, docs, counts = [], [], []
-        for i, tail in enumerate(tails):
-            t, c = np.unique(tail, return_counts=True)
-            terms.append(t), counts.append(c), docs.append(np.full(len(t), i))
-        term, self.doc, count = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (terms, docs, counts))
+        self.doc, term, count = _held(tails)
         length = np.array([len(t) for t in tails], float)
         order = np.argsort(term, kind="stable")
-        term, self.doc, count = term[order].astype(np.int64), self.doc[order], count[order]
+        term, self.doc, count = term[order], self.doc[order], count[order]
         self.terms, self.first, found = np.unique(term, return_index=True, return_counts=True)
         self.last = self.first + found
         if corpus is None:
@@ -106,14 +123,26 @@ class ShardIndex:
         shared = found[at] > 1
         self.query = [at[a:b][shared[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.n = n
+        # Weights of frequent terms, a row each (others: -1), and the documents that their columns stand for.
+        frequent = found >= max(2, DENSE * n)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        row = np.repeat(self.row, found)
+        self.rows, self.columns = np.zeros((np.count_nonzero(frequent), n)), np.arange(n)
+        self.rows[row[row >= 0], self.doc[row >= 0]] = self.weight[row >= 0]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share terms with the seed, best first."""
+        """Unused documents that share terms with the seed, best first; what was used stays so."""
         if not len(terms := self.query[seed]):
             return np.empty(0, np.int64)
-        lists = [slice(a, b) for a, b in zip(self.first[terms], self.last[terms], strict=True)]
-        docs = np.concatenate([self.doc[s] for s in lists])
-        score = np.bincount(docs, np.concatenate([self.weight[s] for s in lists]), minlength=self.n)
+        left = unused[self.columns]
+        if 4 * np.count_nonzero(left) < 3 * len(left):
+            self.rows, self.columns = np.ascontiguousarray(self.rows[:, left]), self.columns[left]
+        rows, rare = self.row[terms], terms[self.row[terms] < 0]
+        n = self.last[rare] - self.first[rare]
+        at = np.repeat(self.last[rare] - np.cumsum(n), n)
+        at += np.arange(len(at))
+        score = np.bincount(self.doc[at], self.weight[at], minlength=self.n).astype(float)
+        score[self.columns] += self.rows[rows[rows >= 0]].sum(axis=0)
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
@@ -135,7 +164,7 @@ class Cells:
         self.row[used] = np.arange(1, len(used) + 1)
         cells = min(CELLS, max(1, len(tails) // LEAST_FITTED))
         self.centroids = np.zeros((len(used) + 1, cells), np.float32)
-        weighed = [self._weighed(t) for t in tails]
+        weighed = self._weighed(tails)
         for cell, (terms, weight) in enumerate(weighed[:cells]):
             self.centroids[self.row[terms], cell] = weight / np.linalg.norm(weight)
         for _ in range(ROUNDS if cells > 1 else 0):
@@ -147,22 +176,25 @@ class Cells:
             self.centroids = np.where(size > 0, sums, self.centroids)
         self.centroids = np.ascontiguousarray(self.centroids[:, _chained(self.centroids.T @ self.centroids)])
 
-    def _weighed(self, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a tail and their BM25 weights."""
-        terms, count = np.unique(tail, return_counts=True)
-        return terms, self.idf[terms] * (count * (K1 + 1) / (count + self.corpus.norm(len(tail)))).astype(np.float32)
+    def _weighed(self, tails: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The terms of each tail and their BM25 weights."""
+        tail, term, count = _held(tails)
+        norm = self.corpus.norm(np.array([len(t) for t in tails], float))
+        weight = self.idf[term] * (count * (K1 + 1) / (count + norm[tail])).astype(np.float32)
+        bounds = np.searchsorted(tail, np.arange(len(tails) + 1))
+        return [(term[a:b], weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _cell(self, terms: np.ndarray, weight: np.ndarray) -> int:
         return int(np.argmax(weight @ self.centroids[self.row[terms]]))
 
-    def key(self, tail: np.ndarray, deal: int) -> int:
-        """The cell, two min-hash terms, and bits of the deal; 0 and the deal without terms."""
-        key = 0
-        if len(tail):
-            terms, weight = self._weighed(tail)
-            first, second = (int(terms[np.argmin(race[terms])]) % (1 << TERM_BITS) for race in self.races)
-            key = (self._cell(terms, weight) << TERM_BITS | first) << TERM_BITS | second
-        return key << DEAL_BITS | deal % (1 << DEAL_BITS)
+    def keys(self, tails: list[np.ndarray], deals: list[int]) -> np.ndarray:
+        """Of each tail: the cell, two min-hash terms, and bits of the deal; 0 and the deal without terms."""
+        keys = np.zeros(len(tails), np.int64)
+        for i, (terms, weight) in enumerate(self._weighed(tails)):
+            if len(terms):
+                first, second = (int(terms[np.argmin(race[terms])]) % (1 << TERM_BITS) for race in self.races)
+                keys[i] = (self._cell(terms, weight) << TERM_BITS | first) << TERM_BITS | second
+        return keys << DEAL_BITS | np.array(deals, np.int64) % (1 << DEAL_BITS)
 
 
 def _chained(near: np.ndarray) -> list[int]:
@@ -218,6 +250,12 @@ def pack_shard(ids: list[np.ndarray], window: int, slack: int, corpus: Corpus |
     return pieces
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 def _read(column: pa.Array, width: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(b.as_py(), f"<u{w.as_py()}") for b, w in zip(column, width, strict=True)]
 
@@ -227,7 +265,7 @@ def _corpus(tails: DataFrame) -> Corpus:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n, length = np.zeros(0, np.int64), 0, 0
-        for batch in batches:
+        for batch in _slices(batches):
             some = _read(batch["tail"], batch["width"])
             terms, held = Corpus.counts(some)
             found = np.pad(found, (0, max(0, int(terms.max(initial=-1)) + 1 - len(found))))
@@ -255,9 +293,9 @@ def _placed(encoded: DataFrame, tails: DataFrame, corpus: Corpus, window: int, s
     parts = min(MOST_PARTS, max(1, math.ceil(n / (SHARDS_READ * shard_docs))))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [cells.value.key(t, d) for t, d in zip(_read(batch["tail"], batch["width"]), batch["deal"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(found, pa.int64())})
+        for batch in _slices(batches):
+            found = cells.value.keys(_read(batch["tail"], batch["width"]), batch["deal"].to_pylist())
+            yield pa.RecordBatch.from_pydict({"key": pa.array(found)})
 
     one_in = max(1, n // (KEYS_READ * parts))
     known = tails.where(F.pmod(F.shiftright("deal", 20), F.lit(one_in)) == 0).mapInArrow(keys, "key long") if parts > 1 else None
@@ -265,9 +303,9 @@ def _placed(encoded: DataFrame, tails: DataFrame, corpus: Corpus, window: int, s
     bounds = read[np.arange(1, parts) * len(read) // parts] if len(read) else np.empty(0, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             tail = [x[len(x) // window * window : -1] for x in _read(batch["ids"], batch["width"])]
-            key = np.array([cells.value.key(t, d) for t, d in zip(tail, batch["deal"].to_pylist(), strict=True)], np.int64)
+            key = cells.value.keys(tail, batch["deal"].to_pylist())
             part = np.searchsorted(bounds, key, side="right").astype(np.int32)
             yield pa.RecordBatch.from_pydict({"part": pa.array(part), "key": pa.array(key), **{c: batch[c] for c in ("deal", "doc_id", "width", "ids")}})
 
@@ -283,14 +321,12 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, slack: int = SLACK, sha
     definition = spark.sparkContext.broadcast(read_definition(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(definition.value)
+        encoder = loaded(definition.value, BatchEncoder)
         closing = np.array([CLOSING_ID], encoder.id_type).tobytes()
         width = encoder.id_type().itemsize
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                packed = [encoder.encode(t.as_py()).tobytes() + closing for t in some["text"]]
-                yield pa.RecordBatch.from_pydict({"doc_id": some["doc_id"], "width": pa.array([width] * len(packed), pa.int32()), "ids": pa.array(packed, pa.binary())})
+        for batch in _slices(batches):
+            packed = [ids.tobytes() + closing for ids in encoder.encode_all(batch["text"].to_pylist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "width": pa.array([width] * len(packed), pa.int32()), "ids": pa.array(packed, pa.binary())})
 
     encoded = common.id_text(df, id_col, text_col).mapInArrow(encode, "doc_id long, width int, ids binary")
     encoded = common.stored(encoded, "packing-ids").withColumn("deal", F.xxhash64("doc_id", "ids"))
