@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_bpe import odd_texts
 
@@ -45,6 +47,22 @@ def test_a_word_is_merged_once(monkeypatch):
     assert asked == [5, 0, 0]
 
 
+def test_a_worker_keeps_little_of_many_words():
+    encoder = batch_ids.BatchEncoder(read_definition(tokenizer_path()))
+    rng = random.Random(6)
+    list(encoder.encode_all(["warm up"]))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    for _ in range(5):
+        for _ in encoder.encode_all([" ".join("".join(rng.choices("abcdefghijklmnop", k=8)) + "." for _ in range(40)) for _ in range(1500)]):
+            pass
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    # 300,000 different words; tables of strings and bytes took 106 MB.
+    assert len(encoder.known.words) > 290_000
+    assert kept < 30e6
+
+
 def test_nothing():
     encoder = batch_ids.BatchEncoder(read_definition(tokenizer_path()))
     assert list(encoder.encode_all([])) == []
