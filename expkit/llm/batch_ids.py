@@ -8,7 +8,7 @@ can still be merged makes its merge of lowest rank, the leftmost of equal ones,
 is how the tokenizers library gets its ids.  Words of more than ``LONG`` bytes, that would ask
 for many rounds, go to the backtracking encoder of ``op10_bpe``.
 
-Encoded words are kept from batch to batch on arrays, some 20 MB at most, so a worker
+Encoded words are kept from batch to batch on arrays of at most ``BYTES_KEPT``, so a worker
 that goes on to other work holds little; a full table starts anew with the batch's words.
 """
 
@@ -26,8 +26,8 @@ from .op10_bpe import _LETTERS, _NUMBERS, Prepared, Vocabulary
 
 #: Characters of text that are worked on together, about, and bytes of the longest word merged on arrays.
 TOGETHER, LONG = 4 << 20, 64
-#: Encoded words kept from batch to batch.
-WORDS_KEPT = 400_000
+#: Encoded words kept from batch to batch, and bytes of their arrays.
+WORDS_KEPT, BYTES_KEPT = 400_000, 24 << 20
 
 _LATIN = "".join(map(chr, range(256)))
 _LOWER = _LATIN.lower().encode("latin-1")
@@ -119,6 +119,13 @@ class _Words:
     def __init__(self, words: pa.LargeBinaryArray, ids: np.ndarray, n: np.ndarray):
         self.words, self.ids, self.n, self.first = words, ids, n, np.cumsum(n) - n
 
+    @staticmethod
+    def none(id_type: type) -> _Words:
+        return _Words(pa.array([], pa.large_binary()), np.empty(0, id_type), np.empty(0, np.int64))
+
+    def too_many(self) -> bool:
+        return len(self.words) > WORDS_KEPT or self.words.nbytes + self.ids.nbytes + 2 * self.n.nbytes > BYTES_KEPT
+
     def gathered(self, number: np.ndarray) -> np.ndarray:
         """The ids of words by their numbers, one behind the other."""
         n = self.n[number]
@@ -149,7 +156,7 @@ class BatchEncoder(Prepared):
         self.merges = Merges(np.array([(ids[a], ids[b]) for a, b in pairs], np.int64).reshape(-1, 2), np.array([ids[a + b] for a, b in pairs], np.int64))
         self.definition, self.by_one = definition, None
         # By the Latin-1 bytes of a word.
-        self.known = _Words(pa.array([], pa.large_binary()), np.empty(0, self.id_type), np.empty(0, np.int64))
+        self.known = _Words.none(self.id_type)
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -177,7 +184,11 @@ class BatchEncoder(Prepared):
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
         coded = words.dictionary_encode()
         known, number = self.known.with_words(coded.dictionary, self._spelled_latin)
-        self.known = known if len(known.words) <= WORDS_KEPT else _Words(coded.dictionary, known.gathered(number), known.n[number])
+        if known.too_many():
+            own = _Words(coded.dictionary, known.gathered(number), known.n[number])
+            self.known = _Words.none(self.id_type) if own.too_many() else own
+        else:
+            self.known = known
         return self._joined(known, number[coded.indices.to_numpy()], np.searchsorted(starts, ends))
 
     def _spelled_latin(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:

@@ -164,7 +164,7 @@ class Cells:
         self.row[used] = np.arange(1, len(used) + 1)
         cells = min(CELLS, max(1, len(tails) // LEAST_FITTED))
         self.centroids = np.zeros((len(used) + 1, cells), np.float32)
-        weighed = self._weighed(tails)
+        weighed = [w for at in range(0, len(tails), TOGETHER) for w in self._weighed(tails[at : at + TOGETHER])]
         for cell, (terms, weight) in enumerate(weighed[:cells]):
             self.centroids[self.row[terms], cell] = weight / np.linalg.norm(weight)
         for _ in range(ROUNDS if cells > 1 else 0):

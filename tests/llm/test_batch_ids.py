@@ -63,6 +63,13 @@ def test_a_worker_keeps_little_of_many_words():
     assert kept < 30e6
 
 
+def test_long_words_are_not_kept(monkeypatch):
+    monkeypatch.setattr(batch_ids, "BYTES_KEPT", 10_000)
+    encoder = batch_ids.BatchEncoder(read_definition(tokenizer_path()))
+    first, second = encoder.encode_all(["." * 20_000, "word"])
+    assert len(encoder.known.words) <= 1 and len(first) > 0 and len(second) == 1
+
+
 def test_nothing():
     encoder = batch_ids.BatchEncoder(read_definition(tokenizer_path()))
     assert list(encoder.encode_all([])) == []
