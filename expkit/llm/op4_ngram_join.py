@@ -179,7 +179,7 @@ def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WO
                 signed.append(band_hashes(grams, multiply, add, band_rows) if len(grams) else [])
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "h1": batch["h1"], "h2": batch["h2"], "bands": pa.array(signed, pa.list_(pa.int64()))})
 
-    signed = common.cut_lineage(docs.mapInArrow(sign, "doc_id long, h1 long, h2 long, bands array<bigint>"))
+    signed = common.cut_lineage(docs.mapInArrow(common.tidied(sign), "doc_id long, h1 long, h2 long, bands array<bigint>"))
     reps = signed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep_id"))
     # A number per text: an id may stand on rows with different texts.
     reps = common.cut_lineage(reps.withColumn("rep", F.monotonically_increasing_id()))

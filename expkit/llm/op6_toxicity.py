@@ -326,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model.fit(toxic, clean) if toxic and clean else model)], pa.binary())})
 
     # A bounded number of texts in one task: the driver sees the weights only.
-    made = texts.repartition(1).mapInArrow(fitted, "model binary").collect()
+    made = texts.repartition(1).mapInArrow(common.tidied(fitted), "model binary").collect()
     return pickle.loads(made[0].model) if made else Model(share)
 
 
@@ -351,7 +351,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     "offsets": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 })
 
-    return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, offsets array<struct<start:int,end:int>>")
+    return common.id_text(docs, id_col, text_col).mapInArrow(common.tidied(run), "doc_id long, score double, predicted int, offsets array<struct<start:int,end:int>>")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -369,7 +369,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
                 yield some.filter(pa.array(scores < threshold))
 
     numbered, _ = common.picked(docs)
-    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+    return numbered.mapInArrow(common.tidied(run), numbered.schema).toDF(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

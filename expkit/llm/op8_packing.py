@@ -274,7 +274,7 @@ def _corpus(tails: DataFrame) -> Corpus:
         use = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"term": pa.array([-2, -1, *use.tolist()], pa.int64()), "n": pa.array([n, length, *found[use].tolist()], pa.int64())})
 
-    rows = tails.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = tails.mapInArrow(common.tidied(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     by_term = {r.term: r.n for r in rows}
     n, length = by_term.pop(-2, 0), by_term.pop(-1, 0)
     found = np.zeros(max(by_term, default=-1) + 1, np.int64)
@@ -298,7 +298,7 @@ def _placed(encoded: DataFrame, tails: DataFrame, corpus: Corpus, window: int, s
             yield pa.RecordBatch.from_pydict({"key": pa.array(found)})
 
     one_in = max(1, n // (KEYS_READ * parts))
-    known = tails.where(F.pmod(F.shiftright("deal", 20), F.lit(one_in)) == 0).mapInArrow(keys, "key long") if parts > 1 else None
+    known = tails.where(F.pmod(F.shiftright("deal", 20), F.lit(one_in)) == 0).mapInArrow(common.tidied(keys), "key long") if parts > 1 else None
     read = np.sort([r.key for r in known.collect()]) if known is not None else np.empty(0, np.int64)
     bounds = read[np.arange(1, parts) * len(read) // parts] if len(read) else np.empty(0, np.int64)
 
@@ -309,7 +309,7 @@ def _placed(encoded: DataFrame, tails: DataFrame, corpus: Corpus, window: int, s
             part = np.searchsorted(bounds, key, side="right").astype(np.int32)
             yield pa.RecordBatch.from_pydict({"part": pa.array(part), "key": pa.array(key), **{c: batch[c] for c in ("deal", "doc_id", "width", "ids")}})
 
-    placed = encoded.mapInArrow(place, "part int, key long, deal long, doc_id long, width int, ids binary")
+    placed = encoded.mapInArrow(common.tidied(place), "part int, key long, deal long, doc_id long, width int, ids binary")
     return placed.repartitionById(parts, "part").sortWithinPartitions("part", "key", "deal")
 
 
@@ -328,7 +328,7 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, slack: int = SLACK, sha
             packed = [ids.tobytes() + closing for ids in encoder.encode_all(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "width": pa.array([width] * len(packed), pa.int32()), "ids": pa.array(packed, pa.binary())})
 
-    encoded = common.id_text(df, id_col, text_col).mapInArrow(encode, "doc_id long, width int, ids binary")
+    encoded = common.id_text(df, id_col, text_col).mapInArrow(common.tidied(encode), "doc_id long, width int, ids binary")
     encoded = common.stored(encoded, "packing-ids").withColumn("deal", F.xxhash64("doc_id", "ids"))
     # Without the closing id, which is no term.
     tails = encoded.select("width", "deal", F.expr(f"substring(ids, cast(length(ids) div (width * {window}) * (width * {window}) as int) + 1)").alias("tail"))
@@ -372,7 +372,7 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, slack: int = SLACK, sha
         if ids:
             yield packed(doc_id, ids, (part << 16) + shard)
 
-    return placed.mapInArrow(shards, schema + (", ids array<int>" if with_ids else ""))
+    return placed.mapInArrow(common.tidied(shards), schema + (", ids array<int>" if with_ids else ""))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
